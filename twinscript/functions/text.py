@@ -12,10 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# White space, ligatures, header length, illegal characters, reserved words.
-SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-# the same without the line feed
-SPACE_IN_LINE = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Ligatures, header length, illegal characters, reserved words.
+SPACE, SPACE_IN_LINE = r"(?U)\s+", r"(?U)[^\S\n]+"
 LIGATURES = {
     "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj",
     "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz", "‥": "..", "…": "...",
@@ -52,20 +50,15 @@ Normalizer = Callable[[Column], Column]
 
 # -- normalisers ----------------------------------------------------------------------------
 
-def _one_blank(c: Column, space: str) -> Column:
-    """Runs of a class of space characters as one blank; single blanks, the usual case, do not match."""
-    return F.regexp_replace(c, f"{space}{{2,}}|{space[:-1]}&&[^ ]]", " ")
-
-
 def whitespace(c: Column) -> Column:
     """Runs of Unicode white space become one blank; none at either end."""
-    return F.trim(_one_blank(c, SPACE))
+    return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
 def ligatures(c: Column) -> Column:
     """Typographic ligatures become separate letters; texts without any are passed through."""
     spelled = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), c)
-    return F.when(c.rlike("[" + "".join(LIGATURES) + "]"), spelled).otherwise(c)
+    return F.when(c.rlike("[Ĳ-ĳǄ-ǌǱ-ǳ‥-…⁇-⁉ﬀ-ﬆ]"), spelled).otherwise(c)
 
 
 def dos(c: Column) -> Column:
@@ -150,7 +143,7 @@ def _by_language(lang: Column, fn: Callable[[str], Column]) -> Column:
 
 
 def _rules_splitter(text: Column, lang: Column) -> Column:
-    c = _tidy(F.regexp_replace(text, rf"^{SPACE}+", ""))
+    c = _tidy(F.regexp_replace(text, r"(?U)^\s+", ""))
     start = rf"{OPENING}*\p{{Lu}}"
     c = F.regexp_replace(c, rf"([?!]) +({start})", "$1\n$2")
     c = F.regexp_replace(c, rf"(\.\.+) +({start})", "$1\n$2")
@@ -183,7 +176,7 @@ def paragraphs(text: Column) -> Column:
     Blank lines separate paragraphs, lines of a paragraph are joined by blanks, and a short line
     keeps its line end, so that it becomes a sentence of its own.
     """
-    c = _one_blank(text, SPACE_IN_LINE)
+    c = F.regexp_replace(text, SPACE_IN_LINE, " ")
     c = F.regexp_replace(c, " ?\n ?", "\n")
     c = F.regexp_replace(c, "\n\n+", "\x1e")
     c = F.regexp_replace(c, rf"(^|[\n\x1e])(\S[^\n\x1e]{{0,{HEADER}}})(?=[\n\x1e]|\z)", "$1$2\x1f")

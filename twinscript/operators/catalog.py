@@ -26,6 +26,12 @@ def field(df: DataFrame, key: str) -> Column:
     return F.col(f"`{key}`") if key in df.columns else F.col("meta")[key]
 
 
+def record(entries: dict[str, Column]) -> Column:
+    """A string map of the given values, without those that are null."""
+    full = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v.cast("string"))])
+    return F.map_filter(full, lambda k, v: v.isNotNull())
+
+
 def values(c: Column) -> Column:
     """A comma-joined value as an array without empty elements."""
     return F.filter(F.split(c.cast("string"), ","), lambda x: x != "")
@@ -150,15 +156,13 @@ def default_meta(files: DataFrame, size: str = "size") -> DataFrame:
     lang = paths.language(F.col("path"))
     pair = lang.rlike("^..-..$")
     kind = F.when(pair, "sentalign").otherwise("corpusfile")
-    known = F.filter(F.array(
-        F.struct(F.lit("language").alias("key"), F.replace(lang, F.lit("-"), F.lit(",")).alias("value")),
-        F.struct(F.lit("source-language"), F.when(pair, F.substring(lang, 1, 2))),
-        F.struct(F.lit("target-language"), F.when(pair, F.substring(lang, 4, 2))),
-        F.struct(F.lit("resource-type"), kind), F.struct(F.lit("kind"), kind),
-        F.struct(F.lit("status"), F.lit("metadata repaired")),
-        F.struct(F.lit("size"), F.col(size).cast("string"))), lambda p: p["value"].isNotNull())
+    known = record({
+        "language": F.replace(lang, F.lit("-"), F.lit(",")),
+        "source-language": F.when(pair, F.substring(lang, 1, 2)),
+        "target-language": F.when(pair, F.substring(lang, 4, 2)),
+        "resource-type": kind, "kind": kind, "status": F.lit("metadata repaired"), "size": F.col(size)})
     return (files.where((paths.base(F.col("path")) == "xml") & lang.rlike("^..(-..)?$") & F.col("path").endswith(".xml"))
-            .select("path", F.map_from_entries(known).alias("meta")))
+            .select("path", known.alias("meta")))
 
 
 # -- writes ---------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.operators import match
+from twinscript.operators import catalog, match
 from twinscript.operators.numbering import number_rows, plain
 from twinscript.session import scratch
 
@@ -102,15 +102,9 @@ class Tables:
         """Catalog records: known keys as columns, all others in a map."""
         r = self.resources.join(self.labels, "doc_id", "left")
         keywords = F.concat_ws(",", "slot", "lang", F.when(F.col("size") >= 10, "long").otherwise("short"))
-        pairs = F.array(
-            F.struct(F.lit("resource-type").alias("key"), F.lit("corpusfile").alias("value")),
-            F.struct(F.lit("language"), F.col("lang")),
-            F.struct(F.lit("size"), F.col("size").cast("string")),
-            F.struct(F.lit("gid"), F.col("gid")),
-            F.struct(F.lit("owner"), F.col("owner")),
-            F.struct(F.lit("keywords"), keywords),
-            F.struct(F.lit("quality"), F.col("quality").cast("string")))
-        meta = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+        meta = catalog.record({
+            "resource-type": F.lit("corpusfile"), "language": F.col("lang"), "size": F.col("size"),
+            "gid": F.col("gid"), "owner": F.col("owner"), "keywords": keywords, "quality": F.col("quality")})
         return r.select("path", "slot", "branch", meta.alias("meta"))
 
     @cached_property
