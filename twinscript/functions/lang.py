@@ -5,6 +5,8 @@ The code table is taken from the Java runtime's ISO 639 data, not written out he
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,26 +24,35 @@ DEFAULT_REGION = {
 }
 
 
-def codes(spark: SparkSession) -> DataFrame:
-    """``two, three, name``: one row per ISO 639-1 code (fewer than 200 rows)."""
+@cache
+def _iso639(spark: SparkSession) -> tuple[tuple[str, str, str], ...]:
     locale = spark.sparkContext._jvm.java.util.Locale
-    english = locale.ENGLISH
-    found = {}
+    found = []
     for two in locale.getISOLanguages():
         entry = locale.forLanguageTag(two)
         if entry.getLanguage() == two:
-            found[two] = (two, entry.getISO3Language(), entry.getDisplayLanguage(english))
-    return spark.createDataFrame(sorted(found.values()), "two string, three string, name string")
+            found.append((two, entry.getISO3Language(), entry.getDisplayLanguage(locale.ENGLISH)))
+    return tuple(sorted(found))
+
+
+def _rows(spark: SparkSession, rows, columns: str) -> DataFrame:
+    """A small literal table that needs no Python worker."""
+    quoted = ", ".join("(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {quoted} AS t({columns})")
+
+
+def codes(spark: SparkSession) -> DataFrame:
+    """``two, three, name``: one row per ISO 639-1 code (fewer than 200 rows)."""
+    return _rows(spark, _iso639(spark), "two, three, name")
 
 
 def code_forms(spark: SparkSession) -> DataFrame:
     """``form, two``: every code or lower-cased name that stands for a language."""
-    c = codes(spark)
-    other = spark.createDataFrame(sorted(BIBLIOGRAPHIC.items()), "form string, three string")
-    return (c.select(F.col("two").alias("form"), "two")
-            .unionByName(c.select(F.col("three").alias("form"), "two"))
-            .unionByName(c.select(F.lower("name").alias("form"), "two"))
-            .unionByName(other.join(c, "three").select("form", "two")).dropDuplicates(["form"]))
+    two_of = {three: two for two, three, _ in _iso639(spark)}
+    forms = {b: two_of[t] for b, t in BIBLIOGRAPHIC.items() if t in two_of}
+    for two, three, name in _iso639(spark):
+        forms |= {two: two, three: two, name.lower(): two}
+    return _rows(spark, sorted(forms.items()), "form, two")
 
 
 def bare(code: Column) -> Column:

@@ -60,6 +60,7 @@ def one_to_one(pairs: DataFrame, src_size: str = "src_size", trg_size: str = "tr
 
 
 def _cost(src: np.ndarray, trg: np.ndarray, mean: float, variance: float) -> np.ndarray:
+    """``scores.length_cost`` for arrays."""
     with np.errstate(divide="ignore", invalid="ignore"):
         z = np.abs(mean * src - trg) / np.sqrt(variance * (src + trg / mean) / 2)
         t = 1 / (1 + TAIL_SCALE * z)
@@ -69,72 +70,95 @@ def _cost(src: np.ndarray, trg: np.ndarray, mean: float, variance: float) -> np.
     return np.where((src == 0) & (trg == 0), 0.0, cost)
 
 
-def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float, variance: float,
-                  priors: dict[tuple[int, int], float], band: int, pillow: bool):
-    """Steps of the cheapest monotone path through both length arrays, with its total cost.
+def _band(n: int, m: int, band: int, pillow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and last column searched in each row: around the diagonal of an n × m table."""
+    if not band or not n:
+        return np.zeros(n + 1, int), np.full(n + 1, m)
+    i = np.arange(n + 1)
+    reach = band + int(np.ceil(m / n)) + (2 * np.sqrt(np.minimum(i, n - i)).round().astype(int) if pillow else 0)
+    middle = (i * (m / n)).astype(int)
+    return np.maximum(0, middle - reach), np.minimum(m, middle + reach)
 
-    Only a band around the diagonal is searched (``band`` = 0 searches everything); it is widened
-    where the texts' sizes differ, so that the end can always be reached.
+
+BLOCK = 128
+
+
+def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float = MEAN, variance: float = VARIANCE,
+                  priors: dict[tuple[int, int], float] | None = None, band: int = BAND,
+                  pillow: bool = True) -> list[tuple[int, int, int, int, float]]:
+    """Steps ``(i, i2, j, j2, cost)`` of the cheapest monotone path through both length arrays.
+
+    Only a band around the diagonal is searched (``band`` = 0 searches everything), so time and
+    space grow with one text, not with the product.  A row is filled at once: steps that take a
+    source sentence look one or two rows up; steps that take a target sentence only are a running
+    minimum along the row.
     """
+    priors = priors or PRIORS
     n, m = len(src), len(trg)
-    a, b = np.concatenate([[0], np.cumsum(src)]).astype(float), np.concatenate([[0], np.cumsum(trg)]).astype(float)
-    kinds = sorted(priors)
-    slope = m / n if n else 0.0
-    lo, hi = np.zeros(n + 1, int), np.full(n + 1, m, int)
-    if band and n:
-        i = np.arange(n + 1)
-        reach = band + (2 * np.sqrt(np.minimum(i, n - i)).round().astype(int) if pillow else 0) + int(np.ceil(slope))
-        lo = np.maximum(0, (i * slope).astype(int) - reach)
-        hi = np.minimum(m, (i * slope).astype(int) + reach)
-        lo[0], hi[n] = 0, m
-    rows, back = [], []
+    a = np.concatenate([[0.0], np.cumsum(src, dtype=float)])
+    b = np.concatenate([[0.0], np.cumsum(trg, dtype=float)])
+    kinds = [k for k in sorted(priors) if k[0] > 0]
+    lo, hi = _band(n, m, band, pillow)
+    along = np.concatenate([[0.0], np.cumsum(_cost(np.zeros(m), np.diff(b), mean, variance) - np.log(priors[(0, 1)]))])
+    rows, back, costs, first, left = [], [], [], 0, 0
     for i in range(n + 1):
-        width = hi[i] - lo[i] + 1
-        best, step = np.full(width, np.inf), np.full(width, -1, np.int8)
-        j = np.arange(lo[i], hi[i] + 1)
+        if i % BLOCK == 0:
+            first, last = i, min(i + BLOCK, n + 1)
+            left, right = lo[first], hi[last - 1] + 1
+            r, c = np.arange(first, last), np.arange(left, right)
+            costs = [_cost((a[r] - a[np.maximum(r - d1, 0)])[:, None], (b[c] - b[np.maximum(c - d2, 0)])[None, :],
+                           mean, variance) - np.log(priors[(d1, d2)]) for d1, d2 in kinds]
+        best = np.full(hi[i] - lo[i] + 1, np.inf)
+        step = np.full(len(best), -1, np.int8)
         if i == 0:
             best[0] = 0.0
         for k, (d1, d2) in enumerate(kinds):
-            if d1 == 0 or d1 > i:
+            if d1 > i:
                 continue
-            prev, base = rows[i - d1], lo[i - d1]
-            at = j - d2 - base
-            ok = (at >= 0) & (at < len(prev)) & (j >= d2)
-            total = np.full(width, np.inf)
-            total[ok] = (prev[at[ok]] - np.log(priors[(d1, d2)])
-                         + _cost(a[i] - a[i - d1], b[j[ok]] - b[j[ok] - d2], mean, variance))
-            better = total < best
-            best[better], step[better] = total[better], k
-        for k, (d1, d2) in enumerate(kinds):
-            if d1:
+            j0, j1 = max(lo[i], lo[i - d1] + d2), min(hi[i], hi[i - d1] + d2)
+            if j0 > j1:
                 continue
-            skip = _cost(np.zeros(width), b[j] - b[np.maximum(j - d2, 0)], mean, variance) - np.log(priors[(d1, d2)])
-            for x in range(d2, width):
-                total = best[x - d2] + skip[x]
-                if total < best[x]:
-                    best[x], step[x] = total, k
+            total = (rows[i - d1][j0 - d2 - lo[i - d1]:j1 - d2 - lo[i - d1] + 1]
+                     + costs[k][i - first, j0 - left:j1 - left + 1])
+            here, how = best[j0 - lo[i]:j1 - lo[i] + 1], step[j0 - lo[i]:j1 - lo[i] + 1]
+            better = total < here
+            here[better], how[better] = total[better], k
+        run = along[lo[i]:hi[i] + 1]
+        passed = np.minimum.accumulate(best - run) + run
+        skips = passed < best - 1e-9
+        best[skips], step[skips] = passed[skips], len(kinds)
         rows.append(best)
         back.append(step)
+    moves = [*kinds, (0, 1)]
     path, i, j = [], n, m
     while i or j:
-        d1, d2 = kinds[back[i][j - lo[i]]]
-        path.append((i - d1, i, j - d2, j, rows[i][j - lo[i]] - rows[i - d1][j - d2 - lo[i - d1]]))
+        d1, d2 = moves[back[i][j - lo[i]]]
+        path.append((i - d1, i, j - d2, j, float(rows[i][j - lo[i]] - rows[i - d1][j - d2 - lo[i - d1]])))
         i, j = i - d1, j - d2
     return path[::-1]
 
 
+FLUSH = 50000
+
+
 def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANCE,
                  priors: dict[tuple[int, int], float] | None = None, band: int = BAND,
                  pillow: bool = True) -> DataFrame:
     """Links by sentence length for ``pairs(pair_id, src_lens, trg_lens)``.
 
-    With ``segment`` columns from ``segments`` the ids continue where the segment starts
-    (``src_from``, ``trg_from``).  The score of a link is its share of the path's cost.
+    With the columns of ``segments`` the ids continue where the segment starts (``src_from``,
+    ``trg_from``).  The score of a link is its share of the path's cost.
     """
-    priors = dict(priors or PRIORS)
     offsets = {"src_from", "trg_from"} <= set(pairs.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+
+        def flush() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=["pair_id", "link_pos", "src_ids", "trg_ids", "score"])
+            out.clear()
+            return frame
+
         for batch in batches:
             for row in batch.itertuples(index=False):
                 s0, t0 = (row.src_from, row.trg_from) if offsets else (1, 1)
@@ -145,16 +169,18 @@ def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANC
                     steps = [(0, len(src), 0, len(trg), 0.0)]
                 else:
                     continue
-                yield pd.DataFrame({
-                    "pair_id": row.pair_id,
-                    "link_pos": np.arange(s0 + t0 - 1, s0 + t0 - 1 + len(steps), dtype="int32"),
-                    "src_ids": [list(range(s0 + i0, s0 + i1)) for i0, i1, *_ in steps],
-                    "trg_ids": [list(range(t0 + j0, t0 + j1)) for _, _, j0, j1, _ in steps],
-                    "score": [float(s[4]) for s in steps]})
+                for k, (i0, i1, j0, j1, cost) in enumerate(steps):
+                    out.append((row.pair_id, s0 + t0 - 1 + k, list(range(s0 + i0, s0 + i1)),
+                                list(range(t0 + j0, t0 + j1)), cost))
+                if len(out) > FLUSH:
+                    yield flush()
+            if out:
+                yield flush()
 
     extra = ["src_from", "trg_from"] if offsets else []
-    # a third of the pairs in one input file must not become one task
-    spread = pairs.select("pair_id", "src_lens", "trg_lens", *extra).repartition("pair_id", *extra)
+    # the work is in the processor, not in the bytes: keep the tasks AQE would merge as small
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.select("pair_id", "src_lens", "trg_lens", *extra).repartition(tasks, "pair_id", *extra)
     return spread.mapInPandas(run, LINK_SCHEMA)
 
 
@@ -247,7 +273,7 @@ def filter_lang(links: DataFrame, flags: DataFrame) -> DataFrame:
     """
     def side(name: str) -> DataFrame:
         return links.select("pair_id", "link_pos", F.lit(name).alias("side"),
-                            F.explode(f"{name}_ids").cast("bigint").alias("sent_id"))
+                            F.explode(F.col(f"{name}_ids").cast("array<bigint>")).alias("sent_id"))
     parts = side("src").unionByName(side("trg")).join(flags, ["pair_id", "side", "sent_id"], "left")
     unsure = F.col("detected") == UNKNOWN
     ok = (parts.groupBy("pair_id", "link_pos")

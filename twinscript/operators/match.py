@@ -225,9 +225,10 @@ GENERIC = {
 
 
 def _entries(html: Column, pattern: str, lang_group: int, href_group: int) -> Column:
-    return F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(lang_group)).alias("lang"),
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(href_group)).alias("href"))
+    """All declarations of a form: the text is searched once, each hit then taken apart."""
+    hits = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    return F.transform(hits, lambda x: F.struct(
+        F.regexp_extract(x, pattern, lang_group).alias("lang"), F.regexp_extract(x, pattern, href_group).alias("href")))
 
 
 def _as_links(entries: Column, suffix: str = "", lower: bool = False) -> Column:

@@ -70,9 +70,9 @@ def _(t):
 
 
 @query("find_resources", S.with_tables(S.METADATA, select="""
-SELECT path FROM metadata WHERE starts_with(path, 'src2/u1/')"""))
+SELECT path FROM metadata WHERE starts_with(path, 'src2/u2/')"""))
 def _(t):
-    return catalog.find(t.metadata, "corpusfile", "src2/u1").select("path")
+    return catalog.find(t.metadata, "corpusfile", "src2/u2").select("path")
 
 
 @query("aggregate_metadata", S.with_tables(S.METADATA, select="""
@@ -206,27 +206,27 @@ def _(t):
 
 
 @query("put_recursive", S.with_tables(S.METADATA + ROOTS, select="""
-SELECT path, CASE WHEN starts_with(path, 'src1/u2/') THEN array_to_string(list_sort(list_distinct(list_concat(
+SELECT path, CASE WHEN starts_with(path, 'src1/u1/') THEN array_to_string(list_sort(list_distinct(list_concat(
   string_split(keywords, ','), ['kept']))), ',') ELSE keywords END AS keywords FROM metadata
-UNION ALL SELECT path, CASE WHEN path = 'src1/u2' THEN 'kept' END FROM roots"""))
+UNION ALL SELECT path, CASE WHEN path = 'src1/u1' THEN 'kept' END FROM roots"""))
 def _(t):
-    out = catalog.put_recursive(_tree(t), "src1/u2", {"keywords": "kept"})
+    out = catalog.put_recursive(_tree(t), "src1/u1", {"keywords": "kept"})
     return out.select("path", F.col("meta")["keywords"].alias("keywords"))
 
 
 @query("delete_recursive", S.with_tables(S.METADATA + ROOTS, select="""
-SELECT path FROM metadata WHERE NOT starts_with(path, 'src1/u2/') UNION ALL
-SELECT path FROM roots WHERE path <> 'src1/u2'"""))
+SELECT path FROM metadata WHERE NOT starts_with(path, 'src1/u1/') UNION ALL
+SELECT path FROM roots WHERE path <> 'src1/u1'"""))
 def _(t):
-    return catalog.delete_recursive(_tree(t), "src1/u2").select("path")
+    return catalog.delete_recursive(_tree(t), "src1/u1").select("path")
 
 
 @query("copy_subtree", S.with_tables(S.METADATA, select="""
 SELECT path, owner, CAST(NULL AS VARCHAR) AS status FROM metadata UNION ALL
-SELECT 'src3/copy' || path[8:], 'user9', 'copied' FROM metadata WHERE starts_with(path, 'src3/u0')"""))
+SELECT 'src3/copy' || path[8:], 'user9', 'copied' FROM metadata WHERE starts_with(path, 'src3/u3')"""))
 def _(t):
     m = F.col("meta")
-    return catalog.copy(t.metadata, "src3/u0", "src3/copy", "user9").select(
+    return catalog.copy(t.metadata, "src3/u3", "src3/copy", "user9").select(
         "path", m["owner"].alias("owner"), m["status"].alias("status"))
 
 
@@ -334,10 +334,10 @@ def _(t):
 
 
 @query("set_branch_group", S.with_tables(S.METADATA + ROOTS, select="""
-SELECT path, CASE WHEN starts_with(path, 'src4/u2/') AND owner = 'user2' THEN 'gx' ELSE gid END AS gid FROM metadata
-UNION ALL SELECT path, CASE WHEN path = 'src4/u2' AND owner = 'user2' THEN 'gx' ELSE gid END FROM roots"""))
+SELECT path, CASE WHEN starts_with(path, 'src4/u4/') AND owner = 'user4' THEN 'gx' ELSE gid END AS gid FROM metadata
+UNION ALL SELECT path, CASE WHEN path = 'src4/u4' AND owner = 'user4' THEN 'gx' ELSE gid END FROM roots"""))
 def _(t):
-    return acl.set_group(_tree(t), "src4/u2", "gx", "user2").select("path", F.col("meta")["gid"].alias("gid"))
+    return acl.set_group(_tree(t), "src4/u4", "gx", "user4").select("path", F.col("meta")["gid"].alias("gid"))
 
 
 @query("aligned_documents", S.with_tables(S.PAIRS, select="""
