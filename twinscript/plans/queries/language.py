@@ -1 +1,98 @@
-"""Registered queries."""
+"""Language models, identification and what follows from it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from twinscript.operators import langid
+from twinscript.plans import sqltables as S
+from twinscript.plans.registry import query
+
+
+def grams_sql(source: str, keys: str, name: str = "grams") -> str:
+    """``keys, ngram, n`` of the texts of a table."""
+    return rf"""
+{name}_words AS (SELECT {keys}, word, count(*) AS w FROM (
+    SELECT {keys}, unnest(string_split_regex(text, '[0-9\s]+')) AS word FROM {source}) WHERE word <> '' GROUP BY ALL),
+{name}_cut AS (SELECT {keys}, w, unnest(flatten(list_transform(range(1, least(length(word) + 2, 5) + 1), lambda k:
+    list_transform(range(1, length(word) + 4 - k), lambda i: substring('_' || word || '_', i, k))))) AS ngram FROM {name}_words),
+{name} AS (SELECT {keys}, ngram, CAST(sum(w) AS BIGINT) AS n FROM {name}_cut GROUP BY ALL)"""
+
+
+MODELS = grams_sql("documents", "lang", "known") + r""",
+models AS (SELECT * FROM (SELECT lang, ngram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, ngram) AS rank FROM known)
+  WHERE rank <= 400)"""
+
+
+def distance_sql(keys: str) -> str:
+    return rf"""
+ranked AS (SELECT * FROM (SELECT {keys}, ngram, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, ngram) AS r FROM grams)
+  WHERE r <= 400),
+dist AS (SELECT {', '.join('t.' + k.strip() for k in keys.split(','))}, l.lang AS model,
+    CAST(sum(CASE WHEN m.rank IS NULL THEN 400 ELSE abs(t.r - m.rank) END) AS BIGINT) AS distance, count(m.rank) AS hits
+  FROM ranked t CROSS JOIN (SELECT DISTINCT lang FROM models) l
+  LEFT JOIN models m ON m.lang = l.lang AND m.ngram = t.ngram GROUP BY ALL),
+near AS (SELECT * FROM (SELECT *, min(distance) OVER (PARTITION BY {keys}) AS best FROM dist WHERE hits > 0)
+  WHERE distance < 1.05 * best OR distance = best),
+found AS (SELECT {keys}, array_to_string(list(model ORDER BY distance, model), ',') AS candidates FROM near GROUP BY ALL)"""
+
+
+@query("character_ngrams", "WITH " + grams_sql("documents", "lang") + "SELECT lang, ngram, n FROM grams")
+def _(t):
+    return langid.ngrams(t.documents, ["lang"])
+
+
+@query("language_models", "WITH " + MODELS + "SELECT lang, ngram, CAST(rank AS INTEGER) AS rank FROM models")
+def _(t):
+    return langid.train(t.documents)
+
+
+@query("language_distances", "WITH " + MODELS + "," + grams_sql("documents", "doc_id") + "," + distance_sql("doc_id") +
+       "SELECT doc_id, model, distance FROM dist WHERE hits > 0")
+def _(t):
+    return langid.distances(t.documents, ["doc_id"], langid.train(t.documents))
+
+
+@query("identify_language", "WITH " + MODELS + "," + grams_sql("documents", "doc_id") + "," + distance_sql("doc_id") +
+       "SELECT doc_id, candidates, string_split(candidates, ',')[1] AS detected FROM found")
+def _(t):
+    return langid.classify(t.documents, ["doc_id"], langid.train(t.documents)).withColumn(
+        "candidates", F.array_join("candidates", ","))
+
+
+@query("resolve_document_language", "WITH " + MODELS + "," + grams_sql("documents", "doc_id") + "," + distance_sql("doc_id") + """
+SELECT f.doc_id, CASE WHEN list_contains(string_split(candidates, ','), d.declared) THEN d.declared
+  ELSE string_split(candidates, ',')[1] END AS language
+FROM found f JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'es' ELSE lang END AS declared FROM documents) d USING (doc_id)""")
+def _(t):
+    found = langid.classify(t.documents, ["doc_id"], langid.train(t.documents))
+    declared = F.when(F.col("doc_id") % 3 == 0, "es").otherwise(F.col("lang"))
+    named = found.join(t.documents.select("doc_id", declared.alias("lang")), "doc_id")
+    return langid.resolve(named).select("doc_id", "language")
+
+
+@query("sentence_language_flags", "WITH " + MODELS + "," + S.LINES + "," + grams_sql("lines", "doc_id, sent_pos") + "," +
+       distance_sql("doc_id, sent_pos") + """
+SELECT f.doc_id, f.sent_pos, l.lang, string_split(candidates, ',')[1] AS detected
+FROM found f JOIN lines l ON l.doc_id = f.doc_id AND l.sent_pos = f.sent_pos
+WHERE string_split(candidates, ',')[1] <> l.lang""")
+def _(t):
+    return langid.flags(t.sentences, ["doc_id", "sent_pos"], langid.train(t.documents))
+
+
+@query("language_sample", """
+SELECT doc_id, CAST(length(s) AS INTEGER) AS n, md5(s) AS md5 FROM (SELECT doc_id, CASE WHEN length(h) - 16296 > 32768
+    THEN substring(h, 8149, length(h) - 16296) ELSE h END AS s
+  FROM (SELECT doc_id, substring(repeat(text, 12), 1, 65536) AS h FROM documents))""")
+def _(t):
+    s = langid.sample_text(F.repeat("text", F.lit(12)))
+    return t.documents.select("doc_id", F.length(s).alias("n"), F.md5(s).alias("md5"))
+
+
+@query("identification_confusion", "WITH " + MODELS + "," + grams_sql("documents", "doc_id") + "," + distance_sql("doc_id") + """
+SELECT d.lang, string_split(candidates, ',')[1] AS detected, CAST(count(*) AS BIGINT) AS n
+FROM found f JOIN documents d USING (doc_id) GROUP BY ALL""")
+def _(t):
+    found = langid.detect("ngrams", t.documents, ["doc_id"], langid.train(t.documents))
+    return found.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang", "detected").agg(
+        F.count(F.lit(1)).alias("n"))
