@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions.scores import (MAX_COST, MEAN, PRIORS, TAIL, TAIL_DENSITY, TAIL_SCALE, VARIANCE)
+from twinscript.session import spread
 
 # Thresholds of link filtering, size of the search band, window of shared words.
 SCORE_THRESHOLD, MAX_SRC, MAX_TRG = -10.0, 2, 2
@@ -178,10 +179,8 @@ def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANC
                 yield flush()
 
     extra = ["src_from", "trg_from"] if offsets else []
-    # the work is in the processor, not in the bytes: keep the tasks AQE would merge as small
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = pairs.select("pair_id", "src_lens", "trg_lens", *extra).repartition(tasks, "pair_id", *extra)
-    return spread.mapInPandas(run, LINK_SCHEMA)
+    rows = pairs.select("pair_id", "src_lens", "trg_lens", *extra)
+    return spread(rows, "pair_id", *extra).mapInPandas(run, LINK_SCHEMA)
 
 
 def anchors(src: DataFrame, trg: DataFrame, pairs: DataFrame, window: int = ANCHOR_WINDOW,

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinscript.session import spread
+
 # N-gram sizes, ranks kept, near-best factor and most alternatives, sample sizes.
 LONGEST, TOP, NEAR, ALTERNATIVES = 5, 400, 1.05, 10
 MAX_TEXT, BOILERPLATE = 65536, 8148
@@ -21,21 +23,22 @@ def sample_text(text: Column) -> Column:
     return F.when(F.length(head) - 2 * BOILERPLATE > MAX_TEXT / 2, inner).otherwise(head)
 
 
-def _grams(word: Column) -> Column:
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length(word), F.lit(LONGEST))), lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))))
-
-
-def ngrams(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def ngrams(df: DataFrame, keys: list[str], text: str = "text", placed: bool = False) -> DataFrame:
     """``keys, ngram, n``: 1–5-grams of each word, with ``_`` at both ends.
 
     Words are counted first, so n-grams are cut once per distinct word and key, not per
-    occurrence.
+    occurrence.  ``placed`` says that the rows are already distributed by key.
     """
     words = df.select(*keys, F.explode(F.split(text, r"[0-9\s]+")).alias("word")).where("word != ''")
     counted = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("w"))
-    padded = F.concat(F.lit("_"), F.col("word"), F.lit("_"))
-    return (counted.select(*keys, "w", F.explode(_grams(padded)).alias("ngram"))
+    if not placed:
+        # distinct words are few bytes, the n-grams cut from them are not
+        counted = spread(counted, *keys, "word")
+    padded = counted.select(*keys, "w", F.concat(F.lit("_"), "word", F.lit("_")).alias("word"))
+    starts = padded.select(*keys, "w", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    longest = starts.select(*keys, "w", F.substring(F.col("word"), F.col("i"), F.lit(LONGEST)).alias("g"))
+    heads = F.slice(F.array(*[F.substring("g", 1, k) for k in range(1, LONGEST + 1)]), F.lit(1), F.length("g"))
+    return (longest.select(*keys, "w", F.explode(heads).alias("ngram"))
             .groupBy(*keys, "ngram").agg(F.sum("w").alias("n")))
 
 
@@ -61,8 +64,8 @@ def distances(texts: DataFrame, keys: list[str], models: DataFrame, text: str =
     equi-join on the n-gram is needed.  Texts are distributed by key first, and all counting and
     ranking per text stays in that partitioning.
     """
-    spread = texts.select(*keys, text).repartition(*keys)
-    mine = rank(ngrams(spread, keys, text), keys).select(*keys, "ngram", F.col("rank").alias("r"))
+    own = spread(texts.select(*keys, text), *keys)
+    mine = rank(ngrams(own, keys, text, placed=True), keys).select(*keys, "ngram", F.col("rank").alias("r"))
     model = models.select(F.col("lang").alias("model"), "ngram", "rank")
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     hits = mine.withColumn("size", size).join(model, "ngram", "left")

@@ -59,3 +59,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and every later reader sees the same rows in the same partitions."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute by key ahead of work that is heavy for its bytes.
+
+    With the number of tasks given, AQE does not merge them for being small.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys)
