@@ -1 +1,323 @@
-"""Registered queries."""
+"""Formats written by Spark from the given tables and read back, and the intake of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from twinscript.functions import text as X
+from twinscript.operators import align, ingest
+from twinscript.plans import jobs
+from twinscript.plans import sqltables as S
+from twinscript.plans.queries.aligning import LADDER, _rungs
+from twinscript.plans.registry import query
+from twinscript.session import scratch
+from twinscript.sources import readers, writers
+
+SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _units(t):
+    """The bitext as long translation units; every fifth has one language only."""
+    both = F.array(F.struct(F.lit("en").alias("lang"), F.col("src_text").alias("seg")),
+                   F.struct(F.lit("fr").alias("lang"), F.col("trg_text").alias("seg")))
+    kept = F.when(F.col("conv_id") % 5 == 0, F.slice(both, 1, 1)).otherwise(both)
+    return t.bitext.select(F.col("pair_id").alias("tu_id"), F.explode(kept).alias("x")).select("tu_id", "x.lang", "x.seg")
+
+
+UNITS = S.BITEXT + rf""",
+units AS (SELECT pair_id AS tu_id, 'en' AS lang, trim(regexp_replace(src_text, '{SPACE}+', ' ', 'g')) AS seg FROM bitext WHERE conv_id % 5 <> 0
+  UNION ALL SELECT pair_id, 'fr', trim(regexp_replace(trg_text, '{SPACE}+', ' ', 'g')) FROM bitext WHERE conv_id % 5 <> 0)"""
+
+
+@query("translation_memory", S.with_tables(UNITS, select="SELECT tu_id, lang, seg FROM units"))
+def _(t):
+    path = scratch(t.spark, "tmx")
+    writers.tmx(_units(t), path, files=4)
+    return readers.tmx(t.spark, path).select("tu_id", "lang", "seg")
+
+
+@query("translation_memory_unique", S.with_tables(S.BITEXT, select=rf"""
+SELECT lang, md5(seg) AS md5, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'de' AS lang, trim(regexp_replace(src_text, '{SPACE}+', ' ', 'g')) AS seg FROM (SELECT DISTINCT src_text, trg_text FROM bitext)
+  UNION ALL SELECT 'es', trim(regexp_replace(trg_text, '{SPACE}+', ' ', 'g')) FROM (SELECT DISTINCT src_text, trg_text FROM bitext))
+GROUP BY ALL"""))
+def _(t):
+    path = scratch(t.spark, "tmx-unique")
+    writers.tmx_unique(t.bitext.unionByName(t.bitext), path, "de", "es", files=4)
+    return readers.tmx(t.spark, path).groupBy("lang", F.md5("seg").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("xliff_units", S.with_tables(S.BITEXT, select=rf"""
+SELECT 'c' || conv_id AS original, turn || '' AS unit_id, 'en' AS src_lang, 'fr' AS trg_lang,
+       md5(trim(regexp_replace(src_text, '{SPACE}+', ' ', 'g'))) AS source, md5(trim(regexp_replace(trg_text, '{SPACE}+', ' ', 'g'))) AS target
+FROM bitext"""))
+def _(t):
+    path = scratch(t.spark, "xliff")
+    def shown(c):
+        return X.escape_xml(X.whitespace(X.clean_xml(F.col(c))))
+    unit = F.concat(F.lit('<trans-unit id="'), F.col("turn").cast("string"), F.lit('"><source>'), shown("src_text"),
+                    F.lit("</source><target>"), shown("trg_text"), F.lit("</target></trans-unit>"))
+    rows = t.bitext.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), "turn", unit.alias("line"))
+    head = F.concat(F.lit('<xliff version="1.2"><file original="'), F.col("file"),
+                    F.lit('" source-language="en" target-language="fr"><body>'))
+    writers.write_framed(rows, path, ["turn"], head, F.lit("</body></file></xliff>"))
+    return readers.xliff(t.spark, path).select("original", "unit_id", "src_lang", "trg_lang",
+                                               F.md5("source").alias("source"), F.md5("target").alias("target"))
+
+
+@query("moses_lines", S.with_tables(S.BITEXT, rf"""
+lined AS (SELECT conv_id, turn, trim(regexp_replace(replace(replace(src_text, chr(10), ' '), '|', '_'), '  +', ' ', 'g')) AS en,
+    trim(regexp_replace(replace(replace(trg_text, chr(10), ' '), '|', '_'), '  +', ' ', 'g')) AS fr FROM bitext
+  WHERE trim(src_text) <> '' AND trim(trg_text) <> '' AND length(src_text) <= 600 AND length(trg_text) <= 600)""", select="""
+SELECT row_number() OVER (ORDER BY conv_id, turn) AS line_no, en, fr FROM lined"""))
+def _(t):
+    path = scratch(t.spark, "moses")
+    writers.moses(t.bitext, path, "en", "fr", ["conv_id", "turn"], max_length=600)
+    lines = readers.numbered_lines(t.spark, path).withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
+    return readers.moses(lines, "en", "fr").select("line_no", "en", "fr")
+
+
+@query("text_export_lines", S.with_tables(S.BITEXT, select=r"""
+SELECT md5(trim(regexp_replace(replace(replace(src_text, chr(10), ' '), '|', '_'), '  +', ' ', 'g'))) AS md5,
+       CAST(count(*) AS BIGINT) AS n FROM bitext GROUP BY 1"""))
+def _(t):
+    path = scratch(t.spark, "text")
+    writers.text(t.bitext, path, "src_text", ["conv_id", "turn"])
+    lines = readers.numbered_lines(t.spark, path)
+    return lines.groupBy(F.md5("text").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("factored_tokens", S.with_tables(S.LINES, select=r"""
+SELECT doc_id, sent_pos, md5(array_to_string(list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''),
+  lambda w: replace(w, '|', '_') || '|' || replace(lower(w), '|', '_')), ' ')) AS md5 FROM lines"""))
+def _(t):
+    toks = F.transform(X.tokens(F.col("text"), F.col("lang"), "whitespace"),
+                       lambda w: F.struct(w.alias("word"), F.lower(w).alias("lemma")))
+    return t.sentences.select("doc_id", "sent_pos", F.md5(writers.factored(toks, ["word", "lemma"])).alias("md5"))
+
+
+def _corpus_files(t):
+    """Documents as corpus files, ten lines to a paragraph."""
+    return t.sentences.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"),
+                              (F.floor((F.col("sent_pos") - 1) / 10) + 1).alias("para_id"), "sent_pos",
+                              F.when(F.col("sent_pos") % 3 == 0, F.col("lang")).alias("lang"), "text")
+
+
+def _written_corpus(t):
+    def make():
+        path = scratch(t.spark, "corpus")
+        writers.corpus_xml(_corpus_files(t), path)
+        return readers.corpus_xml(t.spark, path).withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
+    return t.written("corpus_xml", make)
+
+
+@query("corpus_xml_sentences", S.with_tables(S.LINES, select=r"""
+SELECT 'd' || doc_id AS file, ((sent_pos - 1) // 10 + 1) || '' AS para_id, sent_pos || '' AS sent_id,
+       CASE WHEN sent_pos % 3 = 0 THEN lang END AS lang, md5(trim(text)) AS md5 FROM lines"""))
+def _(t):
+    return _written_corpus(t).select("file", "para_id", "sent_id", "lang", F.md5(F.trim("text")).alias("md5"))
+
+
+@query("corpus_folder_counts", S.with_tables(S.LINES, select="""
+SELECT 'd' || doc_id AS file, CAST(count(*) AS BIGINT) AS records FROM lines GROUP BY doc_id"""))
+def _(t):
+    path = scratch(t.spark, "folder")
+    writers.corpus_xml(_corpus_files(t), path)
+    _, counts = readers.corpus_dir(t.spark, path)
+    return counts.withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
+
+
+@query("alignment_files", S.with_tables(LADDER, select="""
+SELECT d.src_path, d.trg_path, array_to_string(src_ids, ' ') AS src_ids, array_to_string(trg_ids, ' ') AS trg_ids, score
+FROM ladder JOIN doc_pairs d USING (pair_id)"""))
+def _(t):
+    path = scratch(t.spark, "xces")
+    named = t.doc_pairs.select("pair_id", "src_path", "trg_path",
+                               F.concat("src_lang", F.lit("-"), "trg_lang", F.lit("-"), "slot").alias("file"))
+    writers.xces(align.ladder_to_links(_rungs(t)).join(named, "pair_id"), path)
+    out = readers.xces(t.spark, path)
+    return out.select("src_path", "trg_path", F.array_join("src_ids", " ").alias("src_ids"),
+                      F.array_join("trg_ids", " ").alias("trg_ids"), "score")
+
+
+@query("convert_memory_to_text", S.with_tables(UNITS, select=r"""
+SELECT md5(trim(regexp_replace(replace(seg, '|', '_'), '  +', ' ', 'g'))) AS md5, CAST(count(*) AS BIGINT) AS n FROM units GROUP BY 1"""))
+def _(t):
+    source, sink = scratch(t.spark, "memory"), scratch(t.spark, "converted")
+    writers.tmx(_units(t), source, files=4)
+    jobs.convert(t.spark, "tmx", source, "text", sink, column="seg", order=["tu_id", "lang"])
+    return readers.numbered_lines(t.spark, sink).groupBy(F.md5("text").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_any_xml", r"""
+WITH body AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<\?.*?\?>|<!\[?[A-Z].*?>|<head\b.*?</head>', '', 'g') AS b FROM pages),
+pieces AS (SELECT page_id, list_filter(list_transform(string_split_regex(b, '<[^>]+>'), lambda x: trim(regexp_replace(
+  replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'),
+  '""" + SPACE + r"""+', ' ', 'g'))), lambda x: x <> '') AS ps FROM body)
+SELECT page_id, CAST(len(ps) AS BIGINT) AS segments, md5(replace(array_to_string(ps, ' '), ' ', '')) AS md5 FROM pieces
+WHERE len(ps) > 0""")
+def _(t):
+    """Segments per page, and their sentences put together without blanks."""
+    out = readers.xml_segments(t.pages.select("page_id", F.col("html").alias("text")))
+    return out.groupBy("page_id").agg(
+        F.max("seg_pos").cast("bigint").alias("segments"),
+        F.md5(F.replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "sent_pos", "sentence"))),
+                                                 lambda x: x["sentence"]), ""), F.lit(" "), F.lit(""))).alias("md5"))
+
+
+@query("subtitle_cues", S.with_tables(S.LINES, select=r"""
+SELECT doc_id, CAST(sent_pos AS INTEGER) AS cue, sent_pos * 2.5::DOUBLE AS t_start, sent_pos * 2.5::DOUBLE + 61.25 AS t_end,
+       md5(trim(regexp_replace(regexp_replace(regexp_replace('"' || text || '"', '""+', '"', 'g'), '<[^>]+>', '', 'g'), '"""
+       + SPACE + r"""+', ' ', 'g'))) AS md5 FROM lines"""))
+def _(t):
+    def stamp(sec):
+        return F.format_string("%02d:%02d:%02d,%03d", F.floor(sec / 3600), F.floor(sec % 3600 / 60),
+                               F.floor(sec % 60), F.round(sec * 1000 % 1000).cast("bigint"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    def cue(x, i):
+        start = (i + 1) * 2.5
+        return F.concat((i + 1).cast("string"), F.lit("\r\n"), stamp(start), F.lit(" --> "), stamp(start + 61.25),
+                        F.lit("\r\n{y:i}''"), F.concat(F.lit("<i>"), x, F.lit("</i>''\r\n")))
+    files = t.documents.select("doc_id", F.array_join(F.transform(lines, cue), "\r\n").alias("text"))
+    return readers.srt(files).select("doc_id", "cue", "t_start", "t_end", F.md5("text").alias("md5"))
+
+
+@query("decode_charsets", """
+SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1) THEN 'UTF-8' WHEN doc_id % 5 = 2 THEN 'UTF-16LE' WHEN doc_id % 5 = 3 THEN 'UTF-16BE'
+  WHEN regexp_matches(text, '[^\\x00-\\x7f]') THEN 'windows-1252' ELSE 'UTF-8' END AS charset, md5(text) AS md5 FROM documents""")
+def _(t):
+    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    kind = F.col("doc_id") % 5
+    marked = F.concat(F.lit("﻿"), "text")
+    content = (F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.encode(marked, "UTF-8"))
+               .when(kind == 2, F.encode(marked, "UTF-16LE")).when(kind == 3, F.encode(marked, "UTF-16BE"))
+               .otherwise(F.encode("text", "windows-1252")))
+    files = t.documents.select("doc_id", "lang", content.alias("content"))
+    return readers.decode_text(files).select("doc_id", "charset", F.md5("text").alias("md5"))
+
+
+def _long_units(t):
+    """Lines at the same place of documents of one family, as units of up to four languages."""
+    r = t.resources.select("doc_id", F.concat_ws("/", "slot", F.col("nr").cast("string")).alias("doc"))
+    return t.sentences.join(r, "doc_id").select("doc", F.col("sent_pos").alias("tu_id"), "lang", F.col("text").alias("seg"))
+
+
+FAMILIES = S.RESOURCES + "," + S.LINES + r""",
+tus AS (SELECT r.slot || '/' || r.nr AS doc, l.sent_pos AS tu_id, l.lang FROM lines l JOIN resources r USING (doc_id))"""
+
+
+@query("normalised_links", S.with_tables(FAMILIES, select="""
+SELECT a.doc, a.tu_id, a.lang AS src_lang, b.lang AS trg_lang FROM tus a JOIN tus b
+  ON a.doc = b.doc AND a.tu_id = b.tu_id AND a.lang < b.lang"""))
+def _(t):
+    return writers.normalised(_long_units(t))["links"]
+
+
+@query("normalised_sizes", S.with_tables(FAMILIES, select="""
+SELECT doc, lang AS kind, CAST(count(*) AS BIGINT) AS size FROM tus GROUP BY ALL UNION ALL
+SELECT a.doc, a.lang || '-' || b.lang, CAST(count(*) AS BIGINT) FROM tus a JOIN tus b
+  ON a.doc = b.doc AND a.tu_id = b.tu_id AND a.lang < b.lang GROUP BY ALL"""))
+def _(t):
+    return writers.normalised(_long_units(t))["sizes"]
+
+
+@query("normalised_partners", S.with_tables(FAMILIES, select="""
+SELECT a.doc, a.lang, array_to_string(list_sort(list(DISTINCT b.lang)), ',') AS aligned_with FROM tus a JOIN tus b
+  ON a.doc = b.doc AND a.tu_id = b.tu_id AND a.lang <> b.lang GROUP BY ALL"""))
+def _(t):
+    return writers.normalised(_long_units(t))["aligned_with"].withColumn("aligned_with", F.array_join("aligned_with", ","))
+
+
+# -- intake ---------------------------------------------------------------------------------
+
+FILES = r"""
+files AS (SELECT doc_id, 'uploads/' || CASE doc_id % 6 WHEN 0 THEN 'moses/p.' || lang WHEN 1 THEN 'x/.hidden.txt'
+  WHEN 2 THEN 'html/a%20' || doc_id WHEN 3 THEN 'x/b' || doc_id || '.TMX.gz' WHEN 4 THEN 'x/c' || doc_id || '.xyz'
+  ELSE 'x/d' || doc_id || '.srt' END AS path FROM documents)"""
+
+
+def _files(t):
+    k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    name = (F.when(k == 0, F.concat(F.lit("moses/p."), "lang")).when(k == 1, "x/.hidden.txt")
+            .when(k == 2, F.concat(F.lit("html/a%20"), n)).when(k == 3, F.concat(F.lit("x/b"), n, F.lit(".TMX.gz")))
+            .when(k == 4, F.concat(F.lit("x/c"), n, F.lit(".xyz"))).otherwise(F.concat(F.lit("x/d"), n, F.lit(".srt"))))
+    return t.documents.select("doc_id", F.concat(F.lit("uploads/"), name).alias("path"))
+
+
+@query("route_formats", S.with_tables(FILES, select="""
+SELECT doc_id, replace(path, '%20', ' ') AS name, CASE doc_id % 6 WHEN 0 THEN 'moses' WHEN 1 THEN 'text' WHEN 2 THEN 'html'
+  WHEN 3 THEN 'tmx' WHEN 4 THEN 'unknown' ELSE 'srt' END AS format FROM files"""))
+def _(t):
+    return ingest.route(_files(t)).select("doc_id", "name", "format")
+
+
+@query("select_uploads", S.with_tables(FILES, select="SELECT doc_id, path FROM files WHERE doc_id % 6 IN (3, 5)"))
+def _(t):
+    return ingest.select(_files(t))
+
+
+def _validated(t):
+    """Documents as members of an archive per source: unlabelled ones count as broken, short ones as empty."""
+    r = t.resources.join(t.labels, "doc_id", "left")
+    return ingest.validate(r.select(F.col("slot").alias("archive"), "path",
+                                    F.when(F.col("size") < 3, 0).otherwise(F.col("size")).alias("records"),
+                                    F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("broken")))
+
+
+VALIDATED = S.RESOURCES + r""",
+validated AS (SELECT slot AS archive, path, CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'failed' WHEN size < 3 THEN 'empty' ELSE 'ok' END AS outcome
+  FROM resources r LEFT JOIN labels l USING (doc_id))"""
+
+
+@query("import_outcomes", S.with_tables(VALIDATED, select="SELECT path, outcome FROM validated"))
+def _(t):
+    return _validated(t).select("path", "outcome")
+
+
+@query("import_report", S.with_tables(VALIDATED, select="""
+SELECT archive, CAST(count(*) FILTER (outcome = 'ok') AS BIGINT) AS ok, CAST(count(*) FILTER (outcome = 'failed') AS BIGINT) AS failed,
+       CAST(count(*) FILTER (outcome = 'empty') AS BIGINT) AS empty FROM validated GROUP BY archive"""))
+def _(t):
+    return ingest.report(_validated(t))
+
+
+@query("import_problems", S.with_tables(VALIDATED, select="SELECT archive, path, outcome FROM validated WHERE outcome <> 'ok'"))
+def _(t):
+    return ingest.problems(_validated(t))
+
+
+@query("new_checksums", S.with_tables(S.RESOURCES, select="""
+SELECT path, md5(text) AS md5 FROM resources JOIN documents USING (doc_id)
+WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""))
+def _(t):
+    docs = t.documents.select("doc_id", "text").join(t.resources.select("doc_id", "path"), "doc_id")
+    known = t.resources.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    return ingest.checksums(docs, known)
+
+
+LOADED = S.PAIRS + r""",
+algs AS (SELECT slot || '/u/xml/' || src_lang || '-' || trg_lang || '/' || basename AS path, src_path, trg_path,
+    least(src_size, trg_size) AS links, src_lang || '-' || trg_lang AS pair FROM doc_pairs),
+new_algs AS (SELECT * FROM algs WHERE links % 2 = 1)"""
+
+
+def _loaded(t):
+    algs = t.doc_pairs.select(
+        F.concat_ws("/", "slot", F.lit("u/xml"), F.concat_ws("-", "src_lang", "trg_lang"), "basename").alias("path"),
+        "src_path", "trg_path", F.least("src_size", "trg_size").alias("links"))
+    docs = t.resources.select("path", F.col("size").alias("sentences"))
+    have = algs.where("links % 2 = 0").select("path").unionByName(t.resources.where("doc_id % 9 = 0").select("path"))
+    return ingest.load_corpus(algs, docs, have)
+
+
+@query("load_corpus_tree", S.with_tables(LOADED, select="""
+SELECT path, 'sentalign' AS kind, links AS size FROM new_algs UNION ALL
+SELECT path, 'corpusfile', size FROM resources WHERE doc_id % 9 <> 0
+  AND path IN (SELECT src_path FROM new_algs UNION SELECT trg_path FROM new_algs)"""))
+def _(t):
+    return _loaded(t)["records"]
+
+
+@query("loaded_language_pairs", S.with_tables(LOADED, select="SELECT DISTINCT pair FROM new_algs"))
+def _(t):
+    return _loaded(t)["pairs"]

@@ -1,8 +1,210 @@
-"""Readers."""
-from pyspark.sql import DataFrame
+"""Corpus formats as DataFrames.  Every reader names its schema, so no file is read to infer one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinscript.functions import lang as L
+from twinscript.functions import paths
+from twinscript.functions import text as X
+from twinscript.session import cut_lineage
+
+TU = "tuv array<struct<`_xml:lang`: string, _lang: string, seg: string>>, _tuid string"
+LINK_GROUP = ("_fromDoc string, _toDoc string, "
+              "link array<struct<_id: string, _xtargets: string, _certainty: double>>")
+PARAGRAPH = "_id string, s array<struct<_id: string, _lang: string, _VALUE: string>>"
+XLIFF_FILE = ("`_source-language` string, `_target-language` string, _original string, "
+              "body struct<`trans-unit`: array<struct<_id: string, source: string, target: string>>>")
+
+
+def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    return (spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true")
+            .schema(schema).load(path))
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, text``: one row per file, plain or gzip."""
+    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+            .select(_file().alias("file"), F.col("value").alias("text")))
+
+
+def plain_text(spark: SparkSession, path: str, lang: Column, method: str = "rules") -> DataFrame:
+    """Text files as numbered sentences; ``lang`` may use the column ``file``."""
+    return X.read_text(whole_files(spark, path).withColumn("lang", lang), method=method)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, text`` for files of any size.
+
+    A file is read in blocks by many tasks.  Within a block rows keep their order, so a line's
+    number is its place in the block plus the lines of the blocks before; only one row per block
+    is gathered to add those up.
+    """
+    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
+             .select(_file().alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    return lines.join(starts, ["file", "_block"]).select(
+        "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "text")
+
 
 def slice_lines(lines: DataFrame, first: int, last: int, number: str = "line_no") -> DataFrame:
     """Lines ``first`` to ``last`` of each resource, by the line number the rows carry."""
     return lines.where(F.col(number).between(first, last))
+
+
+def moses(lines: DataFrame, first: str, *others: str) -> DataFrame:
+    """Line-parallel files ``base.lang`` as ``base, line_no`` and one column per language.
+
+    Line numbers are matched; the first language decides how many there are.
+    """
+    named = lines.withColumn("lang", F.regexp_extract("file", r"\.([^./]+)$", 1)).withColumn(
+        "base", F.regexp_replace("file", r"\.[^./]+$", ""))
+    def side(code: str) -> DataFrame:
+        return named.where(F.col("lang") == code).select("base", "line_no", F.col("text").alias(code))
+    out = side(first)
+    for code in others:
+        out = out.join(side(code), ["base", "line_no"], "left")
+    return out
+
+
+def tmx(spark: SparkSession, path: str) -> DataFrame:
+    """``file, tu_id, lang, seg``: the segments of a translation memory; languages in two letters."""
+    units = _xml(spark, path, "tu", TU).select(
+        _file().alias("file"), F.col("_tuid").alias("tu_id"), F.explode("tuv").alias("v"))
+    named = units.select("file", "tu_id", F.coalesce("v.`_xml:lang`", "v._lang").alias("_code"),
+                         F.trim(F.regexp_replace("v.seg", X.SPACE, " ")).alias("seg"))
+    return L.to_two(named, "_code", "lang").select("file", "tu_id", F.lower("lang").alias("lang"), "seg")
+
+
+def xliff(spark: SparkSession, path: str) -> DataFrame:
+    """``file, original, unit_id, src_lang, trg_lang, source, target``."""
+    files = _xml(spark, path, "file", XLIFF_FILE)
+    return files.select(
+        _file().alias("file"), F.col("_original").alias("original"), F.col("`_source-language`").alias("src_lang"),
+        F.col("`_target-language`").alias("trg_lang"), F.explode("body.`trans-unit`").alias("u")).select(
+        "file", "original", F.col("u._id").alias("unit_id"), "src_lang", "trg_lang", "u.source", "u.target")
+
+
+def xces(spark: SparkSession, path: str) -> DataFrame:
+    """``file, src_path, trg_path, link_pos, src_ids, trg_ids, score`` of alignment files."""
+    groups = _xml(spark, path, "linkGrp", LINK_GROUP).select(
+        _file().alias("file"), F.col("_fromDoc").alias("src_path"), F.col("_toDoc").alias("trg_path"),
+        F.posexplode("link").alias("_p", "l"))
+    def ids(i: int) -> Column:
+        side = F.get(F.split("l._xtargets", r"\s*;\s*"), F.lit(i))
+        return F.filter(F.split(side, r"\s+"), lambda x: x != "")
+    return groups.select("file", "src_path", "trg_path", (F.col("_p") + 1).alias("link_pos"),
+                         ids(0).alias("src_ids"), ids(1).alias("trg_ids"), F.col("l._certainty").alias("score"))
+
+
+def corpus_xml(spark: SparkSession, path: str) -> DataFrame:
+    """``file, para_id, sent_id, lang, text`` of corpus files.
+
+    A sentence without an id gets ``paragraph.position``.
+    """
+    paras = _xml(spark, path, "p", PARAGRAPH).select(
+        _file().alias("file"), F.col("_id").alias("para_id"), F.posexplode("s").alias("_p", "s"))
+    made = F.concat_ws(".", F.col("para_id"), (F.col("_p") + 1).cast("string"))
+    return paras.select("file", "para_id", F.coalesce("s._id", made).alias("sent_id"),
+                        F.col("s._lang").alias("lang"), F.trim("s._VALUE").alias("text"))
+
+
+def corpus_dir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All sentences below a folder, and how many each file holds."""
+    sentences = corpus_xml(spark, path)
+    return sentences, sentences.groupBy("file").agg(F.count(F.lit(1)).alias("records"))
+
+
+# Entities of XML text.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def unescape(c: Column) -> Column:
+    for entity, sign in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return c
+
+
+def xml_segments(docs: DataFrame, text: str = "text", lang: Column | None = None) -> DataFrame:
+    """Any XML: the text between two tags is a segment, ``head`` is kept out, segments are split."""
+    keys = [c for c in docs.columns if c != text]
+    body = F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>|<!\[?[A-Z].*?>|<head\b.*?</head>", "")
+    pieces = F.filter(F.transform(F.split(body, "<[^>]+>"), lambda x: X.whitespace(unescape(x))), lambda x: x != "")
+    language = F.lit("en") if lang is None else lang
+    return docs.select(*keys, F.posexplode(pieces).alias("_p", "segment")).select(
+        *keys, (F.col("_p") + 1).alias("seg_pos"),
+        F.posexplode(X.split_sentences(F.col("segment"), language)).alias("_s", "sentence")).select(
+        *keys, "seg_pos", (F.col("_s") + 1).alias("sent_pos"), "sentence")
+
+
+CUE = r"(?s)^\s*(\d+)\s*\n([0-9:,]+) --> ([0-9:,]+)[^\n]*\n(.*)$"
+
+
+def srt(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Subtitle cues: number, start and end in seconds, cleaned text."""
+    keys = [c for c in docs.columns if c != text]
+    lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    cues = docs.select(*keys, F.explode(F.split(lines, r"\n[ \t]*\n\s*")).alias("_cue")).where(
+        F.col("_cue").rlike(CUE))
+    part = [F.regexp_extract("_cue", CUE, i) for i in (1, 2, 3, 4)]
+    return cues.select(*keys, part[0].cast("int").alias("cue"), X.seconds(part[1]).alias("t_start"),
+                       X.seconds(part[2]).alias("t_end"),
+                       X.whitespace(X.clean_cue(part[3])).alias("text"))
+
+
+# Byte order marks, and the charset of texts that are not UTF-8, by language.
+CHARSETS = {
+    "windows-1250": ["sq", "bs", "cs", "pl", "ro", "sr", "hr", "sk", "sl", "hu"],
+    "windows-1251": ["bg", "mk", "ru", "be", "uk"], "windows-1253": ["el"], "windows-1254": ["tr"],
+    "windows-1255": ["he"], "windows-1256": ["ar"], "windows-1257": ["lv", "lt"], "ISO-8859-4": ["is"],
+    "windows-1252": ["da", "nl", "eo", "et", "fi", "fr", "de", "it", "no", "pt", "es", "sv", "en"],
+}
+
+
+def charset(content: Column, lang: Column) -> Column:
+    """Charset by byte order mark, then UTF-8 if valid, then the language's usual one."""
+    head = F.hex(F.substring(content, 1, 3))
+    out = (F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE")
+           .when(head.startswith("FEFF"), "UTF-16BE").when(F.is_valid_utf8(content.cast("string")), "UTF-8"))
+    for name, langs in CHARSETS.items():
+        out = out.when(lang.isin(langs), name)
+    return out.otherwise("windows-1252")
+
+
+def decode_text(files: DataFrame, content: str = "content", lang: str = "lang") -> DataFrame:
+    """Add ``charset`` and ``text`` (without byte order mark) to rows of bytes.
+
+    Charsets beyond the Unicode ones need a session setting, which is made here.
+    """
+    files.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    named = files.withColumn("charset", charset(F.col(content), F.col(lang)))
+    text = None
+    for name in ["UTF-8", "UTF-16LE", "UTF-16BE", *CHARSETS]:
+        value = F.decode(content, name)
+        text = F.when(F.col("charset") == name, value) if text is None else text.when(F.col("charset") == name, value)
+    return named.withColumn("text", F.regexp_replace(text, "^﻿", ""))
+
+
+_READERS: dict[str, Callable[..., DataFrame]] = {
+    "tmx": tmx, "xliff": xliff, "xces": xces, "xml": corpus_xml,
+    "moses": numbered_lines, "text": whole_files,
+}
+
+
+def register(name: str, fn: Callable[..., DataFrame]) -> None:
+    """Add a reader (session, path) → DataFrame."""
+    _READERS[name] = fn
+
+
+def read(spark: SparkSession, fmt: str, path: str) -> DataFrame:
+    return _READERS[fmt](spark, path)
