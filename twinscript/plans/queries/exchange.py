@@ -55,12 +55,12 @@ def _(t):
     path = scratch(t.spark, "xliff")
     def shown(c):
         return X.escape_xml(X.whitespace(X.clean_xml(F.col(c))))
-    unit = F.concat(F.lit('<trans-unit id="'), F.col("turn").cast("string"), F.lit('"><source>'), shown("src_text"),
-                    F.lit("</source><target>"), shown("trg_text"), F.lit("</target></trans-unit>"))
-    rows = t.bitext.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), "turn", unit.alias("line"))
-    head = F.concat(F.lit('<xliff version="1.2"><file original="'), F.col("file"),
-                    F.lit('" source-language="en" target-language="fr"><body>'))
-    writers.write_framed(rows, path, ["turn"], head, F.lit("</body></file></xliff>"))
+    unit = F.concat(F.lit('<file original="c'), F.col("conv_id").cast("string"),
+                    F.lit('" source-language="en" target-language="fr"><body><trans-unit id="'), F.col("turn").cast("string"),
+                    F.lit('"><source>'), shown("src_text"), F.lit("</source><target>"), shown("trg_text"),
+                    F.lit("</target></trans-unit></body></file>"))
+    rows = t.bitext.select(writers.bucket("pair_id", 4).alias("file"), "pair_id", unit.alias("line"))
+    writers.write_framed(rows, path, ["pair_id"], F.lit('<xliff version="1.2">'), F.lit("</xliff>"))
     return readers.xliff(t.spark, path).select("original", "unit_id", "src_lang", "trg_lang",
                                                F.md5("source").alias("source"), F.md5("target").alias("target"))
 
@@ -72,9 +72,10 @@ lined AS (SELECT conv_id, turn, trim(regexp_replace(replace(replace(src_text, ch
 SELECT row_number() OVER (ORDER BY conv_id, turn) AS line_no, en, fr FROM lined"""))
 def _(t):
     path = scratch(t.spark, "moses")
-    writers.moses(t.bitext, path, "en", "fr", ["conv_id", "turn"], max_length=600)
+    writers.moses(t.bitext, path, "en", "fr", ["conv_id", "turn"], lines_per_file=50, max_length=600)
     lines = readers.numbered_lines(t.spark, path).withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
-    return readers.moses(lines, "en", "fr").select("line_no", "en", "fr")
+    part = F.regexp_extract("base", r"(\d+)$", 1).cast("bigint")
+    return readers.moses(lines, "en", "fr").select((part * 50 + F.col("line_no")).alias("line_no"), "en", "fr")
 
 
 @query("text_export_lines", S.with_tables(S.BITEXT, select=r"""
@@ -97,29 +98,26 @@ def _(t):
 
 
 def _corpus_files(t):
-    """Documents as corpus files, ten lines to a paragraph."""
-    return t.sentences.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"),
-                              (F.floor((F.col("sent_pos") - 1) / 10) + 1).alias("para_id"), "sent_pos",
+    """Corpus files of 64 documents, ten lines to a paragraph."""
+    para = F.concat_ws(".", F.col("doc_id").cast("string"), (F.floor((F.col("sent_pos") - 1) / 10) + 1).cast("string"))
+    return t.sentences.select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 64).cast("string")).alias("file"),
+                              para.alias("para_id"), "sent_pos",
                               F.when(F.col("sent_pos") % 3 == 0, F.col("lang")).alias("lang"), "text")
 
 
-def _written_corpus(t):
-    def make():
-        path = scratch(t.spark, "corpus")
-        writers.corpus_xml(_corpus_files(t), path)
-        return readers.corpus_xml(t.spark, path).withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
-    return t.written("corpus_xml", make)
-
-
 @query("corpus_xml_sentences", S.with_tables(S.LINES, select=r"""
-SELECT 'd' || doc_id AS file, ((sent_pos - 1) // 10 + 1) || '' AS para_id, sent_pos || '' AS sent_id,
+SELECT 'd' || doc_id // 64 AS file, doc_id || '.' || ((sent_pos - 1) // 10 + 1) AS para_id, sent_pos || '' AS sent_id,
        CASE WHEN sent_pos % 3 = 0 THEN lang END AS lang, md5(trim(text)) AS md5 FROM lines"""))
 def _(t):
-    return _written_corpus(t).select("file", "para_id", "sent_id", "lang", F.md5(F.trim("text")).alias("md5"))
+    path = scratch(t.spark, "corpus")
+    writers.corpus_xml(_corpus_files(t), path)
+    return readers.corpus_xml(t.spark, path).select(
+        F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "para_id", "sent_id", "lang",
+        F.md5(F.trim("text")).alias("md5"))
 
 
 @query("corpus_folder_counts", S.with_tables(S.LINES, select="""
-SELECT 'd' || doc_id AS file, CAST(count(*) AS BIGINT) AS records FROM lines GROUP BY doc_id"""))
+SELECT 'd' || doc_id // 64 AS file, CAST(count(*) AS BIGINT) AS records FROM lines GROUP BY 1"""))
 def _(t):
     path = scratch(t.spark, "folder")
     writers.corpus_xml(_corpus_files(t), path)
@@ -133,7 +131,7 @@ FROM ladder JOIN doc_pairs d USING (pair_id)"""))
 def _(t):
     path = scratch(t.spark, "xces")
     named = t.doc_pairs.select("pair_id", "src_path", "trg_path",
-                               F.concat("src_lang", F.lit("-"), "trg_lang", F.lit("-"), "slot").alias("file"))
+                               writers.bucket("pair_id", 8).alias("file"))
     writers.xces(align.ladder_to_links(_rungs(t)).join(named, "pair_id"), path)
     out = readers.xces(t.spark, path)
     return out.select("src_path", "trg_path", F.array_join("src_ids", " ").alias("src_ids"),

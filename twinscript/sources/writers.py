@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinscript.functions import text as X
 from twinscript.operators import bitext as B
+from twinscript.operators.numbering import number_rows, plain
 from twinscript.session import spread
 
 
@@ -66,19 +67,20 @@ def corpus_xml(sentences: DataFrame, path: str) -> None:
                  F.lit('<?xml version="1.0" encoding="utf-8"?>\n<text>'), F.lit("</text>"))
 
 
-def moses(bitext: DataFrame, path: str, src: str, trg: str, order: list[str], files: int = 1,
-          max_length: int | None = None) -> None:
-    """Two line-parallel texts from the same sorted rows; unusable records are left out.
+def moses(bitext: DataFrame, path: str, src: str, trg: str, order: list[str],
+          lines_per_file: int = 1_000_000, max_length: int | None = None) -> None:
+    """Two line-parallel texts from one numbering; unusable records are left out.
 
-    Both languages are written by one job, each part file of one side next to its partner.
+    Part ``n`` of a language holds the lines after the first ``n · lines_per_file``, and so does
+    part ``n`` of the other; no task writes more than one part.
     """
-    clean = B.clean(bitext, max_length)
-    name = bucket(order[0], files) if files > 1 else F.lit("text")
+    numbered = plain(number_rows(B.clean(bitext, max_length), order, name="_no"))
+    base = F.format_string("text-%05d", F.floor((F.col("_no") - 1) / lines_per_file))
     sides = F.explode(F.array(*[F.struct(F.lit(l).alias("lang"), plain_line(F.col(c)).alias("value"))
                                 for l, c in ((src, "src_text"), (trg, "trg_text"))]))
-    rows = clean.select(name.alias("base"), F.struct(*order).alias("_order"), sides.alias("x")).select(
-        F.concat_ws(".", "base", "x.lang").alias("file"), "_order", "x.value")
-    (spread(rows, "file").sortWithinPartitions("file", "_order").select("file", "value")
+    rows = numbered.select(base.alias("base"), "_no", sides.alias("x")).select(
+        F.concat_ws(".", "base", "x.lang").alias("file"), "_no", "x.value")
+    (spread(rows, "file").sortWithinPartitions("file", "_no").select("file", "value")
      .write.partitionBy("file").text(path))
 
 
