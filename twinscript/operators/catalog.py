@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscript.functions import paths
+from twinscript.operators.numbering import with_neighbours
 
 HISTORY_FLAG = "_METADATATYPE_"
 # Condition prefixes, and the form of keys that are left out.
@@ -286,12 +287,9 @@ def archive(catalog: DataFrame, paths_: DataFrame) -> DataFrame:
 def history(changes: DataFrame, key: str = "path", order: str = "revision") -> DataFrame:
     """Revisions in order with what each replaced; ``is_current`` marks the last one.
 
-    A path's revisions are those of one resource.
+    A resource may have any number of revisions: they are sorted across tasks.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(order)
-    return (changes.withColumn("previous", F.lag("value").over(w))
-            .withColumn("is_current", F.lead(order).over(w).isNull()))
+    return with_neighbours(changes, [key], [order], "value", "previous", "is_current")
 
 
 # Levels of parameters, weakest first.

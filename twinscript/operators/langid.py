@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinscript.session import spread
 
@@ -23,17 +30,16 @@ def sample_text(text: Column) -> Column:
     return F.when(F.length(head) - 2 * BOILERPLATE > MAX_TEXT / 2, inner).otherwise(head)
 
 
-def ngrams(df: DataFrame, keys: list[str], text: str = "text", placed: bool = False) -> DataFrame:
+def ngrams(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, ngram, n``: 1–5-grams of each word, with ``_`` at both ends.
 
     Words are counted first, so n-grams are cut once per distinct word and key, not per
-    occurrence.  ``placed`` says that the rows are already distributed by key.
+    occurrence.
     """
     words = df.select(*keys, F.explode(F.split(text, r"[0-9\s]+")).alias("word")).where("word != ''")
     counted = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("w"))
-    if not placed:
-        # distinct words are few bytes, the n-grams cut from them are not
-        counted = spread(counted, *keys, "word")
+    # distinct words are few bytes, the n-grams cut from them are not
+    counted = spread(counted, *keys, "word")
     padded = counted.select(*keys, "w", F.concat(F.lit("_"), "word", F.lit("_")).alias("word"))
     starts = padded.select(*keys, "w", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
     longest = starts.select(*keys, "w", F.substring(F.col("word"), F.col("i"), F.lit(LONGEST)).alias("g"))
@@ -57,39 +63,91 @@ def train(texts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
     return rank(ngrams(texts, [lang], text), [lang]).select(F.col(lang).alias("lang"), "ngram", "rank")
 
 
-def distances(texts: DataFrame, keys: list[str], models: DataFrame, text: str = "text") -> DataFrame:
-    """Out-of-place distance of each text to each model: rank differences, ``TOP`` if unseen.
+# a model holds TOP n-grams, and there are fewer than 8,000 language codes
+MOST_MODEL_ROWS = 8000 * TOP
+
+
+def _model_table(models: DataFrame) -> tuple[list[str], dict[str, int], np.ndarray]:
+    """Models as a matrix of ranks, n-grams by languages; 0 where a model lacks the n-gram."""
+    rows = models.select("lang", "ngram", "rank").limit(MOST_MODEL_ROWS + 1).collect()
+    if len(rows) > MOST_MODEL_ROWS:
+        raise ValueError("these are no language models: more rows than languages times ranks")
+    langs = sorted({r["lang"] for r in rows})
+    grams = {g: i for i, g in enumerate(sorted({r["ngram"] for r in rows}))}
+    ranks = np.zeros((len(grams), len(langs)), np.int32)
+    column = {lang: i for i, lang in enumerate(langs)}
+    for r in rows:
+        ranks[grams[r["ngram"]], column[r["lang"]]] = r["rank"]
+    return langs, grams, ranks
+
+
+@lru_cache(maxsize=50_000)
+def word_ngrams(word: str) -> tuple[str, ...]:
+    w = f"_{word}_"
+    return tuple(w[i:i + n] for n in range(1, min(LONGEST, len(w)) + 1) for i in range(len(w) - n + 1))
+
+
+def top_ngrams(text: str) -> list[str]:
+    """The ranked n-grams of one text, as ``rank`` orders them."""
+    words = filter(None, re.split(r"[0-9\s]+", text, flags=re.ASCII))
+    counts = Counter(chain.from_iterable(map(word_ngrams, words)))
+    least = sorted(counts.values(), reverse=True)[TOP - 1] if len(counts) > TOP else 0
+    return [g for _, g in sorted([(-n, g) for g, n in counts.items() if n >= least])[:TOP]]
 
-    The distance is TOP·(n-grams of the text) minus what the shared n-grams save, so only an
-    equi-join on the n-gram is needed.  Texts are distributed by key first, and all counting and
-    ranking per text stays in that partitioning.
+
+_DISTANCES = T.ArrayType(T.StructType([T.StructField("distance", T.LongType()), T.StructField("model", T.StringType())]))
+
+
+def _measured(texts: DataFrame, models: DataFrame, text: str) -> Column:
+    """``array<distance, model>`` of a text against every model it shares an n-gram with, nearest first.
+
+    The models are small by construction (their size is checked) and go to every task, so texts are
+    rated where they are read: nothing is shuffled, whatever the sizes of texts or languages.
     """
-    own = spread(texts.select(*keys, text), *keys)
-    mine = rank(ngrams(own, keys, text, placed=True), keys).select(*keys, "ngram", F.col("rank").alias("r"))
-    model = models.select(F.col("lang").alias("model"), "ngram", "rank")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    hits = mine.withColumn("size", size).join(model, "ngram", "left")
-    saved = F.sum(F.when(F.col("model").isNotNull(), TOP - F.abs(F.col("r") - F.col("rank")))).cast("bigint")
-    near = hits.groupBy(*keys, "model", "size").agg(saved.alias("saved"))
-    return (near.where(F.col("model").isNotNull())
-            .select(*keys, "model", (F.col("size") * TOP - F.col("saved")).alias("distance")))
+    shared = texts.sparkSession.sparkContext.broadcast(_model_table(models))
+
+    @F.pandas_udf(_DISTANCES)
+    def measure(column: pd.Series) -> pd.Series:
+        langs, grams, ranks = shared.value
+        out = []
+        for value in column:
+            mine = top_ngrams(value or "")
+            known = [(grams[g], r) for r, g in enumerate(mine, 1) if g in grams]
+            if not known:
+                out.append([])
+                continue
+            at, place = (np.array(x) for x in zip(*known))
+            theirs = ranks[at]
+            saved = np.where(theirs > 0, TOP - np.abs(theirs - place[:, None]), 0).sum(axis=0)
+            seen = (theirs > 0).any(axis=0)
+            total = len(mine) * TOP - saved
+            out.append(sorted(({"distance": int(total[i]), "model": langs[i]} for i in np.flatnonzero(seen)),
+                              key=lambda d: (d["distance"], d["model"])))
+        return pd.Series(out)
+
+    # so marked, the plan keeps one call per text instead of one per use of its result
+    return measure.asNondeterministic()(text)
+
+
+def distances(texts: DataFrame, keys: list[str], models: DataFrame, text: str = "text") -> DataFrame:
+    """Out-of-place distance of each text to each model: rank differences, ``TOP`` if unseen."""
+    rated = texts.select(*keys, F.explode(_measured(texts, models, text)).alias("d"))
+    return rated.select(*keys, "d.model", "d.distance")
 
 
 def classify(texts: DataFrame, keys: list[str], models: DataFrame, text: str = "text") -> DataFrame:
     """``keys, candidates, detected``: the languages within 5 % of the best, nearest first.
 
-    With more than ten of them the language is unknown; the same holds for a text that shares no
-    n-gram with any model.
+    With more than ten of them the language is unknown; a text that shares no n-gram with any
+    model is left out.  ``keys`` may name any columns to keep.
     """
-    d = distances(texts, keys, models, text)
-    best = F.min("distance").over(Window.partitionBy(*keys))
-    near = d.withColumn("_best", best).where(
-        (F.col("distance") < F.lit(NEAR) * F.col("_best")) | (F.col("distance") == F.col("_best")))
-    listed = near.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("distance", "model"))), lambda x: x["model"]).alias("candidates"))
-    many = F.size("candidates") > ALTERNATIVES
-    return listed.select(*keys, F.when(many, F.array(F.lit(UNKNOWN))).otherwise(F.col("candidates")).alias("candidates")) \
-        .withColumn("detected", F.element_at("candidates", 1))
+    rated = texts.select(*keys, _measured(texts, models, text).alias("_d")).where(F.size("_d") > 0)
+    best = F.col("_d")[0]["distance"]
+    near = F.transform(F.filter("_d", lambda d: (d["distance"] < F.lit(NEAR) * best) | (d["distance"] == best)),
+                       lambda d: d["model"])
+    many = F.size(near) > ALTERNATIVES
+    return rated.select(*keys, F.when(many, F.array(F.lit(UNKNOWN))).otherwise(near).alias("candidates")).withColumn(
+        "detected", F.element_at("candidates", 1))
 
 
 def resolve(classified: DataFrame, declared: str = "lang") -> DataFrame:
@@ -103,9 +161,8 @@ def resolve(classified: DataFrame, declared: str = "lang") -> DataFrame:
 def flags(sentences: DataFrame, keys: list[str], models: DataFrame, lang: str = "lang",
           text: str = "text") -> DataFrame:
     """Sentences whose language differs from their document's, with the detected one."""
-    found = classify(sentences, keys, models, text)
-    return (sentences.select(*keys, lang).join(found, keys).where(F.col("detected") != F.col(lang))
-            .select(*keys, lang, "detected"))
+    found = classify(sentences, [*keys, lang], models, text)
+    return found.where(F.col("detected") != F.col(lang)).select(*keys, lang, "detected")
 
 
 _CLASSIFIERS: dict[str, Callable[..., DataFrame]] = {"ngrams": classify}

@@ -31,6 +31,7 @@ def write_framed(rows: DataFrame, path: str, order: list[str], head: Column, foo
 
 
 def bucket(key: str, files: int) -> Column:
+    """Name of one of ``files`` output files, by a hash of the key."""
     return F.format_string("part-%05d", F.pmod(F.xxhash64(key), F.lit(files)))
 
 
@@ -88,8 +89,11 @@ TMX_HEAD = ('<?xml version="1.0" encoding="utf-8"?>\n<tmx version="1.4"><header
             'datatype="PlainText" creationtool="twinscript" adminlang="en" srclang="*all*" o-tmf="text"/><body>')
 
 
-def tmx(tus: DataFrame, path: str, files: int = 1) -> None:
-    """``tu_id, lang, seg`` as translation memories: languages sorted, units with one language left out."""
+def tmx(tus: DataFrame, path: str, files: int | None = None) -> None:
+    """``tu_id, lang, seg`` as translation memories: languages sorted, units with one language left out.
+
+    There are as many files as shuffle tasks unless a number is given.
+    """
     seg = F.concat(F.lit('<tuv xml:lang="'), F.col("lang"), F.lit('"><seg>'),
                    X.escape_xml(X.whitespace(X.clean_xml(F.col("seg")))), F.lit("</seg></tuv>"))
     units = tus.groupBy("tu_id").agg(
@@ -97,11 +101,12 @@ def tmx(tus: DataFrame, path: str, files: int = 1) -> None:
         F.size(F.array_distinct(F.transform("v", lambda r: r["lang"]))) > 1)
     line = F.concat(F.lit("<tu"), _attribute("tuid", F.col("tu_id")), F.lit(">"),
                     F.array_join(F.transform("v", lambda r: r["x"]), ""), F.lit("</tu>"))
+    files = files or int(tus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     write_framed(units.select(bucket("tu_id", files).alias("file"), "tu_id", line.alias("line")), path,
                  ["tu_id"], F.lit(TMX_HEAD), F.lit("</body></tmx>"))
 
 
-def tmx_unique(bitext: DataFrame, path: str, src: str, trg: str, files: int = 1) -> None:
+def tmx_unique(bitext: DataFrame, path: str, src: str, trg: str, files: int | None = None) -> None:
     """Each distinct pair once; the unit's id is a hash of its texts, the same in every run."""
     one = B.unique(bitext).withColumn("tu_id", F.sha2(F.concat_ws("\x1f", "src_text", "trg_text"), 256))
     both = F.explode(F.array(F.struct(F.lit(src).alias("lang"), F.col("src_text").alias("seg")),
