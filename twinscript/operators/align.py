@@ -45,16 +45,18 @@ def with_lengths(pairs: DataFrame, arrays: DataFrame, key: str = "doc_id") -> Da
     return pairs.join(src, "src_doc").join(trg, "trg_doc")
 
 
-def one_to_one(pairs: DataFrame, src_size: str = "src_size", trg_size: str = "trg_size") -> DataFrame:
+def one_to_one(pairs: DataFrame, src_size: str = "src_size", trg_size: str = "trg_size",
+               keep: tuple[str, ...] = ()) -> DataFrame:
     """The i-th sentence with the i-th; what is left over is linked to nothing.
 
-    Sentence ids are 1…size, so the links follow from the two sizes alone.
+    Sentence ids are 1…size, so the links follow from the two sizes alone.  ``keep`` names columns
+    of the pairs to pass on.
     """
     longest = F.greatest(src_size, trg_size)
     steps = F.when(longest > 0, F.sequence(F.lit(1), longest.cast("int")))
     none = F.array().cast("array<int>")
-    return (pairs.select("pair_id", src_size, trg_size, F.explode(steps).alias("link_pos"))
-            .select("pair_id", "link_pos",
+    return (pairs.select("pair_id", *keep, src_size, trg_size, F.explode(steps).alias("link_pos"))
+            .select("pair_id", *keep, "link_pos",
                     F.when(F.col("link_pos") <= F.col(src_size), F.array("link_pos")).otherwise(none).alias("src_ids"),
                     F.when(F.col("link_pos") <= F.col(trg_size), F.array("link_pos")).otherwise(none).alias("trg_ids"),
                     F.lit(None).cast("double").alias("score")))

@@ -16,23 +16,27 @@ def link_type(links: DataFrame, kind: str) -> DataFrame:
     return links.where((F.size("src_ids") == src) & (F.size("trg_ids") == trg))
 
 
-def assemble(links: DataFrame, pairs: DataFrame, sentences: DataFrame) -> DataFrame:
+def assemble(links: DataFrame, pairs: DataFrame, sentences: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Texts of both sides of each link; ids without a sentence are left out.
 
     Both sides go through one join on ``(doc, sentence)``, whose key is unique, so a large
-    document spreads over many tasks; a link's few sentences are then put together.
+    document spreads over many tasks; a link's few sentences are then put together.  Links that
+    carry ``src_doc`` and ``trg_doc`` are not joined with their pairs again.  ``keep`` names
+    columns of the links or pairs to pass on.
     """
-    docs = pairs.select("pair_id", "src_doc", "trg_doc")
-    l = links.join(docs, "pair_id")
-    def side(name: str) -> DataFrame:
-        return l.select("pair_id", "link_pos", F.lit(name).alias("side"), F.col(f"{name}_doc").alias("doc"),
-                        F.posexplode(f"{name}_ids").alias("n", "sent_pos"))
+    lacking = [c for c in ("src_doc", "trg_doc", *keep) if c not in links.columns]
+    l = links.join(pairs.select("pair_id", *lacking), "pair_id") if lacking else links
+    def side(name: str) -> Column:
+        return F.struct(F.lit(name).alias("side"), F.col(f"{name}_doc").alias("doc"),
+                        F.col(f"{name}_ids").cast("array<bigint>").alias("ids"))
+    sides = l.select("pair_id", "link_pos", *keep, F.explode(F.array(side("src"), side("trg"))).alias("x"))
+    ids = sides.select("pair_id", "link_pos", *keep, "x.side", "x.doc", F.posexplode("x.ids").alias("n", "sent_pos"))
     s = sentences.select(F.col("doc_id").alias("doc"), "sent_pos", "text")
-    parts = side("src").unionByName(side("trg")).join(s, ["doc", "sent_pos"])
     def text(name: str) -> Column:
         mine = F.collect_list(F.when(F.col("side") == name, F.struct("n", "text")))
         return F.array_join(F.transform(F.array_sort(mine), lambda x: x["text"]), " ")
-    return parts.groupBy("pair_id", "link_pos").agg(text("src").alias("src_text"), text("trg").alias("trg_text"))
+    return ids.join(s, ["doc", "sent_pos"]).groupBy("pair_id", "link_pos").agg(
+        text("src").alias("src_text"), text("trg").alias("trg_text"), *[F.first(c).alias(c) for c in keep])
 
 
 def is_clean(max_length: int | None = None, src: str = "src_text", trg: str = "trg_text") -> Column:

@@ -36,9 +36,9 @@ SELECT src_lang, trg_lang, CAST(count(*) AS BIGINT) AS links, CAST(count(DISTINC
 FROM texts WHERE length(src_text) <= 1000 AND length(trg_text) <= 1000 GROUP BY src_lang, trg_lang"""))
 def _(t):
     """Flagship: pair documents, link lines one to one, assemble the bitext, clean it, count."""
-    links = bitext.link_type(align.one_to_one(t.doc_pairs), "1:1")
-    texts = bitext.clean(bitext.assemble(links, t.doc_pairs, t.sentences), max_length=1000)
-    named = texts.join(t.doc_pairs.select("pair_id", "src_lang", "trg_lang"), "pair_id")
+    known = ("src_doc", "trg_doc", "src_lang", "trg_lang")
+    links = bitext.link_type(align.one_to_one(t.doc_pairs, keep=known), "1:1")
+    named = bitext.clean(bitext.assemble(links, t.doc_pairs, t.sentences, keep=known[2:]), max_length=1000)
     per_pair = named.groupBy("src_lang", "trg_lang", "pair_id").agg(
         F.count(F.lit(1)).alias("links"), F.sum(F.length("src_text")).alias("src_chars"),
         F.sum(F.length("trg_text")).alias("trg_chars"))

@@ -61,26 +61,21 @@ def _(t):
 
 
 FORWARD = TOKENS + "," + em_sql("lex", "src", "trg", 1) + r""",
-fwd AS (SELECT pair_id, s, t FROM (SELECT pair_id, s, t, row_number() OVER (PARTITION BY pair_id, t ORDER BY round(p, 7) DESC, s) AS rn
+fwd AS (SELECT pair_id, s, t FROM (SELECT pair_id, s, t, row_number() OVER (PARTITION BY pair_id, t ORDER BY round(p * 1e9) DESC, s) AS rn
   FROM src JOIN trg USING (pair_id) JOIN lex USING (src, trg)) WHERE rn = 1)"""
 BACKWARD = FORWARD + "," + em_sql("back", "trg", "src", 1) + r""",
-bwd AS (SELECT pair_id, s, t FROM (SELECT pair_id, s, t, row_number() OVER (PARTITION BY pair_id, s ORDER BY round(back.p, 7) DESC, t) AS rn
+bwd AS (SELECT pair_id, s, t FROM (SELECT pair_id, s, t, row_number() OVER (PARTITION BY pair_id, s ORDER BY round(back.p * 1e9) DESC, t) AS rn
   FROM src JOIN trg USING (pair_id) JOIN back ON back.src = trg.trg AND back.trg = src.src) WHERE rn = 1)"""
 
 
-def _steady(table):
-    """Probabilities cut to seven digits, so that equal ones are equal whatever the order of sums."""
-    return table.withColumn("p", F.round("p", 7))
-
-
 def _forward(t):
     b = _tokens(t)
-    return words.align(b, _steady(words.lexicon(b, rounds=1)))
+    return words.align(b, words.lexicon(b, rounds=1))
 
 
 def _backward(t):
     b = words.swap(_tokens(t))
-    return words.align(b, _steady(words.lexicon(b, rounds=1))).select("pair_id", F.col("t").alias("s"), F.col("s").alias("t"))
+    return words.align(b, words.lexicon(b, rounds=1)).select("pair_id", F.col("t").alias("s"), F.col("s").alias("t"))
 
 
 @query("word_links", S.with_tables(FORWARD, select="SELECT pair_id, CAST(s AS INTEGER) AS s, CAST(t AS INTEGER) AS t FROM fwd"))

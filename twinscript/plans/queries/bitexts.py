@@ -90,7 +90,7 @@ usable AS (SELECT *, row_number() OVER (ORDER BY pair_id, link_pos) AS rn FROM t
 SELECT pair_id, CAST(link_pos AS INTEGER) AS link_pos, rn AS row_no,
        CASE WHEN rn <= 50 THEN 'tune' WHEN rn <= 100 THEN 'eval' ELSE 'train' END AS part FROM usable"""))
 def _(t):
-    out = jobs.fetch(align.one_to_one(t.doc_pairs), t.doc_pairs, t.sentences, "1:1", PARTS, max_length=800)
+    out = jobs.fetch(align.one_to_one(t.doc_pairs, keep=("src_doc", "trg_doc")), t.doc_pairs, t.sentences, "1:1", PARTS, max_length=800)
     return out.select("pair_id", "link_pos", "row_no", "part")
 
 
