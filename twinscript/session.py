@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "twinscript", **conf: st
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # hash joins instead of sorts where every partition of one side turns out this small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
@@ -55,10 +57,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation
-    and every later reader sees the same rows in the same partitions."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table in the shared folder and read it back.
+
+    A lost executor then costs no recomputation, every later reader sees the same rows, and as the
+    table's size is known, Spark can choose joins by it.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
