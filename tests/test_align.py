@@ -133,3 +133,36 @@ def test_lexicon_finds_translations(spark):
     prior = spark.createDataFrame([("house", "das", 0.9)], "src string, trg string, p double")
     q = {(r["src"], r["trg"]): r["p"] for r in words.lexicon(b, rounds=1, priors=prior).collect()}
     assert q["house", "das"] > q["house", "haus"] * 0.9
+
+
+def test_shared_words_move_a_link(spark):
+    lens = [40, 40, 40, 40]
+    free = align.cheapest_path(np.array(lens), np.array(lens[:3]), band=0)
+    # source 3 and 4 share all words with target 2 and 3, source 1 with target 1
+    found = tuple(np.array(x) for x in ([1, 3, 4], [1, 2, 3], [9.0, 9.0, 9.0]))
+    moved = align.cheapest_path(np.array(lens), np.array(lens[:3]), band=0, overlap=found)
+    assert (2, 3, 1, 2) in [p[:4] for p in moved] and (3, 4, 2, 3) in [p[:4] for p in moved]
+    assert free != moved
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_gains_of_blocks_are_those_of_the_whole_table(seed):
+    rng = np.random.default_rng(seed)
+    n, m = 300, 280
+    at = rng.integers(1, [n + 1, m + 1], size=(500, 2))
+    dense = np.zeros((n + 1, m + 1))
+    value = rng.random(500)
+    np.add.at(dense, (at[:, 0], at[:, 1]), value)
+    rows, cols = np.arange(128, 256), np.arange(100, 281)
+    for (d1, d2), gain in zip(align.PRIORS, align._gains((at[:, 0], at[:, 1], value), list(align.PRIORS), rows, cols)):
+        for i, j in ((128, 100), (200, 150), (255, 280)):
+            assert gain[i - 128, j - 100] == pytest.approx(dense[i - d1 + 1:i + 1, j - d2 + 1:j + 1].sum())
+
+
+def test_overlap_through_translations(spark):
+    words_ = spark.createDataFrame([(1, 1, "house"), (1, 2, "book"), (2, 1, "haus"), (2, 1, "x"), (2, 2, "buch")],
+                                   "doc int, sent_pos int, word string")
+    pairs = spark.createDataFrame([("p", 1, 2, 2, 2)], "pair_id string, src_doc int, trg_doc int, src_size int, trg_size int")
+    table = spark.createDataFrame([("house", "haus", 0.8), ("book", "buch", 0.05)], "src string, trg string, p double")
+    got = {(r["i"], r["j"]): r["overlap"] for r in align.sentence_overlap(words_, pairs, table).collect()}
+    assert got == {(1, 1): 0.4}

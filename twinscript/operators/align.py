@@ -86,11 +86,28 @@ def _band(n: int, m: int, band: int, pillow: bool) -> tuple[np.ndarray, np.ndarr
 BLOCK = 128
 
 
+def _gains(overlap: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: list[tuple[int, int]],
+           rows: np.ndarray, cols: np.ndarray) -> list[np.ndarray]:
+    """For each kind of step, what the shared words of the sentences it takes save at each cell."""
+    top, left = rows[0] - 2, cols[0] - 2
+    at_i, at_j, value = overlap
+    near = (at_i > top) & (at_i <= rows[-1]) & (at_j > left) & (at_j <= cols[-1])
+    table = np.zeros((len(rows) + 3, len(cols) + 3))
+    np.add.at(table, (at_i[near] - top, at_j[near] - left), value[near])
+    total = table.cumsum(0).cumsum(1)
+    i, j = (rows - top)[:, None], (cols - left)[None, :]
+    return [total[i, j] - total[i - d1, j] - total[i, j - d2] + total[i - d1, j - d2] for d1, d2 in kinds]
+
+
 def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float = MEAN, variance: float = VARIANCE,
                   priors: dict[tuple[int, int], float] | None = None, band: int = BAND,
-                  pillow: bool = True) -> list[tuple[int, int, int, int, float]]:
+                  pillow: bool = True, overlap: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+                  ) -> list[tuple[int, int, int, int, float]]:
     """Steps ``(i, i2, j, j2, cost)`` of the cheapest monotone path through both length arrays.
 
+    ``overlap`` holds positions (from 1) of sentences that share words and how much that lowers the
+    cost of a link with both.
+
     Only a band around the diagonal is searched (``band`` = 0 searches everything), so time and
     space grow with one text, not with the product.  A row is filled at once: steps that take a
     source sentence look one or two rows up; steps that take a target sentence only are a running
@@ -111,6 +128,8 @@ def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float = MEAN, variance
             r, c = np.arange(first, last), np.arange(left, right)
             costs = [_cost((a[r] - a[np.maximum(r - d1, 0)])[:, None], (b[c] - b[np.maximum(c - d2, 0)])[None, :],
                            mean, variance) - np.log(priors[(d1, d2)]) for d1, d2 in kinds]
+            if overlap is not None:
+                costs = [cost - gain for cost, gain in zip(costs, _gains(overlap, kinds, r, c))]
         best = np.full(hi[i] - lo[i] + 1, np.inf)
         step = np.full(len(best), -1, np.int8)
         if i == 0:
@@ -150,8 +169,10 @@ def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANC
     """Links by sentence length for ``pairs(pair_id, src_lens, trg_lens)``.
 
     With the columns of ``segments`` the ids continue where the segment starts (``src_from``,
-    ``trg_from``).  The score of a link is its share of the path's cost.
+    ``trg_from``); with the column of ``with_overlap`` shared words lower the cost.  The score of a
+    link is its share of the path's cost.
     """
+    shared = "overlap" in pairs.columns
     offsets = {"src_from", "trg_from"} <= set(pairs.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +188,10 @@ def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANC
                 s0, t0 = (row.src_from, row.trg_from) if offsets else (1, 1)
                 src, trg = np.asarray(row.src_lens), np.asarray(row.trg_lens)
                 if len(src) and len(trg):
-                    steps = cheapest_path(src, trg, mean, variance, priors, band, pillow)
+                    found = None
+                    if shared and row.overlap is not None and len(row.overlap):
+                        found = tuple(np.array([x[k] for x in row.overlap]) for k in ("i", "j", "gain"))
+                    steps = cheapest_path(src, trg, mean, variance, priors, band, pillow, found)
                 elif len(src) or len(trg):
                     steps = [(0, len(src), 0, len(trg), 0.0)]
                 else:
@@ -181,7 +205,7 @@ def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANC
                 yield flush()
 
     extra = ["src_from", "trg_from"] if offsets else []
-    rows = pairs.select("pair_id", "src_lens", "trg_lens", *extra)
+    rows = pairs.select("pair_id", "src_lens", "trg_lens", *extra, *(["overlap"] if shared else []))
     return spread(rows, "pair_id", *extra).mapInPandas(run, LINK_SCHEMA)
 
 
@@ -212,6 +236,49 @@ def anchors(src: DataFrame, trg: DataFrame, pairs: DataFrame, window: int = ANCH
             .where(F.col("_last").isNull() | (F.col("trg_pos") > F.col("_last"))).drop("_last"))
 
 
+# what a full overlap of words takes off the cost of a link, and the weakest translation that counts:
+# as probabilities of a word add up to one, it has at most ten of those
+OVERLAP_GAIN, MIN_TRANSLATION = 5.0, 0.1
+
+
+def sentence_overlap(words: DataFrame, pairs: DataFrame, table: DataFrame | None = None,
+                     band: int = BAND) -> DataFrame:
+    """``pair_id, i, j, overlap``: share of words two sentences near the diagonal have in common.
+
+    ``words`` holds ``(doc, sent_pos, word)`` once each; ``pairs`` the sizes of both documents.  With
+    a lexicon ``table(src, trg, p)`` words meet through their translations, each counting as much
+    as it is probable.  Like ``anchors`` a band join: positions are bucketed by the band.
+    """
+    width = 2 * band + 1
+    count = words.groupBy("doc", "sent_pos").agg(F.count(F.lit(1)).alias("n"))
+    slope = F.col("trg_size") / F.greatest("src_size", F.lit(1))
+    named = words.join(count, ["doc", "sent_pos"])
+    left = (pairs.select("pair_id", F.col("src_doc").alias("doc"), slope.alias("slope")).join(named, "doc")
+            .select("pair_id", F.col("sent_pos").alias("i"), F.col("n").alias("src_n"), "word",
+                    (F.col("sent_pos") * F.col("slope")).alias("middle")))
+    if table is not None:
+        strong = table.where(F.col("p") >= MIN_TRANSLATION).select(F.col("src").alias("word"), "trg", "p")
+        left = left.join(strong, "word").drop("word").withColumnRenamed("trg", "word")
+    else:
+        left = left.withColumn("p", F.lit(1.0))
+    middle = F.floor(F.col("middle") / width)
+    left = left.withColumn("bucket", F.explode(F.array(middle - 1, middle, middle + 1)))
+    right = (pairs.select("pair_id", F.col("trg_doc").alias("doc")).join(named, "doc")
+             .select("pair_id", F.col("sent_pos").alias("j"), F.col("n").alias("trg_n"), "word",
+                     F.floor(F.col("sent_pos") / width).alias("bucket")))
+    near = left.join(right, ["pair_id", "word", "bucket"]).where(F.abs(F.col("middle") - F.col("j")) <= band)
+    return near.groupBy("pair_id", "i", "j").agg(
+        (F.sum("p") / F.max(F.greatest("src_n", "trg_n"))).alias("overlap"))
+
+
+def with_overlap(pairs: DataFrame, overlap: DataFrame, gain: float = OVERLAP_GAIN) -> DataFrame:
+    """Bring each pair its sentence overlaps, as one array: at most a band's width per sentence."""
+    nested = overlap.groupBy("pair_id").agg(F.collect_list(F.struct(
+        F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+        (F.col("overlap") * gain).alias("gain"))).alias("overlap"))
+    return pairs.join(nested, "pair_id", "left")
+
+
 def segments(pairs: DataFrame, fixed: DataFrame) -> DataFrame:
     """Cut each pair behind its anchors into independent pieces for ``length_based``.
 
@@ -336,6 +403,8 @@ def _by_position(pairs: DataFrame) -> DataFrame:
 
 register("one-to-one", _by_position)
 register("length", length_based)
+# by length and shared words; without the overlaps of ``with_overlap`` by length alone
+register("lexical", length_based)
 
 
 def run(pairs: DataFrame, method: str = "length") -> DataFrame:

@@ -214,6 +214,34 @@ def _(t):
         F.sum(F.aggregate("src_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("src_sum"))
 
 
+OVERLAP = S.PAIRS + "," + S.LINES + r""",
+words AS (SELECT DISTINCT doc_id, sent_pos, w AS word FROM (SELECT doc_id, sent_pos, unnest(string_split_regex(text, '\s+')) AS w
+  FROM lines) WHERE length(w) >= 4),
+counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_pos) AS n FROM words)"""
+
+
+@query("sentence_overlap", S.with_tables(OVERLAP, select="""
+SELECT d.pair_id, a.sent_pos AS i, b.sent_pos AS j, round(count(*) / greatest(max(a.n), max(b.n)), 9) AS overlap
+FROM doc_pairs d JOIN counted a ON a.doc_id = d.src_doc JOIN counted b ON b.doc_id = d.trg_doc AND b.word = a.word
+WHERE abs(a.sent_pos * (d.trg_size / greatest(d.src_size, 1)) - b.sent_pos) <= 10 GROUP BY d.pair_id, a.sent_pos, b.sent_pos"""))
+def _(t):
+    return align.sentence_overlap(_long_words(t), t.doc_pairs, band=10).withColumn("overlap", F.round("overlap", 9))
+
+
+@query("align_with_shared_words", S.with_tables(S.PAIRS, select="""
+SELECT pair_id, src_size AS src_lines, trg_size AS trg_lines, src_size * (src_size + 1) // 2 AS src_sum,
+       trg_size * (trg_size + 1) // 2 AS trg_sum FROM doc_pairs WHERE src_size + trg_size > 0"""))
+def _(t):
+    """Length and shared words together; again every line is linked once."""
+    found = align.sentence_overlap(_long_words(t), t.doc_pairs)
+    links = align.run(align.with_overlap(line_pairs(t), found), "lexical")
+    def total(c):
+        return F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return links.groupBy("pair_id").agg(
+        F.sum(F.size("src_ids")).alias("src_lines"), F.sum(F.size("trg_ids")).alias("trg_lines"),
+        total("src_ids").alias("src_sum"), total("trg_ids").alias("trg_sum"))
+
+
 @query("best_boundary_tag", S.with_tables(S.PAIRS, r"""
 tags AS (SELECT doc_id, tag, n FROM (SELECT doc_id, unnest([{'tag': 'p', 'n': len(string_split(text, chr(10)))},
     {'tag': 'q', 'n': len(string_split(text, 'the '))}, {'tag': 'head', 'n': 1}], recursive := true) FROM documents)),

@@ -31,7 +31,7 @@ class Tables:
         """
         df = self.read(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) * 2 <= cores else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def written(self, name: str, make) -> DataFrame:
         """``make()`` stored once per application in the shared folder and read back."""
