@@ -319,3 +319,27 @@ def _(t):
 @query("loaded_language_pairs", S.with_tables(LOADED, select="SELECT DISTINCT pair FROM new_algs"))
 def _(t):
     return _loaded(t)["pairs"]
+
+
+@query("validate_memories", S.with_tables(S.BITEXT, r"""
+files AS (SELECT conv_id % 16 AS file, count(*) FILTER (conv_id % 16 <> 3) AS n FROM bitext GROUP BY 1)""", select="""
+SELECT 'm' || file AS file, CASE WHEN file = 3 THEN 'empty' WHEN file % 5 = 1 THEN 'failed' ELSE 'ok' END AS outcome FROM files"""))
+def _(t):
+    """Translation memories in 16 files: every fifth has units with an open tag, one has none at all."""
+    path = scratch(t.spark, "checked")
+    no = F.col("conv_id") % 16
+    seg = X.escape_xml(X.whitespace(X.clean_xml(F.col("src_text"))))
+    unit = F.concat(F.lit('<tu><tuv xml:lang="en"><seg>'), seg, F.when(no % 5 == 1, "</tuv>").otherwise("</seg></tuv>"), F.lit("</tu>"))
+    rows = t.bitext.select(F.concat(F.lit("m"), no.cast("string")).alias("file"), "pair_id",
+                           F.when(no == 3, "").otherwise(unit).alias("line"))
+    writers.write_framed(rows, path, ["pair_id"], F.lit("<tmx><body>"), F.lit("</body></tmx>"))
+    out = ingest.validate(readers.checked(t.spark, path, "tu", readers.TU))
+    return out.select(F.regexp_extract("path", r"file=([^/]+)/", 1).alias("file"), "outcome")
+
+
+@query("links_table", S.with_tables(LADDER, select="SELECT pair_id, link_pos, len(src_ids) AS src_n, len(trg_ids) AS trg_n FROM ladder"))
+def _(t):
+    path = scratch(t.spark, "links")
+    writers.links(align.ladder_to_links(_rungs(t)), path)
+    return t.spark.read.parquet(path).select("pair_id", "link_pos", F.size("src_ids").cast("bigint").alias("src_n"),
+                                             F.size("trg_ids").cast("bigint").alias("trg_n"))

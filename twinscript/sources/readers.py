@@ -57,6 +57,26 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "text")
 
 
+def checked(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """``path, records, broken`` per file: how many records it holds and whether any is malformed.
+
+    A record counts if the first field of the schema is there.
+
+    Files are listed apart from their content, so that a file without records shows up as well;
+    ``ingest.validate`` turns this into outcomes.
+    """
+    rows = (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", "true")
+            .schema(f"{schema}, _broken string").load(path))
+    found = rows.select(_file().alias("path"), F.col("_broken").isNotNull().alias("bad"),
+                        F.col(f"`{rows.columns[0]}`").isNotNull().alias("full")).groupBy("path").agg(
+        F.count_if(F.col("full") & ~F.col("bad")).alias("records"), F.max("bad").alias("broken"))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(_file().alias("path")))
+    return files.join(found, "path", "left").select(
+        "path", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("broken", F.lit(False)).alias("broken"))
+
+
 def slice_lines(lines: DataFrame, first: int, last: int, number: str = "line_no") -> DataFrame:
     """Lines ``first`` to ``last`` of each resource, by the line number the rows carry."""
     return lines.where(F.col(number).between(first, last))
