@@ -62,9 +62,12 @@ def _(t):
     return align.type_histogram(align.one_to_one(t.doc_pairs))
 
 
-@query("length_costs", S.with_tables(S.PAIRS, S.LINES, r"""
-l AS (SELECT d.pair_id, a.sent_pos, length(a.text)::DOUBLE AS x, length(b.text)::DOUBLE AS y FROM doc_pairs d
-  JOIN lines a ON a.doc_id = d.src_doc JOIN lines b ON b.doc_id = d.trg_doc AND b.sent_pos = a.sent_pos),
+@query("length_costs", S.with_tables(S.PAIRS, r"""
+lens AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x)) AS ls
+  FROM documents),
+both_lens AS (SELECT d.pair_id, a.ls AS xs, b.ls AS ys, unnest(range(1, least(len(a.ls), len(b.ls)) + 1)) AS sent_pos
+  FROM doc_pairs d JOIN lens a ON a.doc_id = d.src_doc JOIN lens b ON b.doc_id = d.trg_doc),
+l AS (SELECT pair_id, sent_pos, xs[sent_pos]::DOUBLE AS x, ys[sent_pos]::DOUBLE AS y FROM both_lens),
 z AS (SELECT *, abs(x - y) / sqrt(6.8 * (x + y) / 2) AS z FROM l),
 u AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS t FROM z),
 p AS (SELECT *, 2 * (1 - (1 - 0.3989423::DOUBLE * exp(-z * z / 2) * ((((1.330274429::DOUBLE * t - 1.821255978::DOUBLE) * t
