@@ -60,6 +60,11 @@ def test_paragraphs_and_headers(spark):
     assert got == [(1, 1, "Title"), (1, 2, "This is the first line, which goes on here."), (1, 3, "And on."), (2, 4, "Next one.")]
 
 
+def test_digits_at_the_start_of_a_paragraph_stay(spark):
+    df = spark.createDataFrame([(1, "en", "0 a\n\n11 b\n\n22 c\n\n3 d")], "doc int, lang string, text string")
+    assert [r["sentence"] for r in X.read_text(df).orderBy("sent_pos").collect()] == ["0 a", "11 b", "22 c", "3 d"]
+
+
 @pytest.mark.parametrize("lang,text,want", [
     ("en", "It's 5,300 dollars, isn't it?", ["It", "'s", "5,300", "dollars", ",", "isn", "'t", "it", "?"]),
     ("en", "In the 1990's he (Mr. Li) won...", ["In", "the", "1990", "'s", "he", "(", "Mr.", "Li", ")", "won", "..."]),

@@ -181,7 +181,7 @@ def paragraphs(text: Column) -> Column:
     c = F.regexp_replace(c, "\n\n+", "\x1e")
     c = F.regexp_replace(c, rf"(^|[\n\x1e])(\S[^\n\x1e]{{0,{HEADER}}})(?=[\n\x1e]|\z)", "$1$2\x1f")
     c = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), "\x1f ?", "\n")
-    return F.filter(F.transform(F.split(ligatures(c), "\x1e"), F.trim), lambda p: ~p.rlike(r"^\s*\z"))
+    return F.filter(F.transform(F.split(ligatures(c), "\x1e"), lambda p: F.trim(p)), lambda p: ~p.rlike(r"^\s*\z"))
 
 
 def read_text(docs: DataFrame, text: str = "text", lang: str = "lang", method: str = "rules") -> DataFrame:
@@ -264,7 +264,7 @@ def tokens(text: Column, lang: Column, method: str = "rules") -> Column:
 def map_tokens(c: Column, kind: str, fn: Callable[[Column], Column]) -> Column:
     """Apply a text function to a nested value: ``string``, ``array`` of strings or ``map`` values."""
     if kind == "array":
-        return F.transform(c, fn)
+        return F.transform(c, lambda x: fn(x))
     if kind == "map":
         return F.transform_values(c, lambda _, v: fn(v))
     return fn(c)

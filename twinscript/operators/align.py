@@ -35,7 +35,7 @@ def lengths(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def length_arrays(docs: DataFrame, sentences: Column, key: str = "doc_id") -> DataFrame:
     """``(key, lens)``: sentence lengths of each document from its own row, without a shuffle."""
-    return docs.select(key, F.transform(sentences, F.length).alias("lens"))
+    return docs.select(key, F.transform(sentences, lambda s: F.length(s)).alias("lens"))
 
 
 def with_lengths(pairs: DataFrame, arrays: DataFrame, key: str = "doc_id") -> DataFrame:
