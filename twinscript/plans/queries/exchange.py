@@ -165,7 +165,7 @@ def _(t):
 
 @query("subtitle_cues", S.with_tables(S.LINES, select=r"""
 SELECT doc_id, CAST(sent_pos AS INTEGER) AS cue, sent_pos * 2.5::DOUBLE AS t_start, sent_pos * 2.5::DOUBLE + 61.25 AS t_end,
-       md5(trim(regexp_replace(regexp_replace(regexp_replace('"' || text || '"', '""+', '"', 'g'), '<[^>]+>', '', 'g'), '"""
+       md5(trim(regexp_replace(regexp_replace(regexp_replace('"<i>' || text || '</i>"', '""+', '"', 'g'), '<[^>]+>', '', 'g'), '"""
        + SPACE + r"""+', ' ', 'g'))) AS md5 FROM lines"""))
 def _(t):
     def stamp(sec):
