@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinscript.llm import common, idfiles, packing, tokens
+from twinscript.llm import common, idfiles, packing, tokens, toxicity
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,14 @@ def op8_write_and_read_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(spark, common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.texts(common.table(spark, sf_dir, "documents"))
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (common.fold("doc_id") == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_documents, op8_write_and_read_ids)}
+    f.__name__: f for f in (
+        op1_pack_documents, op8_write_and_read_ids, op10_toxicity)}
 SQL: dict[str, str] = {}
