@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import common, idfiles, near, packing, tokens, toxicity
+from twinscript.llm import common, decontaminate, idfiles, near, packing, tokens, toxicity
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pack_documents, op4_near_duplicates, op8_write_and_read_ids, op10_toxicity)}
+        op1_pack_documents, op3_benchmark_passages, op4_near_duplicates, op8_write_and_read_ids, op10_toxicity)}
 SQL: dict[str, str] = {}
