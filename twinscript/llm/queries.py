@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import common, decontaminate, idfiles, near, packing, tokens, toxicity
+from twinscript.llm import common, decontaminate, idfiles, near, packing, pii, tokens, toxicity
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(common.table(spark, sf_dir, "documents"))
+
+
 def op8_write_and_read_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(spark, common.table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -35,5 +39,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pack_documents, op3_benchmark_passages, op4_near_duplicates, op8_write_and_read_ids, op10_toxicity)}
+        op1_pack_documents, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op8_write_and_read_ids, op10_toxicity)}
 SQL: dict[str, str] = {}
