@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import common, decontaminate, fingerprints, idfiles, near, packing, pii, tokens, toxicity
+from twinscript.llm import common, decontaminate, fingerprints, idfiles, mainpart, near, packing, pii, tokens, toxicity
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(common.table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpart.main_text(common.table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.next_and_edited(common.table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pack_documents, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op7_fingerprints, op8_write_and_read_ids, op10_toxicity)}
+        op1_pack_documents, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op6_main_text, op7_fingerprints, op8_write_and_read_ids, op10_toxicity)}
 SQL: dict[str, str] = {}
