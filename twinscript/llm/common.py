@@ -99,3 +99,25 @@ def read_file(path: str) -> pa.NativeFile:
     if system.type_name == "local":
         return pa.memory_map(inner, "r")
     return system.open_input_file(inner)
+
+
+_COPIES: dict[str, object] = {}
+
+
+def mapped(path: str):
+    """The bytes of a file of the shared folder, memory-mapped; a worker copies a file that cannot be mapped once."""
+    system, inner = file_system(path)
+    if system.type_name == "local":
+        with pa.memory_map(inner, "r") as f:
+            return f.read_buffer()
+    if path not in _COPIES:
+        import tempfile
+
+        with tempfile.TemporaryFile() as copy, system.open_input_stream(inner) as source:
+            while block := source.read(1 << 22):
+                copy.write(block)
+            copy.flush()
+            import mmap
+
+            _COPIES[path] = mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
+    return _COPIES[path]

@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import common, decontaminate, fingerprints, idfiles, mainpart, near, packing, pii, tokens, toxicity
+from twinscript.llm import common, decontaminate, fingerprints, idfiles, mainpart, near, ngrams, packing, pii, tokens, toxicity
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op2_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.texts(common.table(spark, sf_dir, "documents"))
+    held_out = common.fold("doc_id") == 1
+    model = ngrams.train(docs.where(~held_out), spark)
+    return ngrams.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score")
+
+
 def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -47,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pack_documents, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op6_main_text, op7_fingerprints, op8_write_and_read_ids, op10_toxicity)}
+        op1_pack_documents, op2_score_texts, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op6_main_text, op7_fingerprints, op8_write_and_read_ids, op10_toxicity)}
 SQL: dict[str, str] = {}
