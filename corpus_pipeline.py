@@ -6,16 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscript.llm import common, packing, tokens
+from twinscript.llm import common, decontaminate, near, packing, pii, tokens, toxicity
 from twinscript.session import cut_lineage
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half; labels are learned outside the held-out fold."""
+    model = toxicity.train(common.texts(docs), common.table(spark, sf_dir, "labels"))
+    return toxicity.accepted(docs, model)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies, that of the smallest id."""
+    return near.without_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and the terms that give it away replaced in their texts."""
+    return pii.sanitised(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents cut into pieces, each with its place in a sequence of 1024 ids."""
     return packing.pack_documents(docs, tokens.default_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("pack", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic), ("near_duplicates", without_copies), ("decontamination", without_benchmark),
+    ("personal_data", without_personal_data), ("packing", packed)]
 
 #: The stages learn from the corpus and encode texts, which SQL cannot express; tests use plain Python.
 ORACLE_SQL = None

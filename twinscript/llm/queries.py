@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import common, decontaminate, fingerprints, idfiles, mainpart, near, ngrams, packing, pii, tokens, toxicity
+from twinscript.llm import common, decontaminate, fingerprints, idfiles, licences, mainpart, near, ngrams, packing, pii, tokens, toxicity
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_write_and_read_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.write_and_read(spark, common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(common.table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.texts(common.table(spark, sf_dir, "documents"))
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
@@ -56,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pack_documents, op2_score_texts, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op6_main_text, op7_fingerprints, op8_write_and_read_ids, op10_toxicity)}
-SQL: dict[str, str] = {}
+        op1_pack_documents, op2_score_texts, op3_benchmark_passages, op4_near_duplicates, op5_personal_data, op6_main_text, op7_fingerprints, op8_write_and_read_ids, op9_licences, op10_toxicity)}
+SQL: dict[str, str] = {"op9_licences": licences.sql()}

@@ -303,3 +303,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=[*names, "score", "predicted", "evidence"])
 
     return table.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns are kept as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in common.pieces(batches):
+            found = m.vectors.counts(b.column(at).fill_null(""))
+            yield b.filter(pa.array([m.score(found.get(i))[0] < threshold for i in range(b.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
