@@ -18,12 +18,16 @@ import pyarrow.compute as pc
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Put before a text, so that its first word is told from the words that follow a blank.
 FIRST = "\x01"
+#: Put before marks that end a word, which are words of their own to the tokenizer.
+MARK = "\x02"
+#: How byte-level vocabularies write a blank.
+BLANK = "\u0120"
 #: White space, or what some library takes for it, other than blank and line feed.
 SPACES = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
           "\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u3000\ufeff")
 OTHER_SPACE = re.compile(f"[{SPACES}]")
 #: Texts that are not plain words with one blank or line feed between them.
-ODD = f"[{SPACES}{FIRST}]|  |\n\n| \n|\n |^[ \n]|[ \n]\\z"
+ODD = f"[{SPACES}{FIRST}{MARK}]|  |\n\n| \n|\n |^[ \n]|[ \n]\\z"
 KEPT = 400_000
 PER_CALL = 64
 
@@ -44,9 +48,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = kept
         self.known: dict[str, bytes] = {}
-        # an added token ends whatever stands before it, so it can stand between pieces of one call
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.end = next(((t.content, i) for i, t in added.items() if not t.normalized), None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.blank[[i for t, i in vocabulary.items() if t[0] == BLANK]] = True
+        self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\n")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -54,24 +59,21 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new pieces, many pieces in one text of the library's."""
-        if self.end is None:
-            self.known.update(zip(new, self._library(new), strict=True))
-            return
-        mark, end = self.end
-        alone = [p for p in new if mark in p]
-        self.known.update(zip(alone, self._library(alone), strict=True))
-        rest = [p for p in new if mark not in p] if alone else new
-        groups = [rest[at:at + PER_CALL] for at in range(0, len(rest), PER_CALL)]
-        for at in range(0, len(groups), 40):
-            some = groups[at:at + 40]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([mark.join(g) for g in some],
+        spaced = [p for p in new if p[:1] == " " and p.rfind(" ") == 0 and "\n" not in p and self.mark not in p]
+        at_once = set(spaced)
+        rest = [p for p in new if p not in at_once]
+        self.known.update(zip(rest, self._library(rest), strict=True))
+        groups = [spaced[at:at + PER_CALL] for at in range(0, len(spaced), PER_CALL)]
+        for at in range(0, len(groups), 100):
+            some = groups[at:at + 100]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast(["".join(g) for g in some],
                                                                        add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, dtype="<u4")
-                ends = [*np.flatnonzero(ids == end).tolist(), len(ids)]
-                start, raw = 0, ids.tobytes()
-                for piece, stop in zip(group, ends, strict=True):
-                    self.known[piece] = raw[4 * start:4 * stop]
-                    start = stop + 1
+                # a piece's only blank is its first byte, which the first of its ids holds
+                starts = np.flatnonzero(self.blank[ids]) * 4
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[i:j] for i, j in zip(
+                    starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True)], strict=True))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where those of each text start and the last ones end."""
@@ -79,11 +81,12 @@ class Encoder:
         odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
         plain = column.filter(pa.array(~odd))
         # one blank or line feed between any two words: each word takes the one before it along
+        spaced = pc.replace_substring_regex(pc.replace_substring(plain, "\n", " \n"),
+                                            r"(\pL)([.,!?;:]+)( |\z)", rf"\1 {MARK}\2\3")
         cut = pc.split_pattern(pc.binary_join_element_wise(
-            pa.scalar(FIRST, pa.large_string()), pc.replace_substring(plain, "\n", " \n"),
-            pa.scalar("", pa.large_string())), " ")
+            pa.scalar(FIRST, pa.large_string()), spaced, pa.scalar("", pa.large_string())), " ")
         words = cut.flatten().dictionary_encode()
-        keys = [k[1:] if k[0] == FIRST else k if k[0] == "\n" else " " + k for k in words.dictionary.to_pylist()]
+        keys = [k[1:] if k[0] in (FIRST, MARK) else k if k[0] == "\n" else " " + k for k in words.dictionary.to_pylist()]
         rest = [PIECE.findall(t) if not OTHER_SPACE.search(t) else None
                 for t in column.filter(pa.array(odd)).to_pylist()]
         whole = iter(column.filter(pa.array(odd)).to_pylist())
@@ -96,16 +99,21 @@ class Encoder:
         self._learn(list(new))
         get = self.known.__getitem__
         found = [get(k) for k in keys]
-        size = np.array([len(f) for f in found], dtype=np.int64) // 4
+        # a batch has fewer than 2**31 ids: half the memory of 64-bit places
+        size = np.array([len(f) for f in found], dtype=np.int32) // 4
         pool = np.frombuffer(b"".join(found), dtype="<u4")
         index = words.indices.to_numpy()
         each = size[index]
-        begin = (np.cumsum(size) - size)[index]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(begin - ends[:-1], each) + np.arange(ends[-1])]
+        ends = np.zeros(len(each) + 1, dtype=np.int32)
+        np.cumsum(each, out=ends[1:])
+        shift = (np.cumsum(size, dtype=np.int32) - size)[index]
+        shift -= ends[:-1]
+        place = np.repeat(shift, each)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = pool[place]
         bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] if len(plain) else np.zeros(1, np.int64)
         if not rest:
-            return ids, bounds
+            return ids, bounds.astype(np.int64)
         extra = [np.frombuffer(b"".join(map(get, ps)) if ps is not None else self._library([t])[0], dtype="<u4")
                  for ps, t in zip(rest, whole, strict=True)]
         out, p, x = [], 0, 0
