@@ -52,8 +52,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset dialog figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 WORD, OUTSIDE = "word", "word outside"
-#: Used for kinds that no labelled page has.
-DEFAULT = {WORD: 1.0, OUTSIDE: -1.0, "tag": -2.0}
+#: Used for kinds that no labelled page has: tags within text cost less than those that lay out a page.
+DEFAULT = {WORD: 1.0, OUTSIDE: -1.0, "tag": -2.0} | {
+    f"<{end}{name}>": -0.2 for end in ("", "/") for name in
+    "p h1 h2 h3 h4 h5 h6 br b i em strong u s q small mark sub sup span code abbr cite time blockquote pre figure figcaption".split()}
 HIGHEST = 8.0
 HIGHEST_WORD = 1.0
 

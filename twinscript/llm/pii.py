@@ -129,19 +129,19 @@ def find_values(docs: DataFrame, window: int = 8) -> DataFrame:
                 names=["doc_id", "n_chars", "a", "b", "kind", "begin", "finish", "entity", "near", "around"])
 
     keyed = common.texts(docs).withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit(1), F.col("text")))
-    return cut_lineage(keyed.mapInArrow(run, VALUES))
+    return cut_lineage(keyed.mapInArrow(run, VALUES).withColumn("row", F.monotonically_increasing_id()))
 
 
 def disclosing_spans(docs: DataFrame, found: DataFrame, support: int = 2, disclosure: float = 0.9) -> DataFrame:
     """Stored rows (doc_id, a, b, begin, finish) of the terms that give away an entity they stand close to."""
-    each = found.where(F.size("kind") > 0).select("doc_id", "a", "b", F.explode(F.arrays_zip("entity", "near", "around")).alias("x")).select(
-        "doc_id", "a", "b", "x.entity", "x.around", F.explode("x.near").alias("t")).select(
-        "doc_id", "a", "b", "entity", "around", "t.term", "t.begin", "t.finish")
+    each = found.where(F.size("kind") > 0).select("row", "doc_id", "a", "b", F.explode(F.arrays_zip("entity", "near", "around")).alias("x")).select(
+        "row", "doc_id", "a", "b", "x.entity", "x.around", F.explode("x.near").alias("t")).select(
+        "row", "doc_id", "a", "b", "entity", "around", "t.term", "t.begin", "t.finish")
     # one row per surrounding, term and entity first, so that many copies of a text count as one
     seen = each.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("copies"))
     pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("surroundings")).where(F.col("surroundings") >= support)
     pairs = cut_lineage(pairs.drop("surroundings"))
-    joint = each.join(pairs, ["entity", "term"]).select("entity", "term", "doc_id", "a", "b").distinct().groupBy("entity", "term").agg(
+    joint = each.join(pairs, ["entity", "term"]).select("entity", "term", "row").distinct().groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("n_both"))
     of_entity = found.where(F.size("kind") > 0).select(F.explode(F.array_distinct("entity")).alias("entity")).groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_entity"))
