@@ -52,6 +52,34 @@ def test_band_reaches_the_end_of_very_unequal_texts():
         assert (path[-1][1], path[-1][3]) == (n, m)
 
 
+def cost_of(path):
+    return sum(step[4] for step in path)
+
+
+def test_grown_band_costs_what_the_full_table_says():
+    rng = random.Random(17)
+    for _ in range(200):
+        n = rng.randint(60, 260)
+        src = [rng.randint(20, 160) for _ in range(n)]
+        trg = [max(1, round(x * rng.gauss(1, 0.05))) for x in src]
+        for text in (src, trg):
+            for _ in range(rng.randint(0, 3)):
+                at, size = rng.randint(0, len(text)), rng.randint(0, n // 10)
+                text[at:at] = [rng.randint(20, 160) for _ in range(size)]
+        src, trg = np.array(src), np.array(trg)
+        assert cost_of(align.cheapest_path(src, trg)) == pytest.approx(cost_of(align.cheapest_path(src, trg, band=0)), abs=1e-6)
+
+
+def test_texts_shifted_against_each_other():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(20, 160, 1500)
+    src = np.concatenate([rng.integers(20, 160, 120), shared])
+    trg = np.concatenate([np.round(shared * rng.normal(1, 0.05, 1500)).astype(int), rng.integers(20, 160, 120)])
+    found, full = align.cheapest_path(src, trg), align.cheapest_path(src, trg, band=0)
+    assert cost_of(found) == pytest.approx(cost_of(full), abs=1e-6)
+    assert cost_of(align.cheapest_path(src, trg, band=50)) > cost_of(full) + 100
+
+
 def test_links_of_known_texts(spark):
     pairs = spark.createDataFrame([("p", [50, 40, 100, 30, 20], [50, 41, 55, 46, 30, 20]), ("q", [10], []), ("r", [], [])],
                                   "pair_id string, src_lens array<int>, trg_lens array<int>")
@@ -74,7 +102,10 @@ def test_registered_aligner_and_fallback(spark):
     assert align.run(pairs, "one-to-one").count() == 3
     align.register("nothing", lambda p: align.one_to_one(p.withColumn("src_size", F.lit(0)).withColumn("trg_size", F.lit(0))))
     assert align.run(pairs, "nothing").count() == 0
-    assert align.run(pairs, "unheard-of").agg(F.sum(F.size("trg_ids"))).first()[0] == 3
+    align.register_missing("known-but-absent")
+    assert align.run(pairs, "known-but-absent").agg(F.sum(F.size("trg_ids"))).first()[0] == 3
+    with pytest.raises(ValueError):
+        align.run(pairs, "unheard-of")
 
 
 def plain_lcs(a, b):

@@ -8,6 +8,7 @@ pairs over tasks.  A document is one row of the input, so a pair's arrays fit in
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from twinscript.functions.scores import (MAX_COST, MEAN, PRIORS, TAIL, TAIL_DENSITY, TAIL_SCALE, VARIANCE)
 from twinscript.session import spread
 
-# Thresholds of link filtering, size of the search band, window of shared words.
+# Thresholds of link filtering, size of the first search band, window of shared words.
 SCORE_THRESHOLD, MAX_SRC, MAX_TRG = -10.0, 2, 2
 BAND = 50
 ANCHOR_WINDOW, ANCHOR_LETTERS = 5, 10
@@ -100,7 +101,7 @@ def _gains(overlap: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: list[tuple
 
 
 def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float = MEAN, variance: float = VARIANCE,
-                  priors: dict[tuple[int, int], float] | None = None, band: int = BAND,
+                  priors: dict[tuple[int, int], float] | None = None, band: int | None = None,
                   pillow: bool = True, overlap: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
                   ) -> list[tuple[int, int, int, int, float]]:
     """Steps ``(i, i2, j, j2, cost)`` of the cheapest monotone path through both length arrays.
@@ -108,10 +109,61 @@ def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float = MEAN, variance
     ``overlap`` holds positions (from 1) of sentences that share words and how much that lowers the
     cost of a link with both.
 
-    Only a band around the diagonal is searched (``band`` = 0 searches everything), so time and
-    space grow with one text, not with the product.  A row is filled at once: steps that take a
-    source sentence look one or two rows up; steps that take a target sentence only are a running
-    minimum along the row.
+    The search starts in a band around the diagonal and doubles it until ``_band_needed`` shows that no
+    path beyond the band can be cheaper.  So texts that run side by side take little more than time and space
+    with one text, and texts that are shifted against each other still get their cheapest path.  A
+    given ``band`` is searched as it is (0: everything).
+    """
+    if band is not None:
+        return _path_in_band(src, trg, mean, variance, priors, band, pillow, overlap)
+    n, m = len(src), len(trg)
+    spared = 0.0
+    if overlap is not None:
+        # a source sentence is linked with two target sentences at most
+        best = np.zeros((n + 1, 2))
+        for i, gain in zip(overlap[0], overlap[2]):
+            best[int(i)] = sorted((*best[int(i)], max(0.0, float(gain))))[1:]
+        spared = float(best.sum())
+    band = BAND
+    while True:
+        lo, hi = _band(n, m, band, pillow)
+        whole = not lo.any() and bool((hi == m).all())
+        path = _path_in_band(src, trg, mean, variance, priors, 0 if whole else band, pillow, overlap)
+        if whole or band >= _band_needed(n, m, sum(step[4] for step in path) + spared, priors or PRIORS):
+            return path
+        band *= 2
+
+
+def _band_needed(n: int, m: int, cost: float, priors: dict[tuple[int, int], float]) -> float:
+    """A distance from the diagonal that no path of at most ``cost`` goes beyond.
+
+    A path that does moves away from the diagonal by as much, and back; seen along the target text, its steps
+    add up to that much in either direction.  If ``-log p >= a d1 + b d2 + c max(0, d1 m / n - d2)`` holds for all
+    kinds of steps, a path costs ``a n + b m + c distance`` at least.  The best such (a, b, c) is where
+    three of these bounds meet.
+    """
+    if not n or not m:
+        return 0.0
+    steps = np.array([(d1, d2, max(0.0, d1 * m / n - d2)) for d1, d2 in priors])
+    least = np.array([-np.log(p) for p in priors.values()])
+    needed = np.inf
+    for three in combinations(range(len(least)), 3):
+        rows = steps[list(three)]
+        if abs(np.linalg.det(rows)) < 1e-12:
+            continue
+        a, b, c = np.linalg.solve(rows, least[list(three)])
+        if c > 1e-12 and (steps @ (a, b, c) <= least + 1e-9).all():
+            needed = min(needed, (cost - a * n - b * m) / c)
+    return needed
+
+
+def _path_in_band(src: np.ndarray, trg: np.ndarray, mean: float, variance: float,
+                  priors: dict[tuple[int, int], float] | None, band: int, pillow: bool,
+                  overlap: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> list[tuple[int, int, int, int, float]]:
+    """The cheapest path within a band.
+
+    A row is filled at once: steps that take a source sentence look one or two rows up; steps that
+    take a target sentence only are a running minimum along the row.
     """
     priors = priors or PRIORS
     n, m = len(src), len(trg)
@@ -124,7 +176,7 @@ def cheapest_path(src: np.ndarray, trg: np.ndarray, mean: float = MEAN, variance
     for i in range(n + 1):
         if i % BLOCK == 0:
             first, last = i, min(i + BLOCK, n + 1)
-            left, right = lo[first], hi[last - 1] + 1
+            left, right = lo[first:last].min(), hi[first:last].max() + 1
             r, c = np.arange(first, last), np.arange(left, right)
             costs = [_cost((a[r] - a[np.maximum(r - d1, 0)])[:, None], (b[c] - b[np.maximum(c - d2, 0)])[None, :],
                            mean, variance) - np.log(priors[(d1, d2)]) for d1, d2 in kinds]
@@ -164,7 +216,7 @@ FLUSH = 50000
 
 
 def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANCE,
-                 priors: dict[tuple[int, int], float] | None = None, band: int = BAND,
+                 priors: dict[tuple[int, int], float] | None = None, band: int | None = None,
                  pillow: bool = True) -> DataFrame:
     """Links by sentence length for ``pairs(pair_id, src_lens, trg_lens)``.
 
@@ -407,6 +459,13 @@ register("length", length_based)
 register("lexical", length_based)
 
 
+def register_missing(name: str) -> None:
+    """Name a tool that is known but not there; its pairs are aligned by length."""
+    _ALIGNERS[name] = length_based
+
+
 def run(pairs: DataFrame, method: str = "length") -> DataFrame:
-    """Align by method name; an unknown method falls back to alignment by length."""
-    return _ALIGNERS.get(method, _ALIGNERS["length"])(pairs)
+    """Align by method name; a name that was never registered is an error."""
+    if method not in _ALIGNERS:
+        raise ValueError(f"no aligner is called {method}; there are {sorted(_ALIGNERS)}")
+    return _ALIGNERS[method](pairs)

@@ -103,6 +103,9 @@ def _(t):
         total("src_ids").alias("src_sum"), total("trg_ids").alias("trg_sum"))
 
 
+align.register_missing("no-such-tool")
+
+
 @query("align_unknown_method_falls_back")
 def _(t):
     return align.stats(align.run(line_pairs(t), "no-such-tool")).select(
