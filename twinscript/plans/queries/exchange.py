@@ -343,3 +343,74 @@ def _(t):
     writers.links(align.ladder_to_links(_rungs(t)), path)
     return t.spark.read.parquet(path).select("pair_id", "link_pos", F.size("src_ids").cast("bigint").alias("src_n"),
                                              F.size("trg_ids").cast("bigint").alias("trg_n"))
+
+
+# Files as other programs write them: put together here as plain text, not by this package's writers.
+
+def _shown(c):
+    return X.escape_xml(X.clean_xml(c))
+
+
+FLAT = rf"trim(regexp_replace(%s, '{SPACE}+', ' ', 'g'))"
+
+
+@query("corpus_xml_other_dialect", S.with_tables(S.LINES, select=f"""
+SELECT doc_id || '.' || sent_pos AS sent_id, CASE WHEN sent_pos % 4 <> 0 THEN 'p' || sent_pos END AS para_id,
+       CASE WHEN sent_pos % 4 = 1 THEN lang END AS lang, md5({FLAT % 'text'}) AS md5 FROM lines"""))
+def _(t):
+    """Sentences outside paragraphs, tokens instead of text, single quotes, comments and marked sections."""
+    path = scratch(t.spark, "dialect")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    def sentence(x, i):
+        n = F.concat_ws(".", F.col("doc_id").cast("string"), (i + 1).cast("string"))
+        words = F.transform(F.filter(F.split(X.whitespace(x), " "), lambda w: w != ""), lambda w: F.concat(F.lit("<w>"), _shown(w), F.lit("</w>")))
+        tokens = F.concat(F.lit("<head><s id='"), n, F.lit("'>"), F.array_join(words, ""), F.lit("</s></head>"))
+        within = F.when((i + 1) % 4 == 1, F.concat(F.lit("<s lang='"), "lang", F.lit("' id='"), n, F.lit("'><chunk>"), _shown(x), F.lit("</chunk></s>"))).otherwise(
+            F.concat(F.lit('<!-- <s id="no">no</s> -->\n<s id="'), n, F.lit('"><![CDATA['), x, F.lit("]]></s>")))
+        return F.when((i + 1) % 4 == 0, tokens).otherwise(F.concat(F.lit('<p id="p'), (i + 1).cast("string"), F.lit('">\n'), within, F.lit("\n</p>")))
+    t.documents.select(F.concat(F.lit("<text>\n"), F.array_join(F.transform(lines, sentence), "\n"), F.lit("\n</text>"))).write.text(path)
+    return readers.corpus_xml(t.spark, path).select("sent_id", "para_id", "lang", F.md5("text").alias("md5"))
+
+
+@query("xliff_grouped_units", S.with_tables(S.BITEXT, select=rf"""
+SELECT pair_id AS original, turn || '' AS unit_id, 'en' AS src_lang, 'fr' AS trg_lang,
+       md5({FLAT % "src_text || ' one'"}) AS source, md5({FLAT % "trg_text || ' a<b'"}) AS target FROM bitext"""))
+def _(t):
+    path = scratch(t.spark, "groups")
+    unit = F.concat(F.lit('<file original="'), "pair_id", F.lit('" source-language="eng" target-language="fr-FR"><header/><body><group><group><trans-unit id="'),
+                    F.col("turn").cast("string"), F.lit('"><source>'), _shown(F.col("src_text")), F.lit(' <g id="1">one</g></source><target>'),
+                    _shown(F.col("trg_text")), F.lit(' <![CDATA[a<b]]></target></trans-unit></group></group></body></file>'))
+    t.bitext.select(unit).write.text(path)
+    return readers.xliff(t.spark, path).select("original", "unit_id", "src_lang", "trg_lang", F.md5("source").alias("source"), F.md5("target").alias("target"))
+
+
+@query("memory_with_inline_tags", S.with_tables(S.BITEXT, select=rf"""
+SELECT pair_id AS tu_id, 'en' AS lang, md5({FLAT % "src_text || ' {1}bold é'"}) AS md5 FROM bitext
+UNION ALL SELECT pair_id, 'fr', md5({FLAT % 'trg_text'}) FROM bitext"""))
+def _(t):
+    path = scratch(t.spark, "inline")
+    unit = F.concat(F.lit("<tu tuid='"), "pair_id", F.lit('\'><tuv xml:lang="en-US"><prop type="x">p</prop><seg>'), _shown(F.col("src_text")),
+                    F.lit(' <ph x="1">{1}</ph><bpt i="1"/>bold &#xE9;</seg></tuv>\n<tuv lang="fra"><seg>'), _shown(F.col("trg_text")), F.lit("</seg></tuv></tu>"))
+    t.bitext.select(F.concat(F.lit("<!-- <tu><tuv lang='de'><seg>no</seg></tuv></tu> -->"), unit)).write.text(path)
+    return readers.tmx(t.spark, path).select("tu_id", "lang", F.md5("seg").alias("md5"))
+
+
+@query("xml_character_data", rf"""
+SELECT doc_id, md5({FLAT % "replace(text, chr(10), ' ') || ' café is x > y <z> & &#65;'"}) AS md5 FROM documents""")
+def _(t):
+    xml = F.concat(F.lit("<doc><head>left out</head><p>"), _shown(F.replace("text", F.lit("\n"), F.lit(" "))),
+                   F.lit(" caf&#233; is <![CDATA[x > y <z> &]]> &amp;#65;</p></doc>"))
+    out = readers.xml_segments(t.documents.select("doc_id", xml.alias("text")))
+    return out.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("seg_pos", "sent_pos", "sentence"))), lambda x: x["sentence"]), " ")).alias("md5"))
+
+
+@query("subtitle_cues_without_numbers", S.with_tables(S.LINES, select=rf"""
+SELECT doc_id, sent_pos * 3.0::DOUBLE AS t_start, md5({FLAT % 'text'}) AS md5 FROM lines"""))
+def _(t):
+    def stamp(sec):
+        return F.format_string("%02d:%02d:%02d,000", F.floor(sec / 3600), F.floor(sec % 3600 / 60), F.floor(sec % 60))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    cues = F.transform(lines, lambda x, i: F.concat(stamp((i + 1) * 3), F.lit(" --> "), stamp((i + 1) * 3 + 2), F.lit("\n"), x, F.lit("\n")))
+    files = t.documents.select("doc_id", F.array_join(cues, "\n").alias("text"))
+    return readers.srt(files).where("cue is null").select("doc_id", "t_start", F.md5("text").alias("md5"))

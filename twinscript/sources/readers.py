@@ -12,12 +12,8 @@ from twinscript.functions import paths
 from twinscript.functions import text as X
 from twinscript.session import cut_lineage
 
-TU = "tuv array<struct<`_xml:lang`: string, _lang: string, seg: string>>, _tuid string"
 LINK_GROUP = ("_fromDoc string, _toDoc string, "
               "link array<struct<_id: string, _xtargets: string, _certainty: double>>")
-PARAGRAPH = "_id string, s array<struct<_id: string, _lang: string, _VALUE: string>>"
-XLIFF_FILE = ("`_source-language` string, `_target-language` string, _original string, "
-              "body struct<`trans-unit`: array<struct<_id: string, source: string, target: string>>>")
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -29,6 +25,17 @@ def _file() -> Column:
     return F.col("_metadata.file_path")
 
 
+def _xml_texts(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """``file, record``: the text of each element of a name, read by its end tag, so that many tasks share a file."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", f"</{tag}>").text(path).select(
+        _file().alias("file"), _without_comments(_cdata_escaped(F.col("value"))).alias("value"))
+    found = rows.select("file", F.regexp_extract("value", rf"(?s)^(.*?)<{tag}\b", 1).alias("_before"),
+                        F.regexp_extract("value", rf"(?s)(<{tag}\b.*)$", 1).alias("record"))
+    # an element within a comment follows a comment's beginning that has no end
+    return found.where((F.col("record") != "") & ~F.col("_before").contains("<!--")).select(
+        "file", F.concat("record", F.lit(f"</{tag}>")).alias("record"))
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, text``: one row per file, plain or gzip."""
     return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
@@ -45,14 +52,15 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read in blocks by many tasks.  Within a block rows keep their order, so a line's
     number is its place in the block plus the lines of the blocks before; only one row per block
-    is gathered to add those up.
+    is gathered to add those up.  How files are cut into blocks depends on settings and on the cores that
+    are alive, so lines are stored with their block once, and all numbers come from that one reading.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(_file().alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")))
+    lines = cut_lineage(spark.read.option("recursiveFileLookup", "true").text(path)
+                        .select(_file().alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                                F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")))
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut_lineage(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return lines.join(starts, ["file", "_block"]).select(
         "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "text")
 
@@ -97,22 +105,68 @@ def moses(lines: DataFrame, first: str, *others: str) -> DataFrame:
     return out
 
 
+def _pieces(c: Column, element: str) -> Column:
+    """All elements of a name in the text of a file that holds no element of that name within another."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s)(<{element}\b[^>]*?(?:/>|>.*?</{element}\s*>))"), F.lit(1))
+
+
+def _attribute(c: Column, name: str) -> Column:
+    """An attribute of the first tag in ``c``, null if it has none."""
+    tag = F.regexp_extract(c, r"^<[^>]*>", 0)
+    value = F.regexp_extract(tag, rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+    other = F.regexp_extract(tag, rf"\s{name}\s*=\s*'([^']*)'", 1)
+    found = F.coalesce(F.nullif(value, F.lit("")), F.nullif(other, F.lit("")))
+    return F.when(found.isNotNull(), unescape(found))
+
+
+def _inner(c: Column) -> Column:
+    """What stands between an element's tags."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)^<[^>]*>", ""), r"(?s)</[^>]*>\s*$", "")
+
+
+def _plain(c: Column) -> Column:
+    """Text without tags, its white space made single blanks, entities decoded; a token's end ends a word."""
+    return X.whitespace(unescape(F.regexp_replace(F.regexp_replace(c, r"</w\s*>", " "), r"<[^>]*>", "")))
+
+
+def _without_comments(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?s)<!--.*?-->|<\?.*?\?>", "")
+
+
+def _cdata_escaped(c: Column) -> Column:
+    """Marked sections of character data written with entities instead."""
+    parts = F.split(c, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
+    plain = F.transform(parts, lambda p: F.when(p.startswith("<![CDATA["), X.escape_xml(F.regexp_replace(
+        F.regexp_replace(p, r"^<!\[CDATA\[", ""), r"\]\]>$", ""))).otherwise(p))
+    return F.when(c.contains("<![CDATA["), F.array_join(plain, "")).otherwise(c)
+
+
 def tmx(spark: SparkSession, path: str) -> DataFrame:
-    """``file, tu_id, lang, seg``: the segments of a translation memory; languages in two letters."""
-    units = _xml(spark, path, "tu", TU).select(
-        _file().alias("file"), F.col("_tuid").alias("tu_id"), F.explode("tuv").alias("v"))
-    named = units.select("file", "tu_id", F.coalesce("v.`_xml:lang`", "v._lang").alias("_code"),
-                         F.trim(F.regexp_replace("v.seg", X.SPACE, " ")).alias("seg"))
+    """``file, tu_id, lang, seg``: the segments of a translation memory; languages in two letters.
+
+    Inline tags are left out of a segment, the text in them is not.
+    """
+    units = _xml_texts(spark, path, "tu").select("file", F.explode(_pieces(F.col("record"), "tu")).alias("u")).select(
+        "file", _attribute(F.col("u"), "tuid").alias("tu_id"), F.explode(_pieces(F.col("u"), "tuv")).alias("v"))
+    named = units.select("file", "tu_id", F.coalesce(_attribute(F.col("v"), "xml:lang"), _attribute(F.col("v"), "lang")).alias("_code"),
+                         _plain(_inner(F.get(_pieces(F.col("v"), "seg"), F.lit(0)))).alias("seg"))
     return L.to_two(named, "_code", "lang").select("file", "tu_id", F.lower("lang").alias("lang"), "seg")
 
 
 def xliff(spark: SparkSession, path: str) -> DataFrame:
-    """``file, original, unit_id, src_lang, trg_lang, source, target``."""
-    files = _xml(spark, path, "file", XLIFF_FILE)
-    return files.select(
-        _file().alias("file"), F.col("_original").alias("original"), F.col("`_source-language`").alias("src_lang"),
-        F.col("`_target-language`").alias("trg_lang"), F.explode("body.`trans-unit`").alias("u")).select(
-        "file", "original", F.col("u._id").alias("unit_id"), "src_lang", "trg_lang", "u.source", "u.target")
+    """``file, original, unit_id, src_lang, trg_lang, source, target``.
+
+    Units count at any depth of groups; languages are in two letters; inline tags are left out, their text is not.
+    """
+    files = _xml_texts(spark, path, "file").select("file", F.explode(_pieces(F.col("record"), "file")).alias("f"))
+    units = files.select("file", _attribute(F.col("f"), "original").alias("original"), _attribute(F.col("f"), "source-language").alias("_src"),
+                         _attribute(F.col("f"), "target-language").alias("_trg"), F.explode(_pieces(F.col("f"), "trans-unit")).alias("u"))
+    def part(name: str) -> Column:
+        return _plain(_inner(F.get(_pieces(F.col("u"), name), F.lit(0))))
+    named = units.select("file", "original", _attribute(F.col("u"), "id").alias("unit_id"), "_src", "_trg",
+                         part("source").alias("source"), part("target").alias("target"))
+    coded = L.to_two(L.to_two(named, "_src", "src_lang"), "_trg", "trg_lang")
+    return coded.select("file", "original", "unit_id", F.lower("src_lang").alias("src_lang"), F.lower("trg_lang").alias("trg_lang"), "source", "target")
 
 
 def xces(spark: SparkSession, path: str) -> DataFrame:
@@ -130,13 +184,35 @@ def xces(spark: SparkSession, path: str) -> DataFrame:
 def corpus_xml(spark: SparkSession, path: str) -> DataFrame:
     """``file, para_id, sent_id, lang, text`` of corpus files.
 
-    A sentence without an id gets ``paragraph.position``.
+    Sentences count wherever they stand; ``para_id`` is that of the paragraph around one, if any.  Tokens are set apart
+    by blanks, other tags within a sentence are left out.  A sentence without an id gets its number in the file;
+    one in a comment of its own is none.
+
+    Files are read by the ends of sentences.  The paragraph that is open, and the number of sentences, are carried on
+    within a block; from block to block by one row each.
     """
-    paras = _xml(spark, path, "p", PARAGRAPH).select(
-        _file().alias("file"), F.col("_id").alias("para_id"), F.posexplode("s").alias("_p", "s"))
-    made = F.concat_ws(".", F.col("para_id"), (F.col("_p") + 1).cast("string"))
-    return paras.select("file", "para_id", F.coalesce("s._id", made).alias("sent_id"),
-                        F.col("s._lang").alias("lang"), F.trim("s._VALUE").alias("text"))
+    rows = cut_lineage(spark.read.option("recursiveFileLookup", "true").option("lineSep", "</s>").text(path).select(
+        _file().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
+        _without_comments(_cdata_escaped(F.col("value"))).alias("_value")))
+    own = r"(?s)^.*(<s(?:\s[^>]*)?>)(.*)$"
+    marks = F.regexp_extract_all("_value", F.lit(r"(<p(?:\s[^>]*)?>|</p\s*>)"), F.lit(1))
+    cut = rows.select("file", "_block", "_id", F.regexp_extract("_value", own, 1).alias("_tag"), F.regexp_extract("_value", own, 2).alias("_text"),
+                      F.regexp_extract("_value", r"(?s)^(.*)<s(?:\s[^>]*)?>", 1).alias("_open"),
+                      F.when(F.size(marks) > 0, F.element_at(marks, -1)).alias("_mark"))
+    # a sentence within a comment follows a comment's beginning that has no end
+    cut = cut.withColumn("_is", ((F.col("_tag") != "") & ~F.col("_open").contains("<!--")).cast("bigint"))
+    ends = cut.groupBy("file", "_block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_id"))).alias("_last"),
+                                             F.sum("_is").alias("_n"))
+    line = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "_block", F.last("_last", ignorenulls=True).over(line).alias("_carried"),
+                          F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("file", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    known = cut.withColumn("_mark", F.last("_mark", ignorenulls=True).over(here)).withColumn("_nr", F.sum("_is").over(here)).join(
+        carried, ["file", "_block"]).where("_is = 1")
+    number = (F.col("_before") + F.col("_nr")).cast("string")
+    return known.select("file", _attribute(F.coalesce("_mark", "_carried"), "id").alias("para_id"),
+                        F.coalesce(_attribute(F.col("_tag"), "id"), number).alias("sent_id"),
+                        _attribute(F.col("_tag"), "lang").alias("lang"), _plain(F.col("_text")).alias("text"))
 
 
 def corpus_dir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -147,9 +223,21 @@ def corpus_dir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # Entities of XML text.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+NUMERIC = r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});$"
+
+
+def _numeric(c: Column) -> Column:
+    """Entities by code point as their signs."""
+    digits = F.regexp_extract(c, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(F.lower(c).startswith("&#x"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+    value = F.conv(code, 16, 10).cast("bigint")
+    sign = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    return F.when((value > 0) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF), sign).otherwise(c)
 
 
 def unescape(c: Column) -> Column:
+    parts = F.transform(F.split(c, r"(?=&#)|(?<=;)"), lambda p: F.when(p.rlike(NUMERIC), _numeric(p)).otherwise(p))
+    c = F.when(c.contains("&#"), F.array_join(parts, "")).otherwise(c)
     for entity, sign in ENTITIES.items():
         c = F.replace(c, F.lit(entity), F.lit(sign))
     return c
@@ -158,7 +246,7 @@ def unescape(c: Column) -> Column:
 def xml_segments(docs: DataFrame, text: str = "text", lang: Column | None = None) -> DataFrame:
     """Any XML: the text between two tags is a segment, ``head`` is kept out, segments are split."""
     keys = [c for c in docs.columns if c != text]
-    body = F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>|<!\[?[A-Z].*?>|<head\b.*?</head>", "")
+    body = F.regexp_replace(_cdata_escaped(F.col(text)), r"(?s)<!--.*?-->|<\?.*?\?>|<!\[?[A-Z].*?>|<head\b.*?</head>", "")
     pieces = F.filter(F.transform(F.split(body, "<[^>]+>"), lambda x: X.whitespace(unescape(x))), lambda x: x != "")
     language = F.lit("en") if lang is None else lang
     return docs.select(*keys, F.posexplode(pieces).alias("_p", "segment")).select(
@@ -167,21 +255,30 @@ def xml_segments(docs: DataFrame, text: str = "text", lang: Column | None = None
         *keys, "seg_pos", (F.col("_s") + 1).alias("sent_pos"), "sentence")
 
 
-CUE = r"(?s)^\s*(\d+)\s*\n([0-9:,]+) --> ([0-9:,]+)[^\n]*\n(.*)$"
+CUE = r"(?s)^\s*(?:(\d+)\s*\n)?([0-9:,]+) --> ([0-9:,]+)[^\n]*\n(.*)$"
 
 
 def srt(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Subtitle cues: number, start and end in seconds, cleaned text."""
+    """Subtitle cues: number (missing where the file has none), start and end in seconds, cleaned text."""
     keys = [c for c in docs.columns if c != text]
     lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     cues = docs.select(*keys, F.explode(F.split(lines, r"\n[ \t]*\n\s*")).alias("_cue")).where(
         F.col("_cue").rlike(CUE))
     part = [F.regexp_extract("_cue", CUE, i) for i in (1, 2, 3, 4)]
-    return cues.select(*keys, part[0].cast("int").alias("cue"), X.seconds(part[1]).alias("t_start"),
+    return cues.select(*keys, F.nullif(part[0], F.lit("")).cast("int").alias("cue"), X.seconds(part[1]).alias("t_start"),
                        X.seconds(part[2]).alias("t_end"),
                        X.whitespace(X.clean_cue(part[3])).alias("text"))
 
 
+def srt_files(spark: SparkSession, path: str, lang: Column | None = None) -> DataFrame:
+    """Cues of subtitle files, cut into sentences if ``lang`` says in which language."""
+    cues = srt(whole_files(spark, path))
+    if lang is None:
+        return cues
+    return cues.withColumn("lang", lang).select("file", "cue", "t_start", "t_end", F.posexplode(
+        X.split_sentences(F.col("text"), F.col("lang"))).alias("_p", "text")).withColumn("sent_pos", F.col("_p") + 1).drop("_p")
+
+
 # Byte order marks, and the charset of texts that are not UTF-8, by language.
 CHARSETS = {
     "windows-1250": ["sq", "bs", "cs", "pl", "ro", "sr", "hr", "sk", "sl", "hu"],
@@ -217,7 +314,7 @@ def decode_text(files: DataFrame, content: str = "content", lang: str = "lang")
 
 _READERS: dict[str, Callable[..., DataFrame]] = {
     "tmx": tmx, "xliff": xliff, "xces": xces, "xml": corpus_xml,
-    "moses": numbered_lines, "text": whole_files,
+    "moses": numbered_lines, "text": whole_files, "srt": srt_files,
 }
 
 
