@@ -22,7 +22,8 @@ from twinscript.session import spread
 SCORE_THRESHOLD, MAX_SRC, MAX_TRG = -10.0, 2, 2
 BAND = 50
 ANCHOR_WINDOW, ANCHOR_LETTERS = 5, 10
-UNKNOWN = "un"
+# how sources and the language identification of this package write that they are unsure
+UNSURE = ("un", "unknown")
 
 LINK_SCHEMA = "pair_id string, link_pos int, src_ids array<int>, trg_ids array<int>, score double"
 
@@ -389,13 +390,13 @@ def filter_lang(links: DataFrame, flags: DataFrame) -> DataFrame:
     """Links whose sentences are in their document's language.
 
     ``flags(pair_id, side, sent_id, detected)`` names sentences with another language found;
-    ``un`` (unsure) is let through unless all sentences of a link are unsure.
+    unsure ones are let through unless all sentences of a link are unsure.
     """
     def side(name: str) -> DataFrame:
         return links.select("pair_id", "link_pos", F.lit(name).alias("side"),
                             F.explode(F.col(f"{name}_ids").cast("array<bigint>")).alias("sent_id"))
     parts = side("src").unionByName(side("trg")).join(flags, ["pair_id", "side", "sent_id"], "left")
-    unsure = F.col("detected") == UNKNOWN
+    unsure = F.col("detected").isin(*UNSURE)
     ok = (parts.groupBy("pair_id", "link_pos")
           .agg(F.count_if(F.col("detected").isNotNull() & ~unsure).alias("_other"),
                F.count_if(unsure).alias("_unsure"), F.count(F.lit(1)).alias("_all"))

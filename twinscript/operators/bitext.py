@@ -17,7 +17,7 @@ def link_type(links: DataFrame, kind: str) -> DataFrame:
 
 
 def assemble(links: DataFrame, pairs: DataFrame, sentences: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Texts of both sides of each link; ids without a sentence are left out.
+    """Texts of both sides of each link; ids without a sentence are left out, a side without any is empty.
 
     Both sides go through one join on ``(doc, sentence)``, whose key is unique, so a large
     document spreads over many tasks; a link's few sentences are then put together.  Links that
@@ -30,12 +30,12 @@ def assemble(links: DataFrame, pairs: DataFrame, sentences: DataFrame, keep: tup
         return F.struct(F.lit(name).alias("side"), F.col(f"{name}_doc").alias("doc"),
                         F.col(f"{name}_ids").cast("array<bigint>").alias("ids"))
     sides = l.select("pair_id", "link_pos", *keep, F.explode(F.array(side("src"), side("trg"))).alias("x"))
-    ids = sides.select("pair_id", "link_pos", *keep, "x.side", "x.doc", F.posexplode("x.ids").alias("n", "sent_pos"))
+    ids = sides.select("pair_id", "link_pos", *keep, "x.side", "x.doc", F.posexplode_outer("x.ids").alias("n", "sent_pos"))
     s = sentences.select(F.col("doc_id").alias("doc"), "sent_pos", "text")
     def text(name: str) -> Column:
-        mine = F.collect_list(F.when(F.col("side") == name, F.struct("n", "text")))
+        mine = F.collect_list(F.when((F.col("side") == name) & F.col("text").isNotNull(), F.struct("n", "text")))
         return F.array_join(F.transform(F.array_sort(mine), lambda x: x["text"]), " ")
-    return ids.join(s, ["doc", "sent_pos"]).groupBy("pair_id", "link_pos").agg(
+    return ids.join(s, ["doc", "sent_pos"], "left").groupBy("pair_id", "link_pos").agg(
         text("src").alias("src_text"), text("trg").alias("trg_text"), *[F.first(c).alias(c) for c in keep])
 
 

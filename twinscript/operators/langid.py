@@ -16,18 +16,14 @@ from pyspark.sql import types as T
 
 from twinscript.session import spread
 
-# N-gram sizes, ranks kept, near-best factor and most alternatives, sample sizes.
+# N-gram sizes, ranks kept, near-best factor and most alternatives.
 LONGEST, TOP, NEAR, ALTERNATIVES = 5, 400, 1.05, 10
-MAX_TEXT, BOILERPLATE = 65536, 8148
 UNKNOWN = "unknown"
 
 
-def sample_text(text: Column) -> Column:
-    """The stretch a classifier looks at: the first ``MAX_TEXT`` characters, without both ends where
-    page furniture is likely if enough is left."""
-    head = F.substring(text, 1, MAX_TEXT)
-    inner = F.substring(head, F.lit(BOILERPLATE + 1), F.length(head) - 2 * BOILERPLATE)
-    return F.when(F.length(head) - 2 * BOILERPLATE > MAX_TEXT / 2, inner).otherwise(head)
+def sample_text(text: Column, margin: Column) -> Column:
+    """A text without ``margin`` characters at both ends, where page furniture is likely."""
+    return F.substring(text, margin + 1, F.greatest(F.length(text) - 2 * margin, F.lit(0)))
 
 
 def ngrams(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -136,18 +132,20 @@ def distances(texts: DataFrame, keys: list[str], models: DataFrame, text: str =
 
 
 def classify(texts: DataFrame, keys: list[str], models: DataFrame, text: str = "text") -> DataFrame:
-    """``keys, candidates, detected``: the languages within 5 % of the best, nearest first.
+    """``keys, candidates, detected, confidence``: the languages within 5 % of the best, nearest first.
 
-    With more than ten of them the language is unknown; a text that shares no n-gram with any
-    model is left out.  ``keys`` may name any columns to keep.
+    With more than ten of them, or if a text shares no n-gram with any model, the language is
+    unknown.  The confidence is how much nearer the best is than the second, as a share of the
+    second's distance; 1 if there is no second, 0 if the language is unknown.  ``keys`` may name any columns to keep.
     """
-    rated = texts.select(*keys, _measured(texts, models, text).alias("_d")).where(F.size("_d") > 0)
-    best = F.col("_d")[0]["distance"]
+    rated = texts.select(*keys, _measured(texts, models, text).alias("_d"))
+    best, second = F.get("_d", F.lit(0))["distance"], F.get("_d", F.lit(1))["distance"]
     near = F.transform(F.filter("_d", lambda d: (d["distance"] < F.lit(NEAR) * best) | (d["distance"] == best)),
                        lambda d: d["model"])
-    many = F.size(near) > ALTERNATIVES
-    return rated.select(*keys, F.when(many, F.array(F.lit(UNKNOWN))).otherwise(near).alias("candidates")).withColumn(
-        "detected", F.element_at("candidates", 1))
+    unclear = (F.size(near) > ALTERNATIVES) | (F.size(near) == 0)
+    sure = F.when(unclear, 0.0).when(second.isNull(), 1.0).when(second > 0, 1 - best / second).otherwise(0.0)
+    return rated.select(*keys, F.when(unclear, F.array(F.lit(UNKNOWN))).otherwise(near).alias("candidates"),
+                        sure.alias("confidence")).withColumn("detected", F.element_at("candidates", 1))
 
 
 def resolve(classified: DataFrame, declared: str = "lang") -> DataFrame:
@@ -160,9 +158,17 @@ def resolve(classified: DataFrame, declared: str = "lang") -> DataFrame:
 
 def flags(sentences: DataFrame, keys: list[str], models: DataFrame, lang: str = "lang",
           text: str = "text") -> DataFrame:
-    """Sentences whose language differs from their document's, with the detected one."""
+    """Sentences whose language differs from their document's, with the detected one and how sure that is."""
     found = classify(sentences, [*keys, lang], models, text)
-    return found.where(F.col("detected") != F.col(lang)).select(*keys, lang, "detected")
+    return found.where(F.col("detected") != F.col(lang)).select(*keys, lang, "detected", "confidence")
+
+
+def link_flags(flagged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``flags`` of sentences ``(doc_id, sent_pos)`` as ``align.filter_lang`` takes them, for the pairs their documents are in."""
+    def side(name: str) -> DataFrame:
+        return pairs.select("pair_id", F.col(f"{name}_doc").alias("doc_id")).join(flagged, "doc_id").select(
+            "pair_id", F.lit(name).alias("side"), F.col("sent_pos").alias("sent_id"), "detected")
+    return side("src").unionByName(side("trg"))
 
 
 _CLASSIFIERS: dict[str, Callable[..., DataFrame]] = {"ngrams": classify}
@@ -174,4 +180,7 @@ def register(name: str, fn: Callable[..., DataFrame]) -> None:
 
 
 def detect(name: str, *args, **kwargs) -> DataFrame:
-    return _CLASSIFIERS.get(name, classify)(*args, **kwargs)
+    """Classify by name; a name that was never registered is an error."""
+    if name not in _CLASSIFIERS:
+        raise ValueError(f"no classifier is called {name}; there are {sorted(_CLASSIFIERS)}")
+    return _CLASSIFIERS[name](*args, **kwargs)

@@ -33,12 +33,12 @@ texts AS (SELECT s.pair_id, s.src_lang, s.trg_lang, a.text AS src_text, b.text A
   JOIN lines b ON b.doc_id = s.trg_doc AND b.sent_pos = s.link_pos)""", select="""
 SELECT src_lang, trg_lang, CAST(count(*) AS BIGINT) AS links, CAST(count(DISTINCT pair_id) AS BIGINT) AS pairs,
        CAST(sum(length(src_text)) AS BIGINT) AS src_chars, CAST(sum(length(trg_text)) AS BIGINT) AS trg_chars
-FROM texts WHERE length(src_text) <= 1000 AND length(trg_text) <= 1000 GROUP BY src_lang, trg_lang"""))
+FROM texts GROUP BY src_lang, trg_lang"""))
 def _(t):
     """Flagship: pair documents, link lines one to one, assemble the bitext, clean it, count."""
     known = ("src_doc", "trg_doc", "src_lang", "trg_lang")
     links = bitext.link_type(align.one_to_one(t.doc_pairs, keep=known), "1:1")
-    named = bitext.clean(bitext.assemble(links, t.doc_pairs, t.sentences, keep=known[2:]), max_length=1000)
+    named = bitext.clean(bitext.assemble(links, t.doc_pairs, t.sentences, keep=known[2:]))
     per_pair = named.groupBy("src_lang", "trg_lang", "pair_id").agg(
         F.count(F.lit(1)).alias("links"), F.sum(F.length("src_text")).alias("src_chars"),
         F.sum(F.length("trg_text")).alias("trg_chars"))
@@ -184,10 +184,13 @@ def _(t):
     return align.filter_lang(links, flags).select("pair_id", "link_pos")
 
 
-def _long_words(t):
-    words = t.sentences.select(F.col("doc_id").alias("doc"), "sent_pos", F.explode(F.array_distinct(
+def _words(t):
+    return t.sentences.select(F.col("doc_id").alias("doc"), "sent_pos", F.explode(F.array_distinct(
         X.tokens(F.col("text"), F.col("lang"), "whitespace"))).alias("word"))
-    return words.where(F.length("word") >= 4)
+
+
+def _long_words(t):
+    return _words(t).where(F.length("word") >= 4)
 
 
 ANCHORS = S.PAIRS + "," + S.LINES + r""",
@@ -222,7 +225,7 @@ def _(t):
 
 OVERLAP = S.PAIRS + "," + S.LINES + r""",
 words AS (SELECT DISTINCT doc_id, sent_pos, w AS word FROM (SELECT doc_id, sent_pos, unnest(string_split_regex(text, '\s+')) AS w
-  FROM lines) WHERE length(w) >= 4),
+  FROM lines) WHERE w <> ''),
 counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_pos) AS n FROM words)"""
 
 
@@ -231,7 +234,7 @@ SELECT d.pair_id, a.sent_pos AS i, b.sent_pos AS j, round(count(*) / greatest(ma
 FROM doc_pairs d JOIN counted a ON a.doc_id = d.src_doc JOIN counted b ON b.doc_id = d.trg_doc AND b.word = a.word
 WHERE abs(a.sent_pos * (d.trg_size / greatest(d.src_size, 1)) - b.sent_pos) <= 10 GROUP BY d.pair_id, a.sent_pos, b.sent_pos"""))
 def _(t):
-    return align.sentence_overlap(_long_words(t), t.doc_pairs, band=10).withColumn("overlap", F.round("overlap", 9))
+    return align.sentence_overlap(_words(t), t.doc_pairs, band=10).withColumn("overlap", F.round("overlap", 9))
 
 
 @query("align_with_shared_words", S.with_tables(S.PAIRS, select="""
@@ -239,7 +242,7 @@ SELECT pair_id, src_size AS src_lines, trg_size AS trg_lines, src_size * (src_si
        trg_size * (trg_size + 1) // 2 AS trg_sum FROM doc_pairs WHERE src_size + trg_size > 0"""))
 def _(t):
     """Length and shared words together; again every line is linked once."""
-    found = align.sentence_overlap(_long_words(t), t.doc_pairs)
+    found = align.sentence_overlap(_words(t), t.doc_pairs)
     links = align.run(align.with_overlap(line_pairs(t), found), "lexical")
     def total(c):
         return F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))

@@ -85,12 +85,11 @@ def _(t):
 texts AS (SELECT s.pair_id, s.link_pos, a.text AS src_text, b.text AS trg_text FROM steps s
   JOIN lines a ON a.doc_id = s.src_doc AND a.sent_pos = s.link_pos
   JOIN lines b ON b.doc_id = s.trg_doc AND b.sent_pos = s.link_pos),
-usable AS (SELECT *, row_number() OVER (ORDER BY pair_id, link_pos) AS rn FROM texts
-  WHERE length(src_text) <= 800 AND length(trg_text) <= 800)""", select="""
+usable AS (SELECT *, row_number() OVER (ORDER BY pair_id, link_pos) AS rn FROM texts)""", select="""
 SELECT pair_id, CAST(link_pos AS INTEGER) AS link_pos, rn AS row_no,
        CASE WHEN rn <= 50 THEN 'tune' WHEN rn <= 100 THEN 'eval' ELSE 'train' END AS part FROM usable"""))
 def _(t):
-    out = jobs.fetch(align.one_to_one(t.doc_pairs, keep=("src_doc", "trg_doc")), t.doc_pairs, t.sentences, "1:1", PARTS, max_length=800)
+    out = jobs.fetch(align.one_to_one(t.doc_pairs, keep=("src_doc", "trg_doc")), t.doc_pairs, t.sentences, "1:1", PARTS)
     return out.select("pair_id", "link_pos", "row_no", "part")
 
 

@@ -347,7 +347,7 @@ def _(t):
 
 
 @query("union_of_corpora", S.with_tables(S.RESOURCES, select="""
-SELECT lang AS corpus, path FROM resources WHERE lang <> 'en'"""))
+SELECT lang AS corpus, path FROM resources"""))
 def _(t):
-    return bitext.union({code: t.resources.where(F.col("lang") == code).select("path") for code in ("fr", "de", "es")}
+    return bitext.union({code: t.resources.where(F.col("lang") == code).select("path") for code in ("en", "fr", "de", "es")}
                         ).select("corpus", "path")
