@@ -33,15 +33,21 @@ def distance(a, b):
 def test_similar_names_are_those_a_full_comparison_finds(spark):
     rng = random.Random(5)
     def name():
-        return "chapter " + "".join(rng.choice("abc") for _ in range(rng.choice([2, 4, 9])))
-    have = sorted({name() for _ in range(60)})
-    ask = sorted({name() for _ in range(60)} | {"123"})
+        return "chapter " + "".join(rng.choice("abc") for _ in range(rng.choice([2, 4, 9, 15, 34])))
+    have = sorted({name() for _ in range(60)} | {"abcdefghij" * 4})
+    ask = sorted({name() for _ in range(60)} | {"123", "abcdefghij" * 3 + "bcdXfgYhij", "abXdefghijabcdefgXXjabcdefghijabcdefghj"})
+    for n in have[::5]:
+        w = list(n)
+        for at in rng.sample(range(len(w)), len(w) // 10):
+            w[at] = rng.choice(["", "z", "zz"])
+        ask.append("".join(w))
+    ask = sorted(set(ask))
     names = spark.createDataFrame([("s", "de", n, f"p/{n}") for n in have], "slot string, lang string, name string, path string")
     wanted = spark.createDataFrame([("s", n, "de") for n in ask], "slot string, name string, lang string")
     got = {r["name"]: (r["distance"], r["match"]) for r in match.similar(wanted, names).collect()}
     want = {}
     for n in ask:
-        near = [(distance(n, h), h) for h in have if distance(n, h) <= min(-(-len(n) // 10), 2)]
+        near = [(distance(n, h), h) for h in have if distance(n, h) <= -(-len(n) // 10)]
         if near and n != "123":
             want[n] = min(near)
     assert got == want
@@ -103,6 +109,13 @@ def test_relative_links(spark):
         assert r["got"] == r["want"]
 
 
+def test_the_longest_marker_goes(spark):
+    df = spark.createDataFrame([("entry_English.xml", "en", "eng", "English"), ("entry_en.xml", "en", "eng", "English"), ("a_ENG.xml", "en", "eng", "English"),
+                                ("plain", "sv", "swe", "Swedish")], "n string, two string, three string, name string")
+    got = [r["x"] for r in df.select(L.without_last_marker(*map(F.col, ("n", "two", "three", "name"))).alias("x")).collect()]
+    assert got == ["entry_.xml", "try_en.xml", "a_.xml", "plain"]
+
+
 def test_language_forms(spark):
     df = spark.createDataFrame([("ger",), ("deu",), ("German",), ("de_AT",), ("qqq",)], "c string")
     assert [r["two"] for r in L.to_two(df, "c", "two").collect()] == ["de", "de", "de", "de", "qqq"]

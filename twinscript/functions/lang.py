@@ -19,7 +19,7 @@ BIBLIOGRAPHIC = {
 
 # Region used in a language tag when none is given and it is not the language code.
 DEFAULT_REGION = {
-    "cs": "CZ", "da": "DK", "el": "GR", "en": "US", "et": "EE", "ga": "IE", "ja": "JP", "ko": "KR",
+    "af": "ZA", "cs": "CZ", "da": "DK", "el": "GR", "en": "US", "et": "EE", "ga": "IE", "ja": "JP", "ko": "KR",
     "sl": "SI", "sv": "SE", "uk": "UA", "zh": "CN",
 }
 
@@ -106,6 +106,11 @@ def names_language(text: Column, two: Column, three: Column, name: Column) -> Co
 
 
 def without_last_marker(text: Column, two: Column, three: Column, name: Column) -> Column:
-    """The name without the first occurrence of its longest language marker."""
-    lang = _choice(two, three, name)
-    return F.regexp_replace(text, F.concat(F.lit("(?i)^(.*?)"), lang), F.lit("$1"))
+    """The file name without the first occurrence of its longest language marker: name, else three letters, else two."""
+    low = F.lower(text)
+    out = text
+    for form in (two, three, F.lower(name)):
+        at = F.position(form, low)
+        cut = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(form), F.length(text)))
+        out = F.when(at > 0, cut).otherwise(out)
+    return out

@@ -71,8 +71,38 @@ def no_lang(resources: DataFrame, column: str = "basename",
     return _pair(one, [*key, "stripped"])
 
 
-def _tolerance(name: Column, max_edits: int) -> Column:
-    return F.least(F.ceil(F.length(name) * NAME_ERRORS).cast("int"), F.lit(max_edits))
+def _tolerance(name: Column, max_edits: int | None) -> Column:
+    edits = F.ceil(F.length(name) * NAME_ERRORS).cast("int")
+    return edits if max_edits is None else F.least(edits, F.lit(max_edits))
+
+
+# up to so many edits, partners meet through strings with as many characters deleted
+DELETED = 2
+
+
+def _piece_length(n: Column) -> Column:
+    """Length of the pieces that a name of ``n`` characters is cut into, one more than its tolerance."""
+    return F.floor(n / (F.ceil(n * NAME_ERRORS) + 1)).cast("int")
+
+
+def _by_pieces(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of names that share a piece of the wanted one, where a name within its tolerance must have it.
+
+    A name is cut into one more piece than it may have edits, so one of them stays whole, at most as
+    many places away.  A partner's length differs by the tolerance at most, which leaves few lengths of pieces.
+    """
+    n = F.length("name")
+    left = wanted.withColumn("_k", _tolerance(F.col("name"), None)).withColumn("_l", _piece_length(n)).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_k")))).withColumn("_at", F.col("_i") * F.col("_l") + 1).withColumn(
+        "piece", F.substring(F.col("name"), F.col("_at"), F.col("_l")))
+    m = F.length("match")
+    asked = F.sequence(F.greatest(F.floor(m / (1 + NAME_ERRORS)).cast("int") - 1, F.lit(1)), F.ceil(m / (1 - NAME_ERRORS)).cast("int") + 1)
+    right = names.select("slot", "lang", F.col("name").alias("match"), "path").withColumn(
+        "_l", F.explode(F.array_distinct(F.transform(asked, _piece_length)))).where((F.col("_l") > 0) & (F.col("_l") <= m)).withColumn(
+        "_place", F.explode(F.sequence(F.lit(1), m - F.col("_l") + 1))).withColumn("piece", F.substring(F.col("match"), F.col("_place"), F.col("_l")))
+    hits = left.join(right, ["slot", "lang", "piece", "_l"]).where(F.abs(F.col("_at") - F.col("_place")) <= F.col("_k"))
+    return hits.withColumn("distance", F.levenshtein("name", "match")).where(F.col("distance") <= F.col("_k")).select(
+        "slot", "name", "lang", "distance", "path", "match")
 
 
 def _one_deleted(c: Column) -> Column:
@@ -90,15 +120,15 @@ def _deletions(c: Column, edits: int) -> Column:
     return out
 
 
-def similar(wanted: DataFrame, names: DataFrame, max_edits: int = 2) -> DataFrame:
+def similar(wanted: DataFrame, names: DataFrame, max_edits: int | None = None) -> DataFrame:
     """The closest name in a missing language for each ``(slot, name, lang)`` that lacks one.
 
     ``wanted(slot, name, lang)`` asks for a partner of ``name`` in ``lang``;
     ``names(slot, lang, name, path)`` holds what there is.  A partner differs in at most one edit
-    per ten characters, ``max_edits`` at most.  Strings within k edits share a string made by k
-    deletions, so candidates come from an equi-join on those; a name has as many neighbours as
-    its spelling allows, however many rows there are.  Each further edit is tried only for
-    names that found nothing closer.
+    per ten characters, and ``max_edits`` at most if that is given.  Strings within k edits share a
+    string made by k deletions, so candidates for one and two edits come from an equi-join on those; a name has
+    as many neighbours as its spelling allows, however many rows there are.  Each further edit is tried only for
+    names that found nothing closer; from three edits on these meet through whole pieces of the name.
     """
     wanted = wanted.where(F.col("name").rlike(r"\p{L}")).distinct()
     # one file stands for a name, the smallest path
@@ -107,7 +137,7 @@ def similar(wanted: DataFrame, names: DataFrame, max_edits: int = 2) -> DataFram
              .select("slot", "name", "lang", F.lit(0).alias("distance"), "path",
                      F.col("name").alias("match")))
     rest = wanted.join(found, ["slot", "name", "lang"], "left_anti")
-    for k in range(1, max_edits + 1):
+    for k in range(1, min(DELETED, DELETED if max_edits is None else max_edits) + 1):
         left = rest.where(_tolerance(F.col("name"), max_edits) >= k).select(
             "slot", "lang", "name", F.explode(_deletions(F.col("name"), k)).alias("variant"))
         right = names.select("slot", "lang", F.col("name").alias("match"), "path",
@@ -119,6 +149,12 @@ def similar(wanted: DataFrame, names: DataFrame, max_edits: int = 2) -> DataFram
                 .select("slot", "name", "lang", "b.*"))
         found = found.unionByName(best)
         rest = rest.join(best, ["slot", "name", "lang"], "left_anti")
+    if max_edits is None or max_edits > DELETED:
+        far = _by_pieces(rest.where(_tolerance(F.col("name"), max_edits) > DELETED), names)
+        if max_edits is not None:
+            far = far.where(F.col("distance") <= max_edits)
+        found = found.unionByName(far.groupBy("slot", "name", "lang").agg(
+            F.min(F.struct("distance", "path", "match")).alias("b")).select("slot", "name", "lang", "b.*"))
     return found
 
 
@@ -174,7 +210,7 @@ def scored(resources: DataFrame, known: DataFrame, name: str = "basename",
     """Candidate pairs with a score from name and size; known alignments score 1.
 
     Names are either equal, or both carry their language and are equal without it; in the second
-    case the name score is the share of characters outside the differing infixes.
+    case the name score is the share of the full names' characters outside the differing infixes.
     """
     codes = F.broadcast(L.codes(resources.sparkSession)).select("two", "three", F.col("name").alias("name_en"))
     docs = resources.select(*key, "path", "lang", "size", F.col(name).alias("name"))
@@ -191,7 +227,7 @@ def scored(resources: DataFrame, known: DataFrame, name: str = "basename",
     bare = [L.without_last_marker(F.col(f"{s}_name"), F.col(f"{s}_lang"), F.col(f"{s}_three"), F.col(f"{s}_en"))
             for s in ("src", "trg")]
     ins, inf = scores.infixes(*bare)
-    total = F.length(bare[0]) + F.length(bare[1])
+    total = F.length("src_name") + F.length("trg_name")
     lengths = [F.length("src_path"), F.length("trg_path")]
     path_ratio = F.least(*lengths) / F.greatest(*lengths)
     name_match = F.when(F.col("kind") == 0, path_ratio).when(

@@ -71,7 +71,7 @@ wanted AS (SELECT DISTINCT n.slot, n.name, l.lang FROM named n JOIN langs l ON n
 names AS (SELECT slot, lang, name, min(path) AS path FROM named GROUP BY ALL),
 near AS (SELECT w.slot, w.name, w.lang, levenshtein(w.name, n.name) AS distance, n.path, n.name AS match
   FROM wanted w JOIN names n ON n.slot = w.slot AND n.lang = w.lang
-  WHERE levenshtein(w.name, n.name) <= least(ceil(length(w.name) * 0.1), 2)),
+  WHERE levenshtein(w.name, n.name) <= ceil(length(w.name) * 0.1)),
 best AS (SELECT *, row_number() OVER (PARTITION BY slot, name, lang ORDER BY distance, path, match) AS rn FROM near)""",
        select="SELECT slot, name, lang, CAST(distance AS INTEGER) AS distance, path, match FROM best WHERE rn = 1"))
 def _(t):
@@ -132,7 +132,8 @@ def _(t):
 
 @query("scored_candidates", S.with_tables(S.PAIRS + STRIPPED, rf"""
 one AS (SELECT slot, stripped, lang, max(path) AS path FROM stripped GROUP BY ALL),
-marked AS (SELECT s.*, regexp_replace(s.name, '(?i)^(.*?)(?:' || c.name_en || '|' || c.three || '|' || c.two || ')', '\1') AS bare
+marked AS (SELECT s.*, regexp_replace(s.name, '(?i)^(.*?)' || CASE WHEN contains(lower(s.name), c.name_en) THEN c.name_en
+    WHEN contains(lower(s.name), c.three) THEN c.three ELSE c.two END, '\1') AS bare
   FROM stripped s JOIN one USING (path) JOIN {NAMES} ON c.two = s.lang),
 cross_pairs AS (SELECT a.path AS src_path, b.path AS trg_path, a.size AS ss, b.size AS ts,
     (1 - 0.0 / (length(a.bare) + length(b.bare))) AS raw, a.bare AS x, b.bare AS y
