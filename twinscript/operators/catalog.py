@@ -200,8 +200,12 @@ def _changed(catalog: DataFrame, updates: DataFrame, combine) -> DataFrame:
     branch record, whatever the update says.
     """
     u = updates.select("path", F.col("meta").alias("_new"))
-    merged = (catalog.select("path", "meta").join(u, "path", "full_outer")
-              .withColumn("_old", F.coalesce("meta", _empty()))
+    return _combined(catalog.select("path", "meta").join(u, "path", "full_outer"), catalog, combine)
+
+
+def _combined(rows: DataFrame, catalog: DataFrame, combine) -> DataFrame:
+    """``_changed`` for rows that hold a record's ``meta`` and, if it changes, ``_new`` side by side."""
+    merged = (rows.withColumn("_old", F.coalesce("meta", _empty()))
               .withColumn("_sound", _sound(F.col("_new")))
               .withColumn("meta", F.when(F.col("_new").isNull(), F.col("_old")).otherwise(
                   combine(F.col("_old"), F.col("_sound")))))
@@ -213,6 +217,10 @@ def _changed(catalog: DataFrame, updates: DataFrame, combine) -> DataFrame:
     return out.select("path", F.when(inherit, _overlay(F.col("meta"), gid)).otherwise(F.col("meta")).alias("meta"))
 
 
+def _added(old: Column, new: Column) -> Column:
+    return _overlay(old, F.transform_values(new, lambda k, v: merge_values(F.element_at(old, k), v)))
+
+
 def post(catalog: DataFrame, updates: DataFrame) -> DataFrame:
     """Overwrite the given keys."""
     return _changed(catalog, updates, _overlay)
@@ -220,10 +228,7 @@ def post(catalog: DataFrame, updates: DataFrame) -> DataFrame:
 
 def put(catalog: DataFrame, updates: DataFrame) -> DataFrame:
     """Add values to the given keys, keeping those that are there."""
-    def combine(old: Column, new: Column) -> Column:
-        added = F.transform_values(new, lambda k, v: merge_values(F.element_at(old, k), v))
-        return _overlay(old, added)
-    return _changed(catalog, updates, combine)
+    return _changed(catalog, updates, _added)
 
 
 def delete(catalog: DataFrame, requests: DataFrame) -> DataFrame:
@@ -249,16 +254,17 @@ def subtree(path: str) -> Column:
 
 
 def put_recursive(catalog: DataFrame, path: str, data: dict[str, str]) -> DataFrame:
-    return _recursive(catalog, path, data, put)
+    return _recursive(catalog, path, data, _added)
 
 
 def post_recursive(catalog: DataFrame, path: str, data: dict[str, str]) -> DataFrame:
-    return _recursive(catalog, path, data, post)
+    return _recursive(catalog, path, data, _overlay)
 
 
-def _recursive(catalog: DataFrame, path: str, data: dict[str, str], method) -> DataFrame:
+def _recursive(catalog: DataFrame, path: str, data: dict[str, str], combine) -> DataFrame:
+    """A whole subtree is changed where its records are read; they are not joined with themselves."""
     literal = F.create_map(*[F.lit(x) for kv in data.items() for x in kv])
-    return method(catalog, catalog.where(subtree(path)).select("path", literal.alias("meta")))
+    return _combined(catalog.select("path", "meta", F.when(subtree(path), literal).alias("_new")), catalog, combine)
 
 
 def delete_recursive(catalog: DataFrame, path: str) -> DataFrame:
