@@ -213,8 +213,8 @@ def next_and_edited(docs: DataFrame) -> DataFrame:
     # one row per task from here on
     w = Window.orderBy("task")
     starts = found.where("edge = 2").select("task")
-    follows = starts.select("task", F.lead("task").over(w).alias("f")).join(
-        F.broadcast(starts.agg(F.min("task").alias("least")))).select("task", F.coalesce("f", "least").alias("follower"))
+    first = starts.agg(F.min("task")).first()[0]
+    follows = starts.select("task", F.coalesce(F.lead("task").over(w), F.lit(first).cast("int")).alias("follower"))
     heads = found.where("edge = 2").select(F.col("task").alias("follower"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
     open_ = found.where("edge = 1").join(follows, "task").join(heads, "follower").select(
         "doc_id", "text", "fingerprint", "next_text", "next_print")

@@ -151,8 +151,7 @@ def disclosing_spans(docs: DataFrame, found: DataFrame, support: int = 2, disclo
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     of_term = docs.select(F.explode(F.array_distinct(F.split(lowered, BETWEEN))).alias("term")).join(terms, "term", "left_semi").groupBy(
         "term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
-    rated = (joint.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(total))
+    rated = (joint.join(of_entity, "entity").join(of_term, "term").withColumn("n_docs", F.lit(found.count()))
              .withColumn("pmi", F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity"))))
              .withColumn("ic", F.log2(F.col("n_docs") / F.col("n_entity"))))
     telling = cut_lineage(rated.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic") - 1e-9)).select("entity", "term"))
