@@ -9,10 +9,10 @@ from twinscript.plans import sqltables as S
 from twinscript.plans.registry import query
 
 
-def _tokens(t):
-    """Bitext as prefixed tokens."""
+def _tokens(t, n=words.PREFIX):
+    """Bitext as tokens, cut to ``n`` characters unless that is None."""
     def toks(c):
-        return words.prefixed(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+        return words.prefixed(F.filter(F.split(c, r"\s+"), lambda w: w != ""), n)
     return t.bitext.select("pair_id", toks("src_text").alias("src_toks"), toks("trg_text").alias("trg_toks"))
 
 
@@ -23,6 +23,9 @@ trg AS (SELECT pair_id, u.i - 1 AS t, u.w AS trg FROM (SELECT pair_id, unnest(li
   string_split_regex(trg_text, '\s+'), lambda w: w <> ''), lambda w, i: {'i': i, 'w': lower(w[:4])})) AS u FROM bitext))"""
 
 
+WHOLE = TOKENS.replace("w[:4]", "w")
+
+
 def em_sql(name: str, a: str, b: str, rounds: int, prior: str = "") -> str:
     """``{name}(src, trg, p)`` after some rounds, from ``a`` to ``b``."""
     out = rf"""
@@ -47,6 +50,13 @@ def _(t):
     return words.cooccurrence(_tokens(t))
 
 
+@query("word_cooccurrence_whole_words", S.with_tables(WHOLE, select="""
+SELECT src, trg, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT pair_id, src FROM src) JOIN
+  (SELECT DISTINCT pair_id, trg FROM trg) USING (pair_id) GROUP BY ALL"""))
+def _(t):
+    return words.cooccurrence(_tokens(t, None))
+
+
 @query("bilingual_lexicon", S.with_tables(TOKENS, em_sql("lex", "src", "trg", 2), select="""
 SELECT src, trg, abs(round(ln(p), 5)) AS cost FROM lex"""))
 def _(t):
@@ -83,6 +93,12 @@ def _(t):
     return _forward(t)
 
 
+@query("word_links_whole_words", S.with_tables(FORWARD.replace("w[:4]", "w"), select="SELECT pair_id, CAST(s AS INTEGER) AS s, CAST(t AS INTEGER) AS t FROM fwd"))
+def _(t):
+    b = _tokens(t, None)
+    return words.align(b, words.lexicon(b, rounds=1))
+
+
 @query("word_links_both_ways", S.with_tables(BACKWARD, select="""
 SELECT pair_id, CAST(s AS INTEGER) AS s, CAST(t AS INTEGER) AS t FROM fwd JOIN bwd USING (pair_id, s, t)"""))
 def _(t):
