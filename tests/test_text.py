@@ -125,5 +125,13 @@ def test_language_is_found_and_resolved(spark):
     models = langid.train(known)
     found = langid.classify(texts, ["id", "lang"], models)
     got = {r["id"]: r["language"] for r in langid.resolve(found).collect()}
-    assert got == {1: "en", 2: "de"}
-    assert {r["id"] for r in langid.flags(texts, ["id"], models).collect()} == {1}
+    assert got == {1: "en", 2: "de", 3: "fr"}
+    flagged = {r["id"]: (r["detected"], r["confidence"] > 0) for r in langid.flags(texts, ["id"], models).collect()}
+    assert flagged == {1: ("en", True), 3: ("unknown", False)}
+
+
+def test_acronyms_of_any_length_end_no_sentence(spark):
+    text = "See A" + ".B" * 90 + ". Next one. The A.B.C... Then more."
+    df = spark.createDataFrame([(text, "en")], "text string, lang string")
+    got = df.select(X.split_sentences(F.col("text"), F.col("lang")).alias("s")).first()["s"]
+    assert got == ["See A" + ".B" * 90 + ". Next one.", "The A.B.C...", "Then more."]

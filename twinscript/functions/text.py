@@ -118,13 +118,16 @@ def _words(words: list[str]) -> str:
     return "(?:" + "|".join(quoted) + ")" if quoted else r"(?!)"
 
 
+# stands for a blank while sentences are cut; no character of any text
+HELD = "\uffff"
+
+
 def _period_rule(lang: str) -> str:
-    """A blank after a period that ends a sentence: not an abbreviation, not an acronym, and
-    before a capital or a number."""
+    """A blank after a period that ends a sentence: not an abbreviation, and before a capital or a number."""
     run = r"(?<![\p{L}\p{Nd}.\-])"
     always = _words(ABBREVIATIONS[lang])
     number = _words(ABBREVIATIONS_BEFORE_NUMBER[lang])
-    return (rf"(?<=\.)(?<!{run}{always}\.)(?<!\.[\p{{Lu}}\-]{{1,64}}\.{{1,16}}) "
+    return (rf"(?<=\.)(?<!{run}{always}\.) "
             rf"(?:(?=[0-9])(?<!{run}{number}\. )|(?={OPENING}+[0-9])|(?={OPENING}*\p{{Lu}}))")
 
 
@@ -149,8 +152,10 @@ def _rules_splitter(text: Column, lang: Column) -> Column:
     c = F.regexp_replace(c, rf"(\.\.+) +({start})", "$1\n$2")
     c = F.regexp_replace(c, rf"([?!.] *{CLOSING}+) +({OPENING}* *\p{{Lu}})", "$1\n$2")
     c = F.regexp_replace(c, rf"([?!.]) +({OPENING}+ *\p{{Lu}})", "$1\n$2")
+    # the blank after an acronym of any length ends nothing
+    c = F.regexp_replace(c, r"(\.[\p{Lu}\-]+\.+) ", f"$1{HELD}")
     c = _by_language(lang, lambda code: F.regexp_replace(c, _period_rule(code), "\n"))
-    return F.filter(F.split(_tidy(c), "\n"), lambda s: s != "")
+    return F.filter(F.split(_tidy(F.replace(c, F.lit(HELD), F.lit(" "))), "\n"), lambda s: s != "")
 
 
 _SPLITTERS: dict[str, Callable[[Column, Column], Column]] = {
