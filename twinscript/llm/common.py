@@ -71,6 +71,12 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = stop
 
 
+def compact(column: pa.Array) -> pa.Array:
+    """The strings with 64-bit offsets that start at 0: some kernels take the offsets of a slice wrong."""
+    empty = pa.array([], pa.large_string())
+    return pa.concat_arrays([column.cast(pa.large_string()), empty, empty])
+
+
 def file_system(path: str):
     """(file system, path in it) of a path below the shared folder."""
     from pyarrow import fs

@@ -59,7 +59,7 @@ class Shingles:
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all shingles, and the bounds of each text."""
-        cut = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+        cut = pc.ascii_split_whitespace(common.compact(column))
         words = cut.flatten().dictionary_encode()
         pieces = words.dictionary.to_pylist()
         new = [p for p in pieces if p not in self.known]

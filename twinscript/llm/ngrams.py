@@ -54,7 +54,7 @@ class Words:
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes (signed), the place of each token's hash among them, and the bounds of the texts."""
-        cut = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(common.compact(column)))
         words = cut.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
         new = [w for w in names if w not in self.known]

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from twinscript.llm import common
+
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Put before a text, so that its first word is told from the words that follow a blank.
 FIRST = "\x01"
@@ -77,7 +79,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and where those of each text start and the last ones end."""
-        column = column.cast(pa.large_string())
+        column = common.compact(column)
         odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
         plain = column.filter(pa.array(~odd))
         # one blank or line feed between any two words: each word takes the one before it along

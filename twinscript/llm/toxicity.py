@@ -50,7 +50,7 @@ def terms_of(word: str) -> list[str]:
 
 def _distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pieces between blanks, the piece at each place, and the text of each place."""
-    cut = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+    cut = pc.ascii_split_whitespace(common.compact(column))
     words = cut.flatten().dictionary_encode()
     sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
     return words.dictionary.to_pylist(), words.indices.to_numpy(), np.repeat(np.arange(len(column)), sizes)
