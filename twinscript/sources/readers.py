@@ -279,15 +279,17 @@ def srt_files(spark: SparkSession, path: str, lang: Column | None = None) -> Dat
         X.split_sentences(F.col("text"), F.col("lang"))).alias("_p", "text")).withColumn("sent_pos", F.col("_p") + 1).drop("_p")
 
 
-# Byte order marks, and the charset of texts that are not UTF-8, by language.
+# Byte order marks, and the charset of texts that are not UTF-8, by language; windows-1252 for all others.
 CHARSETS = {
     "windows-1250": ["sq", "bs", "cs", "pl", "ro", "sr", "hr", "sk", "sl", "hu"],
     "windows-1251": ["bg", "mk", "ru", "be", "uk"], "windows-1253": ["el"], "windows-1254": ["tr"],
     "windows-1255": ["he"], "windows-1256": ["ar"], "windows-1257": ["lv", "lt"], "ISO-8859-4": ["is"],
-    "windows-1252": ["da", "nl", "eo", "et", "fi", "fr", "de", "it", "no", "pt", "es", "sv", "en"],
 }
 
 
+JAVA_CHARSETS = "spark.sql.legacy.javaCharsets"
+
+
 def charset(content: Column, lang: Column) -> Column:
     """Charset by byte order mark, then UTF-8 if valid, then the language's usual one."""
     head = F.hex(F.substring(content, 1, 3))
@@ -301,15 +303,25 @@ def charset(content: Column, lang: Column) -> Column:
 def decode_text(files: DataFrame, content: str = "content", lang: str = "lang") -> DataFrame:
     """Add ``charset`` and ``text`` (without byte order mark) to rows of bytes.
 
-    Charsets beyond the Unicode ones need a session setting, which is made here.
+    Charsets beyond the Unicode ones need a session setting while the plan is made; it is put back afterwards.
     """
-    files.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
-    named = files.withColumn("charset", charset(F.col(content), F.col(lang)))
-    text = None
-    for name in ["UTF-8", "UTF-16LE", "UTF-16BE", *CHARSETS]:
-        value = F.decode(content, name)
-        text = F.when(F.col("charset") == name, value) if text is None else text.when(F.col("charset") == name, value)
-    return named.withColumn("text", F.regexp_replace(text, "^﻿", ""))
+    conf = files.sparkSession.conf
+    before = conf.get(JAVA_CHARSETS, None)
+    conf.set(JAVA_CHARSETS, "true")
+    try:
+        named = files.withColumn("charset", charset(F.col(content), F.col(lang)))
+        text = None
+        for name in ["UTF-8", "UTF-16LE", "UTF-16BE", *CHARSETS, "windows-1252"]:
+            value = F.decode(content, name)
+            text = F.when(F.col("charset") == name, value) if text is None else text.when(F.col("charset") == name, value)
+        out = named.withColumn("text", F.regexp_replace(text, "^\ufeff", ""))
+        out.schema  # analysed here, with the setting
+        return out
+    finally:
+        if before is None:
+            conf.unset(JAVA_CHARSETS)
+        else:
+            conf.set(JAVA_CHARSETS, before)
 
 
 _READERS: dict[str, Callable[..., DataFrame]] = {
