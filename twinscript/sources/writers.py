@@ -85,6 +85,7 @@ def moses(bitext: DataFrame, path: str, src: str, trg: str, order: list[str],
      .write.partitionBy("file").text(path))
 
 
+UNITS_PER_FILE = 200_000
 TMX_HEAD = ('<?xml version="1.0" encoding="utf-8"?>\n<tmx version="1.4"><header segtype="sentence" '
             'datatype="PlainText" creationtool="twinscript" adminlang="en" srclang="*all*" o-tmf="text"/><body>')
 
@@ -92,7 +93,7 @@ TMX_HEAD = ('<?xml version="1.0" encoding="utf-8"?>\n<tmx version="1.4"><header
 def tmx(tus: DataFrame, path: str, files: int | None = None) -> None:
     """``tu_id, lang, seg`` as translation memories: languages sorted, units with one language left out.
 
-    There are as many files as shuffle tasks unless a number is given.
+    Unless a number of files is given, there is one for every ``UNITS_PER_FILE`` segments, which are counted first.
     """
     seg = F.concat(F.lit('<tuv xml:lang="'), F.col("lang"), F.lit('"><seg>'),
                    X.escape_xml(X.whitespace(X.clean_xml(F.col("seg")))), F.lit("</seg></tuv>"))
@@ -101,7 +102,7 @@ def tmx(tus: DataFrame, path: str, files: int | None = None) -> None:
         F.size(F.array_distinct(F.transform("v", lambda r: r["lang"]))) > 1)
     line = F.concat(F.lit("<tu"), _attribute("tuid", F.col("tu_id")), F.lit(">"),
                     F.array_join(F.transform("v", lambda r: r["x"]), ""), F.lit("</tu>"))
-    files = files or int(tus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files or -(-tus.count() // UNITS_PER_FILE) or 1
     write_framed(units.select(bucket("tu_id", files).alias("file"), "tu_id", line.alias("line")), path,
                  ["tu_id"], F.lit(TMX_HEAD), F.lit("</body></tmx>"))
 
