@@ -10,18 +10,21 @@ U64 = np.uint64
 HEAD = struct.Struct("<QQQQ")
 
 
+ONES, HIGHS = U64(0x0101010101010101), U64(0x8080808080808080)
+#: Place of the k-th set bit of each byte, 8 where there is none.
+IN_BYTE = np.array([[*[i for i in range(8) if b >> i & 1], *[8] * 8][k] for b in range(256) for k in range(8)], dtype=np.uint8)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each word."""
-    at = np.zeros(len(word), dtype=np.int64)
-    k = k.astype(np.int64)
-    word = word.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & U64((1 << width) - 1)).astype(np.int64)
-        right = k >= below
-        k = np.where(right, k - below, k)
-        word = np.where(right, word >> U64(width), word)
-        at += np.where(right, width, 0)
-    return at
+    """Place of the k-th (from 0) set bit of each word: bits are counted in all bytes at once, then looked up in one."""
+    with np.errstate(over="ignore"):
+        k = k.astype(U64)
+        x = word - (word >> U64(1) & U64(0x5555555555555555))
+        x = (x & U64(0x3333333333333333)) + (x >> U64(2) & U64(0x3333333333333333))
+        upto = (x + (x >> U64(4)) & U64(0x0F0F0F0F0F0F0F0F)) * ONES
+        shift = np.bitwise_count(((k * ONES | HIGHS) - upto) & HIGHS).astype(U64) << U64(3)
+        rest = k - (upto << U64(8) >> shift & U64(255))
+        return (shift + IN_BYTE[(word >> shift & U64(255)) << U64(3) | rest]).astype(np.int64)
 
 
 class EliasFano:
@@ -99,13 +102,17 @@ class EliasFano:
         part, want = part[asked], v[asked] & self.mask
         stop = self._select0(part)
         start = np.where(part > 0, self._select0(np.maximum(part - 1, 0)) + 1, 0)
-        at, end = start - part, stop - part
-        while len(asked):
-            open_ = at < end
-            asked, at, end, want = asked[open_], at[open_], end[open_], want[open_]
-            if not len(asked):
-                break
-            hit = self._low(at) == want
-            out[asked[hit]] = at[hit]
-            asked, at, end, want = asked[~hit], at[~hit] + 1, end[~hit], want[~hit]
+        lo, end = start - part, stop - part
+        hi = end.copy()
+        # values of a group share their high part and ascend in their low part; frequent nodes make long groups
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = self._low(middle) < want[open_]
+            lo[open_] = np.where(less, middle + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], middle)
+            open_ = open_[lo[open_] < hi[open_]]
+        inside = np.flatnonzero(lo < end)
+        hit = inside[self._low(lo[inside]) == want[inside]]
+        out[asked[hit]] = lo[hit]
         return out

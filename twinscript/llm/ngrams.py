@@ -41,40 +41,36 @@ STEPS = 4096
 NONE = 65535
 DISCOUNT = 0.75
 #: Ids counted at once by a task.
-CHUNK = 2_000_000
-KEPT = 300_000
+CHUNK = 1_000_000
 HEAD = struct.Struct("<QQQQ")
 
 
 class Words:
     """Hashes of the words of texts, each text followed by the end token."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes (signed), the place of each token's hash among them, and the bounds of the texts."""
         cut = pc.ascii_split_whitespace(pc.ascii_lower(common.compact(column)))
         words = cut.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        new = [w for w in names if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known, new = {}, names
-        self.known.update((w, xxhash.xxh3_64_intdigest(w) | 1 if w else 0) for w in new)
-        h = np.array([self.known[w] for w in names] + [END], dtype=U64).view(np.int64)
+        names = common.compact(words.dictionary)
+        ends = np.frombuffer(names.buffers()[1], np.int64)[:len(names) + 1].tolist()
+        data, digest = memoryview(names.buffers()[2] or b""), xxhash.xxh3_64_intdigest
+        h = np.fromiter((digest(data[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)), dtype=U64, count=len(names)) | U64(1)
         at = words.indices.to_numpy().astype(np.int64)
         sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        if "" in names:  # what a splitter gives before leading and after trailing white space
-            keep = at != names.index("")
-            row, at = row[keep], at[keep]
-            sizes = np.bincount(row, minlength=len(sizes))
+        # what a splitter gives before leading and after trailing white space
+        none = np.flatnonzero(np.diff(ends) == 0)
+        if len(none):
+            keep = at != none[0]
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+            at = at[keep]
         bounds = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
         tokens = np.full(bounds[-1], len(names), dtype=np.int64)
         inside = np.ones(len(tokens), dtype=bool)
         inside[bounds[1:] - 1] = False
         tokens[inside] = at
-        distinct, place = np.unique(h, return_inverse=True)
+        distinct, place = np.unique(np.append(h, U64(END)).view(np.int64), return_inverse=True)
         return distinct, place[tokens], bounds
 
 
@@ -158,22 +154,30 @@ class TrieFile:
 
     @staticmethod
     def _successor(pointers: EliasFano, level: EliasFano, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of a word among the successors of a node, -1 if it is none."""
+        """Place of a word among the successors of a node (-1: no node), -1 if it is none; questions come ordered by node."""
         out = np.full(len(node), -1, dtype=np.int64)
         known = np.flatnonzero(node >= 0)
-        start, end = (pointers.get(node[known] + i).astype(np.int64) for i in (0, 1))
-        known, start, end = known[end > start], start[end > start], end[end > start]
         if not len(known):
             return out
-        offset = np.where(start > 0, level.get(np.maximum(start - 1, 0)) + U64(1), U64(0))
-        at = level.find(offset + word[known].astype(U64))
-        out[known] = np.where((at >= start) & (at < end), at, -1)
+        # a node's range is looked up once
+        new = np.diff(node[known], prepend=-1) != 0
+        of, once = np.cumsum(new) - 1, node[known][new]
+        start, end = (pointers.get(once + i).astype(np.int64) for i in (0, 1))
+        offset = np.where(start > 0, level.get(np.maximum(start - 1, 0)) + U64(1), U64(0)) if level.n else np.zeros(len(start), U64)
+        full = (end > start)[of]
+        known, of = known[full], of[full]
+        at = level.find(offset[of] + word[known].astype(U64))
+        out[known] = np.where((at >= start[of]) & (at < end[of]), at, -1)
         return out
 
     def pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self._successor(self.to2, self.level2, self.roots.find(first), second)
+        """Places of pairs, which come ordered by their first words."""
+        new = np.diff(first, prepend=-1) != 0
+        root = self.roots.find(first[new])[np.cumsum(new) - 1]
+        return self._successor(self.to2, self.level2, root, second)
 
     def triple(self, node: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """Places of third words below pairs, which come ordered by the pairs' places."""
         return self._successor(self.to3, self.level3, node, third)
 
 
@@ -365,17 +369,21 @@ def train(docs: DataFrame, spark: SparkSession, shards: int | None = None, least
             triples, n3 = np.unique(of[three].astype(U64) << U64(32) | w[three + 2].astype(U64), return_counts=True)
             owner = (triples >> U64(32)).astype(np.int64)
             third = triples & U64(0xFFFFFFFF)
+            # sorted by shard, pairs and triples of one shard lie side by side, still ascending
             shard = shard_of_pair(pairs, shards)
+            by2, by3 = np.argsort(shard, kind="stable"), np.argsort(shard[owner], kind="stable")
+            cut2, cut3 = (np.searchsorted(x, np.arange(shards + 1)) for x in (shard[by2], shard[owner][by3]))
+            rank = np.empty(len(pairs), dtype=np.int64)
+            rank[by2] = np.arange(len(pairs)) - np.repeat(cut2[:-1], np.diff(cut2))
+            pairs, n2, owner, third, n3 = pairs[by2], n2[by2], rank[owner][by3], third[by3], n3[by3]
             out = []
             for s in range(shards):
-                mine = shard == s
-                if mine.any():
-                    rank = np.cumsum(mine) - 1
-                    t = mine[owner]
-                    out.append((s, pack_counts(pairs[mine], n2[mine], rank[owner[t]], third[t], n3[t])))
+                a, z, c, d = cut2[s], cut2[s + 1], cut3[s], cut3[s + 1]
+                if z > a:
+                    out.append((s, pack_counts(pairs[a:z], n2[a:z], owner[c:d], third[c:d], n3[c:d])))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "counts"])
 
-        for b in common.pieces(batches, limit=8 << 20):
+        for b in common.pieces(batches, limit=4 << 20):
             h, tokens, bounds = words.of(b.column(0))
             ids = m.ids(h)[0][tokens]
             pending.append(np.insert(ids, bounds[1:], -1))
@@ -443,7 +451,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, m = Words(), shared.value
-        for b in common.pieces(batches, limit=8 << 20):
+        for b in common.pieces(batches, limit=3 << 20):
             h, tokens, bounds = words.of(b.column(1))
             ids, counts = m.ids(h)
             base = np.log10((counts + 0.5) / (m.n_tokens + 0.5 * (m.n_words + 1)))
