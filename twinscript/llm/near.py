@@ -43,7 +43,7 @@ MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“
 BLOCK = 1000
 #: Rows of (node, two hashes) that may be sent to all tasks: 24 bytes each.
 SENT_ROWS = 200_000
-KEPT = 200_000
+KEPT = 100_000
 
 
 class Shingles:
@@ -149,7 +149,7 @@ def nodes_of(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(shingle)
-        for b in common.pieces(batches, limit=4 << 20, rows=2000):
+        for b in common.pieces(batches, limit=1 << 20, rows=1000):
             value, weight, owner = weighted(*of.of(b.column(1)))
             kept = prob_min_hash(value, weight, owner, b.num_rows, m)
             some = np.zeros(b.num_rows, dtype=bool)
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingles(shingle)
         last: tuple = (None, None)
-        for b in common.pieces(batches, "tu", 2 << 20):
+        for b in common.pieces(batches, "tu", 1 << 20):
             n = b.num_rows
             sides = []
             for name in ("tu", "tv"):
