@@ -231,7 +231,7 @@ def main_text(pages: DataFrame, weight: dict[str, float] | None = None) -> DataF
     learned = fit(pages) if weight is None else weight
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.pieces(batches, "html", 8 << 20):
+        for b in common.pieces(batches, "html", 4 << 20):
             out = [extract(page, learned) for page in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])

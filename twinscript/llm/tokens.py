@@ -30,7 +30,7 @@ SPACES = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2
 OTHER_SPACE = re.compile(f"[{SPACES}]")
 #: Texts that are not plain words with one blank or line feed between them.
 ODD = f"[{SPACES}{FIRST}{MARK}]|  |\n\n| \n|\n |^[ \n]|[ \n]\\z"
-KEPT = 400_000
+KEPT = 200_000
 PER_CALL = 64
 
 
