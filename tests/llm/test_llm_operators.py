@@ -374,6 +374,22 @@ def test_toxicity_learns_words(spark):
     assert toxicity.accepted(docs, model).count() == 300 and toxicity.accepted(docs, model).columns == docs.columns
 
 
+def test_only_equal_texts_of_a_label_are_left_out_of_the_examples(spark):
+    common_words = " ".join(VOCABULARY[:40])
+    texts = [f"{common_words} own{i} other{i * 7}" for i in range(200)] + ["left right", "right left", "left left right"]
+    n = len(texts)
+    # every text again under a larger id, and the first ten once more under the other label
+    rows = [(i, t) for i, t in enumerate(texts)] + [(n + i, t) for i, t in enumerate(texts)] + [(2 * n + i, t) for i, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int((i % n % 3 == 0) ^ (i >= 2 * n))) for i, _ in rows], "doc_id long, toxic int")
+    want = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            want.setdefault((t, int((i % n % 3 == 0) ^ (i >= 2 * n))), i)
+    sample, _ = toxicity._sample(docs, labels, 3000, 5000)
+    assert sorted((x.text, x.label, x.doc_id) for x in sample.collect()) == sorted((*k, i) for k, i in want.items())
+
+
 def test_toxicity_on_awkward_rows(messy, empty, labels):
     for table in (labels, labels.limit(0)):
         model = toxicity.train(common.texts(messy), table)

@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 * **Examples**: a bounded sample of the labelled rows of the training folds (``positives`` and ``negatives``,
-  smallest hash of the id first), near copies kept once.
+  smallest hash of the id first), equal texts of a label kept once.
 * **Terms**: words and the first letters of words that occur significantly more often in toxic examples, by a
   likelihood ratio with Bonferroni's bound over all terms tried.  Everything else of a text says
   nothing about the label and only blurs distances.  At most ``terms`` terms.
@@ -197,34 +197,18 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int) -> tuple[DataFrame, dict[int, int]]:
-    """Labelled rows of the training folds with their texts, near copies once, and the sizes of both classes."""
+    """Labelled rows of the training folds with their texts, equal texts of a label once, and the sizes of both classes."""
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
              .where(common.fold("doc_id") != 0).select("doc_id", F.col("label").cast("int").alias("label")))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = (known.where("label = 1").orderBy(*order).limit(positives)
               .unionByName(known.where("label = 0").orderBy(*order).limit(negatives)))
-    found = cut_lineage(docs.join(F.broadcast(chosen), "doc_id"))
-
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        for b in common.pieces(batches):
-            words, at, row = _distinct_words(b.column(1))
-            h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64)
-            out = []
-            for seed in range(4):
-                low = np.full(b.num_rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-                if len(h):
-                    np.minimum.at(low, row, common.mix(h, seed)[at])
-                out.append(low)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column(0), "text": b.column(1), "label": b.column(2),
-                "a": pa.array((out[0] ^ (out[1] << np.uint64(1))).view(np.int64)),
-                "b": pa.array((out[2] ^ (out[3] << np.uint64(1))).view(np.int64))})
-
-    keyed = found.select("doc_id", "text", "label").mapInArrow(keys, "doc_id bigint, text string, label int, a bigint, b bigint")
-    return cut_lineage(keyed.dropDuplicates(["a"]).dropDuplicates(["b"]).select("doc_id", "text", "label")), sizes
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    # two hashes of the text, 128 bits in all: of equal texts of a label the smallest doc_id stays
+    once = found.groupBy(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), "label").agg(
+        F.min(F.struct("doc_id", "text")).alias("k"))
+    return cut_lineage(once.select("k.doc_id", "k.text", "label")), sizes
 
 
 def _term_counts(sample: DataFrame, label: int, least: int, only: list[str] | None = None) -> dict[str, int]:
