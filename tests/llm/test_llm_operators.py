@@ -192,6 +192,15 @@ def test_blocks_of_large_buckets_lose_no_pair(spark, monkeypatch):
     assert pairs[0] == pairs[1] and len(set(pairs[0])) == len(pairs[0]) > 100
 
 
+def test_bands_alike_in_the_sketch_alone_lose_no_pair(spark):
+    # all registers agree in their sketch bytes; band 0 of the first two has different keys, so they meet in bands 1 and 2
+    rows = [(1, [10, 20, 30], bytearray(21)), (2, [11, 20, 30], bytearray(21)), (3, [12, 21, 30], bytearray(21))]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, sketch binary")
+    alone = nodes.select("node", F.col("node").alias("component"))
+    found = near.open_pairs(near.buckets_of(nodes), nodes, alone, 3, 7, 0.6).collect()
+    assert sorted(tuple(sorted(p)) for p in found) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_one_of_each_class_stays(messy, empty):
     kept = near.without_copies(messy)
     assert kept.columns == messy.columns

@@ -199,25 +199,24 @@ def open_pairs(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, bands: in
     spread = left.withColumn("blocks", blocks).withColumn("own", own).select(
         "key", "band", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("key", "band", "node", "component", "own", F.least("own", "other").alias("lo"),
-                           F.greatest("own", "other").alias("hi")).join(nodes.select("node", "sketch"), "node")
+                           F.greatest("own", "other").alias("hi")).join(nodes.select("node", "sketch", "bands"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         node, comp = table["node"].to_numpy(), table["component"].to_numpy()
         own, band = table["own"].to_numpy(), int(table["band"][0].as_py())
         lo, hi = int(table["lo"][0].as_py()), int(table["hi"][0].as_py())
         s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), bands * rows)
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), bands)
         us, vs = [], []
         for i in range(len(node)):
             if own[i] != lo:
                 continue
             # within a block each pair once; of two blocks, this one's nodes with the other's
             with_ = np.flatnonzero((comp != comp[i]) & ((own == hi) if lo != hi else (node > node[i])))
-            same = s[with_] == s[i]
-            close = same.mean(axis=1) >= least if len(with_) else np.zeros(0, bool)
-            with_, same = with_[close], same[close]
-            # a pair is told by the first band it shares
-            shared = same.reshape(len(with_), bands, rows).all(axis=2)
-            with_ = with_[shared.argmax(axis=1) == band] if len(with_) else with_
+            close = (s[with_] == s[i]).mean(axis=1) >= least if len(with_) else np.zeros(0, bool)
+            with_ = with_[close]
+            # a pair is told by the first band it shares, by the keys that make the buckets
+            with_ = with_[(keys[with_] == keys[i]).argmax(axis=1) == band] if len(with_) else with_
             us.extend([node[i]] * len(with_))
             vs.extend(node[with_])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
