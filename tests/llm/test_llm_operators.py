@@ -326,6 +326,17 @@ def test_ngram_scores(spark, messy, empty):
     assert untrained.n_tokens == 0 and ngrams.score(texts_only, untrained).count() == len(ROWS) and ngrams.score(common.texts(empty), model).collect() == []
 
 
+def test_registered_scores_rest_on_all_ngrams(spark, tmp_path):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(VOCABULARY[:60]) for _ in range(r.randint(1, 40))) for _ in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    split = [t.split() + [0] for t in texts]
+    c, n, p = plain_model([w for i, w in enumerate(split) if zlib.crc32(str(i).encode()) % 5 != 1], least=1)
+    for x in queries.op2_score_texts(spark, str(tmp_path)).collect():
+        w = split[x.doc_id]
+        assert x.train_tokens == n and abs(x.score - sum(math.log10(p(w, i)) for i in range(len(w)))) < 0.001 * len(w)
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["a b c a b d", "a b c", "c a b c d e", "b c a"] * 2 + ["f"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -17,7 +17,7 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.texts(common.table(spark, sf_dir, "documents"))
     held_out = common.fold("doc_id") == 1
-    model = ngrams.train(docs.where(~held_out), spark)
+    model = ngrams.train(docs.where(~held_out), spark, least=(1, 1))
     return ngrams.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"),
         "base_score", "score")
