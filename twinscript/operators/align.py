@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from twinscript.functions.scores import (MAX_COST, MEAN, PRIORS, TAIL, TAIL_DENSITY, TAIL_SCALE, VARIANCE)
 from twinscript.session import spread
+from twinscript.sources import markup
 
 # Thresholds of link filtering, size of the first search band, window of shared words.
 SCORE_THRESHOLD, MAX_SRC, MAX_TRG = -10.0, 2, 2
@@ -353,6 +354,19 @@ def segments(pairs: DataFrame, fixed: DataFrame) -> DataFrame:
         F.slice("trg_lens", F.col("p.lo.t") + 1, F.col("p.hi.t") - F.col("p.lo.t")).alias("trg_lens"))
 
 
+def within_boundaries(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pieces of each pair for ``length_based``, cut before every sentence at which the pair's ``tag`` opens.
+
+    ``units`` are sentences as ``markup.units`` gives them, ``pairs`` has ``pair_id, src_doc, trg_doc, tag`` (see ``best_boundary_tag``).  The
+    ``n``-th boundary of one text meets the ``n``-th of the other; before a text's first sentence none is needed.
+    """
+    lens = units.where(F.col("tag").isNotNull()).groupBy("file").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("unit_no", F.length("text").alias("n")))), lambda x: x["n"]).alias("lens"))
+    both = with_lengths(pairs, lens, "file")
+    src, trg = (markup.boundaries(units, pairs, f"{side}_doc").select("pair_id", "n", F.col("pos").alias(f"{side}_pos")) for side in ("src", "trg"))
+    return segments(both, src.join(trg, ["pair_id", "n"]))
+
+
 def ladder_to_links(rungs: DataFrame) -> DataFrame:
     """Spans between consecutive rungs ``(pair_id, src_end, trg_end, score)`` as links.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinscript.functions import text as X
@@ -11,7 +12,7 @@ from twinscript.plans import sqltables as S
 from twinscript.plans.queries.aligning import LADDER, _rungs
 from twinscript.plans.registry import query
 from twinscript.session import scratch
-from twinscript.sources import readers, writers
+from twinscript.sources import charsets, markup, readers, writers
 
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -414,3 +415,157 @@ def _(t):
     cues = F.transform(lines, lambda x, i: F.concat(stamp((i + 1) * 3), F.lit(" --> "), stamp((i + 1) * 3 + 2), F.lit("\n"), x, F.lit("\n")))
     files = t.documents.select("doc_id", F.array_join(cues, "\n").alias("text"))
     return readers.srt(files).where("cue is null").select("doc_id", "t_start", F.md5("text").alias("md5"))
+
+
+# Files in other charsets, and corpus files with all their markup.
+
+# Letters that all western charsets have, and how a Latin text is spelt in Cyrillic letters.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувщхыз"
+WESTERN = "ÄÖÜäöüßàâçéèêëîïôûùñáíóúÀÉÈÊ"
+ENCODABLE = rf"[^ -~{WESTERN}]"
+# a line's charset by language and number of its document
+CHARSETS = [["windows-1251", "KOI8-R", "IBM866", "UTF-8", "UTF-16LE"], ["windows-1252", "IBM850", "macintosh", "UTF-8", "UTF-16BE"]]
+SPELT = f"""
+spelt AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'ru' ELSE lang END AS lang, CASE WHEN lang = 'en' THEN translate(lower(regexp_replace(text, '[^ -~]', '', 'g')),
+  '{LATIN}', '{CYRILLIC}') ELSE regexp_replace(text, '{ENCODABLE}', '', 'g') END AS text FROM lines)"""
+
+
+def _spelt(t):
+    """Lines of the documents in letters that their charsets have; English in Cyrillic ones."""
+    english = F.col("lang") == "en"
+    text = F.when(english, F.translate(F.lower(F.regexp_replace("text", "[^ -~]", "")), LATIN, CYRILLIC)).otherwise(F.regexp_replace("text", ENCODABLE, ""))
+    return t.sentences.select("doc_id", "sent_pos", F.when(english, "ru").otherwise(F.col("lang")).alias("lang"), text.alias("text"))
+
+
+@query("charset_by_content", S.with_tables(S.LINES, SPELT, select=f"""
+SELECT lang, list_extract(CASE WHEN lang = 'ru' THEN {CHARSETS[0]} ELSE {CHARSETS[1]} END, doc_id % 5 + 1) AS charset, md5(text) AS md5, count(*) AS n
+FROM spelt WHERE trim(text) <> '' GROUP BY ALL"""))
+def _(t):
+    """Files in ten charsets without any mark, told by byte pairs of texts of known language, and their lines."""
+    path = scratch(t.spark, "charsets")
+    spelt = _spelt(t).where(F.trim("text") != "")
+    for k in range(5):
+        for some, names in ((F.col("lang") == "ru", CHARSETS[0]), (F.col("lang") != "ru", CHARSETS[1])):
+            name = names[k]
+            rows = spelt.where(some & (F.col("doc_id") % 5 == k))
+            body = rows.select(F.concat_ws("-", "lang", F.lit(str(k))).alias("file"), "text")
+            charsets.encoded(body, name, "text").write.partitionBy("file").option("lineSep", "\n").option(
+                "encoding", name if name in charsets.UNIVERSAL else "UTF-8").text(f"{path}/{k}/{names.index(name)}-{names[0]}")
+    lang = F.regexp_extract("file", r"file=([a-z]+)-", 1)
+    found = charsets.of_files(t.spark, path, charsets.train(spelt), lang)
+    lines = readers.numbered_lines(t.spark, path, found).join(found, "file")
+    return lines.groupBy(lang.alias("lang"), "charset", F.md5("text").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("memories_in_any_charset", S.with_tables(S.BITEXT, select=rf"""
+SELECT pair_id AS tu_id, lang, md5(trim(regexp_replace(regexp_replace(seg, '{ENCODABLE}', '', 'g'), '{SPACE}+', ' ', 'g'))) AS md5 FROM (
+  SELECT pair_id, 'en' AS lang, src_text AS seg FROM bitext UNION ALL SELECT pair_id, 'fr', trg_text FROM bitext)"""))
+def _(t):
+    """Translation memories in UTF-16 with and without a mark, and in charsets that only their declaration tells."""
+    path = scratch(t.spark, "memories")
+    def seg(lang, c):
+        return F.concat(F.lit(f'<tuv xml:lang="{lang}"><seg>'), _shown(F.regexp_replace(c, ENCODABLE, "")), F.lit("</seg></tuv>"))
+    unit = F.concat(F.lit('<tu tuid="'), "pair_id", F.lit('">'), seg("en", "src_text"), seg("fr", "trg_text"), F.lit("</tu>"))
+    heads = [("UTF-16LE", "\ufeff<?xml version='1.0'?>"), ("UTF-16BE", "<?xml version='1.0'?>"), ("windows-1252", "<?xml version='1.0' encoding='ISO-8859-1'?>"),
+             ("IBM850", "<?xml version='1.0' encoding='cp850'?>"), ("UTF-8", "\ufeff")]
+    for k, (name, head) in enumerate(heads):
+        rows = t.bitext.where(F.col("conv_id") % 5 == k).select(writers.bucket("pair_id", 2).alias("file"), "pair_id", unit.alias("line"))
+        writers.write_framed(rows, f"{path}/{k}", ["pair_id"], F.lit(head + "<tmx><body>"), F.lit("</body></tmx>"), name)
+    return readers.tmx(t.spark, path).select("tu_id", "lang", F.md5("seg").alias("md5"))
+
+
+def _markup(t):
+    """Corpus files of 64 documents with divisions, paragraphs of ten lines, sentences with attributes, some without text."""
+    file = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 64).cast("string"))
+    rows = t.sentences.withColumn("file", file)
+    rows = rows.withColumn("unit_no", F.row_number().over(Window.partitionBy("file").orderBy("doc_id", "sent_pos")).cast("bigint"))
+    starts, para, none = F.col("sent_pos") == 1, F.col("sent_pos") % 10 == 1, F.array().cast("array<string>")
+    def tags(when, *names):
+        return F.when(when, F.array(*names)).otherwise(none)
+    first = F.col("unit_no") == 1
+    before = F.concat(tags(first, F.lit("<text>")), tags(para & ~first, F.lit("</p>")), tags(starts & ~first, F.lit("</div>")),
+                      tags(starts, F.concat(F.lit('<div n="'), F.col("doc_id").cast("string"), F.lit('">'))), tags(para, F.lit("<p>")))
+    name = F.concat_ws(".", F.col("doc_id").cast("string"), F.col("sent_pos").cast("string"))
+    odd = F.col("sent_pos") % 3 == 0
+    attributes = F.when(odd, F.create_map(F.lit("id"), name, F.lit("lang"), "lang", F.lit("n"), F.lit('"&<'))).otherwise(F.create_map(F.lit("id"), name, F.lit("lang"), "lang"))
+    text = F.when(F.col("sent_pos") % 7 == 0, "").otherwise(F.col("text"))
+    units = rows.select("file", "unit_no", F.lit("<s>").alias("tag"), attributes.alias("attributes"), before.alias("before"), text.alias("text"))
+    ends = units.groupBy("file").agg((F.max("unit_no") + 1).alias("unit_no")).select(
+        "file", "unit_no", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("map<string,string>").alias("attributes"),
+        F.array(*[F.lit(x) for x in ("</p>", "</div>", "</text>")]).alias("before"), F.lit(None).cast("string").alias("text"))
+    return units.unionByName(ends)
+
+
+MARKUP = S.LINES + r""",
+placed AS (SELECT 'd' || doc_id // 64 AS file, doc_id, sent_pos, lang, text, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id, sent_pos) AS unit_no FROM lines)"""
+
+
+def _written_markup(t):
+    def make():
+        path = scratch(t.spark, "markup")
+        writers.corpus_units(_markup(t), path)
+        return readers.corpus_units(t.spark, path).withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
+    return t.written("markup", make)
+
+
+@query("corpus_markup_round_trip", S.with_tables(MARKUP, select=rf"""
+SELECT file, unit_no, 'id=' || doc_id || '.' || sent_pos || ';lang=' || lang || CASE WHEN sent_pos % 3 = 0 THEN ';n="&<' ELSE '' END AS attributes,
+  concat(CASE WHEN unit_no = 1 THEN '<text>' END, CASE WHEN sent_pos % 10 = 1 AND unit_no > 1 THEN '</p>' END, CASE WHEN sent_pos = 1 AND unit_no > 1 THEN '</div>' END,
+    CASE WHEN sent_pos = 1 THEN '<div n="' || doc_id || '">' END, CASE WHEN sent_pos % 10 = 1 THEN '<p>' END) AS before,
+  md5(CASE WHEN sent_pos % 7 = 0 THEN '' ELSE {FLAT % 'text'} END) AS md5 FROM placed
+UNION ALL SELECT file, max(unit_no) + 1, NULL, '</p></div></text>', NULL FROM placed GROUP BY file"""))
+def _(t):
+    """All attributes, empty sentences, the tags before every sentence and after the last one, written and read back."""
+    return _written_markup(t).select(
+        "file", "unit_no", F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("attributes"),
+        F.array_join("before", "").alias("before"), F.md5("text").alias("md5"))
+
+
+@query("open_elements", S.with_tables(MARKUP, select="""
+SELECT file, unit_no, 'text/div ' || doc_id || '/p' AS open FROM placed"""))
+def _(t):
+    """The elements every sentence stands in, with the number of the division."""
+    found = markup.with_open(_written_markup(t)).where(F.col("tag").isNotNull())
+    number = F.regexp_extract(F.get("open", F.lit(1)), 'n="([^"]*)"', 1)
+    names = F.transform("open", lambda x, i: F.concat(markup.tag_name(x), F.when(i == 1, F.concat(F.lit(" "), number)).otherwise("")))
+    return found.select("file", "unit_no", F.array_join(names, "/").alias("open"))
+
+
+@query("tag_census", S.with_tables(MARKUP, select="""
+SELECT file AS doc, tag, n FROM (
+  SELECT file, 'text' AS tag, count(*) FILTER (unit_no = 1) AS n FROM placed GROUP BY file
+  UNION ALL SELECT file, 'div', count(*) FILTER (sent_pos = 1) FROM placed GROUP BY file
+  UNION ALL SELECT file, 'p', count(*) FILTER (sent_pos % 10 = 1) FROM placed GROUP BY file
+  UNION ALL SELECT file, 's', count(*) FROM placed GROUP BY file)"""))
+def _(t):
+    return markup.tag_census(_written_markup(t))
+
+
+@query("pieces_within_boundaries", S.with_tables(S.PAIRS, r"""
+marks AS (SELECT doc_id, unnest(range(1, size + 1)) AS pos, size FROM resources),
+tags AS (SELECT doc_id, pos, 'p' AS tag FROM marks WHERE pos % 5 = 1 UNION ALL SELECT doc_id, pos, 'half' FROM marks WHERE pos = size // 2 + 1
+  UNION ALL SELECT doc_id, pos, 'head' FROM marks WHERE pos = 1),
+census AS (SELECT doc_id, tag, count(*) AS n FROM tags GROUP BY ALL),
+best AS (SELECT d.pair_id, d.src_doc, d.trg_doc, a.tag, a.n, row_number() OVER (PARTITION BY d.pair_id ORDER BY a.n DESC, a.tag) AS rn FROM doc_pairs d
+  JOIN census a ON a.doc_id = d.src_doc JOIN census b ON b.doc_id = d.trg_doc AND a.tag = b.tag AND a.n = b.n),
+cuts AS (SELECT b.pair_id, b.src_doc, b.trg_doc, s.pos AS s, row_number() OVER (PARTITION BY b.pair_id ORDER BY s.pos) AS n FROM best b
+  JOIN tags s ON s.doc_id = b.src_doc AND s.tag = b.tag AND s.pos > 1 WHERE rn = 1),
+others AS (SELECT b.pair_id, t.pos AS t, row_number() OVER (PARTITION BY b.pair_id ORDER BY t.pos) AS n FROM best b
+  JOIN tags t ON t.doc_id = b.trg_doc AND t.tag = b.tag AND t.pos > 1 WHERE rn = 1),
+points AS (SELECT pair_id, s, t FROM cuts JOIN others USING (pair_id, n) UNION ALL SELECT pair_id, 1, 1 FROM best WHERE rn = 1),
+ended AS (SELECT p.*, d.src_size, d.trg_size FROM points p JOIN doc_pairs d USING (pair_id))""", select="""
+SELECT pair_id, s AS src_from, t AS trg_from, lead(s, 1, src_size + 1) OVER w - s AS src_n, lead(t, 1, trg_size + 1) OVER w - t AS trg_n
+FROM ended WINDOW w AS (PARTITION BY pair_id ORDER BY s, t)"""))
+def _(t):
+    """Pairs cut at the structural tag that opens equally often in both texts."""
+    sizes = t.sentences.groupBy("doc_id").agg(F.max("sent_pos").alias("size"))
+    half = F.floor(F.col("size") / 2) + 1
+    tags = F.filter(F.array(F.when(F.col("sent_pos") % 5 == 1, "<p>"), F.when(F.col("sent_pos") == half, "<half>"), F.when(F.col("sent_pos") == 1, "<head/>")),
+                    lambda x: x.isNotNull())
+    units = t.sentences.join(sizes, "doc_id").select(
+        F.col("doc_id").alias("file"), F.col("sent_pos").alias("unit_no"), F.lit("<s>").alias("tag"), tags.alias("before"), "text")
+    pairs = t.doc_pairs.select("pair_id", "src_doc", "trg_doc")
+    best = align.best_boundary_tag(markup.tag_census(units, None), pairs)
+    cut = align.within_boundaries(units, pairs.join(best, "pair_id"))
+    return cut.select("pair_id", F.col("src_from").cast("bigint").alias("src_from"), F.col("trg_from").cast("bigint").alias("trg_from"),
+                      F.size("src_lens").cast("bigint").alias("src_n"), F.size("trg_lens").cast("bigint").alias("trg_n"))

@@ -11,6 +11,8 @@ from twinscript.functions import lang as L
 from twinscript.functions import paths
 from twinscript.functions import text as X
 from twinscript.session import cut_lineage
+from twinscript.sources import charsets as C
+from twinscript.sources import markup as M
 
 LINK_GROUP = ("_fromDoc string, _toDoc string, "
               "link array<struct<_id: string, _xtargets: string, _certainty: double>>")
@@ -25,10 +27,9 @@ def _file() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _xml_texts(spark: SparkSession, path: str, tag: str) -> DataFrame:
+def _xml_texts(spark: SparkSession, path: str, tag: str, charsets: DataFrame | None = None) -> DataFrame:
     """``file, record``: the text of each element of a name, read by its end tag, so that many tasks share a file."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", f"</{tag}>").text(path).select(
-        _file().alias("file"), _without_comments(_cdata_escaped(F.col("value"))).alias("value"))
+    rows = C.text_rows(spark, path, f"</{tag}>", charsets).select("file", _without_comments(_cdata_escaped(F.col("value"))).alias("value"))
     found = rows.select("file", F.regexp_extract("value", rf"(?s)^(.*?)<{tag}\b", 1).alias("_before"),
                         F.regexp_extract("value", rf"(?s)(<{tag}\b.*)$", 1).alias("record"))
     # an element within a comment follows a comment's beginning that has no end
@@ -36,28 +37,26 @@ def _xml_texts(spark: SparkSession, path: str, tag: str) -> DataFrame:
         "file", F.concat("record", F.lit(f"</{tag}>")).alias("record"))
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, text``: one row per file, plain or gzip."""
-    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-            .select(_file().alias("file"), F.col("value").alias("text")))
+def whole_files(spark: SparkSession, path: str, charsets: DataFrame | None = None) -> DataFrame:
+    """``file, text``: one row per file, plain or gzip, in any charset."""
+    return C.whole_texts(spark, path, charsets).select("file", F.col("value").alias("text"))
 
 
-def plain_text(spark: SparkSession, path: str, lang: Column, method: str = "rules") -> DataFrame:
+def plain_text(spark: SparkSession, path: str, lang: Column, method: str = "rules", charsets: DataFrame | None = None) -> DataFrame:
     """Text files as numbered sentences; ``lang`` may use the column ``file``."""
-    return X.read_text(whole_files(spark, path).withColumn("lang", lang), method=method)
+    return X.read_text(whole_files(spark, path, charsets).withColumn("lang", lang), method=method)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, text`` for files of any size.
+def numbered_lines(spark: SparkSession, path: str, charsets: DataFrame | None = None) -> DataFrame:
+    """``file, line_no, text`` for files of any size and charset.
 
     A file is read in blocks by many tasks.  Within a block rows keep their order, so a line's
     number is its place in the block plus the lines of the blocks before; only one row per block
     is gathered to add those up.  How files are cut into blocks depends on settings and on the cores that
     are alive, so lines are stored with their block once, and all numbers come from that one reading.
     """
-    lines = cut_lineage(spark.read.option("recursiveFileLookup", "true").text(path)
-                        .select(_file().alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                                F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")))
+    lines = cut_lineage(C.text_rows(spark, path, None, charsets).select(
+        "file", F.col("block").alias("_block"), F.col("id").alias("_id"), F.col("value").alias("text")))
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -65,6 +64,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "text")
 
 
+#: What a unit of a translation memory must have to count.
+TU = "tuv array<struct<`_xml:lang`: string, _lang: string, seg: string>>, _tuid string"
+
+
 def checked(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """``path, records, broken`` per file: how many records it holds and whether any is malformed.
 
@@ -141,26 +144,26 @@ def _cdata_escaped(c: Column) -> Column:
     return F.when(c.contains("<![CDATA["), F.array_join(plain, "")).otherwise(c)
 
 
-def tmx(spark: SparkSession, path: str) -> DataFrame:
-    """``file, tu_id, lang, seg``: the segments of a translation memory; languages in two letters.
+def tmx(spark: SparkSession, path: str, charsets: DataFrame | None = None) -> DataFrame:
+    """``file, tu_id, lang, seg``: the segments of a translation memory in any charset; languages in two letters.
 
     Inline tags are left out of a segment, the text in them is not.
     """
-    units = _xml_texts(spark, path, "tu").select("file", F.explode(_pieces(F.col("record"), "tu")).alias("u")).select(
+    units = _xml_texts(spark, path, "tu", charsets).select("file", F.explode(_pieces(F.col("record"), "tu")).alias("u")).select(
         "file", _attribute(F.col("u"), "tuid").alias("tu_id"), F.explode(_pieces(F.col("u"), "tuv")).alias("v"))
     named = units.select("file", "tu_id", F.coalesce(_attribute(F.col("v"), "xml:lang"), _attribute(F.col("v"), "lang")).alias("_code"),
                          _plain(_inner(F.get(_pieces(F.col("v"), "seg"), F.lit(0)))).alias("seg"))
     return L.to_two(named, "_code", "lang").select("file", "tu_id", F.lower("lang").alias("lang"), "seg")
 
 
-def xliff(spark: SparkSession, path: str) -> DataFrame:
+def xliff(spark: SparkSession, path: str, charsets: DataFrame | None = None) -> DataFrame:
     """``file, original, unit_id, src_lang, trg_lang, source, target``.
 
-    Units count at any depth of groups; languages are in two letters; inline tags are left out, their text is not.
+    Units count at any depth of groups, their alternatives do not; languages are in two letters; inline tags are left out, their text is not.
     """
-    files = _xml_texts(spark, path, "file").select("file", F.explode(_pieces(F.col("record"), "file")).alias("f"))
+    files = _xml_texts(spark, path, "file", charsets).select("file", F.explode(_pieces(F.col("record"), "file")).alias("f"))
     units = files.select("file", _attribute(F.col("f"), "original").alias("original"), _attribute(F.col("f"), "source-language").alias("_src"),
-                         _attribute(F.col("f"), "target-language").alias("_trg"), F.explode(_pieces(F.col("f"), "trans-unit")).alias("u"))
+                         _attribute(F.col("f"), "target-language").alias("_trg"), F.explode(_pieces(F.regexp_replace("f", r"(?s)<alt-trans\b.*?</alt-trans\s*>", ""), "trans-unit")).alias("u"))
     def part(name: str) -> Column:
         return _plain(_inner(F.get(_pieces(F.col("u"), name), F.lit(0))))
     named = units.select("file", "original", _attribute(F.col("u"), "id").alias("unit_id"), "_src", "_trg",
@@ -181,38 +184,34 @@ def xces(spark: SparkSession, path: str) -> DataFrame:
                          ids(0).alias("src_ids"), ids(1).alias("trg_ids"), F.col("l._certainty").alias("score"))
 
 
-def corpus_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``file, para_id, sent_id, lang, text`` of corpus files.
+def corpus_units(spark: SparkSession, path: str, charsets: DataFrame | None = None) -> DataFrame:
+    """All sentences of corpus files with their structure, see ``markup.units``; ``writers.corpus_units`` writes them back."""
+    return M.units(spark, path, lambda c: _without_comments(_cdata_escaped(c)), unescape, _plain, charsets)
+
+
+def corpus_xml(spark: SparkSession, path: str, charsets: DataFrame | None = None) -> DataFrame:
+    """``file, para_id, sent_id, lang, text, attributes, before`` of corpus files in any charset.
 
-    Sentences count wherever they stand; ``para_id`` is that of the paragraph around one, if any.  Tokens are set apart
+    Sentences count wherever they stand, with or without text; ``para_id`` is that of the paragraph around one, if any.  Tokens are set apart
     by blanks, other tags within a sentence are left out.  A sentence without an id gets its number in the file;
-    one in a comment of its own is none.
+    one in a comment is none.  ``attributes`` has all of its tag's, ``before`` the tags since the sentence before.
 
-    Files are read by the ends of sentences.  The paragraph that is open, and the number of sentences, are carried on
-    within a block; from block to block by one row each.
+    The paragraph that is open is carried on within a segment of sentences; from segment to segment by one row each.
     """
-    rows = cut_lineage(spark.read.option("recursiveFileLookup", "true").option("lineSep", "</s>").text(path).select(
-        _file().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
-        _without_comments(_cdata_escaped(F.col("value"))).alias("_value")))
-    own = r"(?s)^.*(<s(?:\s[^>]*)?>)(.*)$"
-    marks = F.regexp_extract_all("_value", F.lit(r"(<p(?:\s[^>]*)?>|</p\s*>)"), F.lit(1))
-    cut = rows.select("file", "_block", "_id", F.regexp_extract("_value", own, 1).alias("_tag"), F.regexp_extract("_value", own, 2).alias("_text"),
-                      F.regexp_extract("_value", r"(?s)^(.*)<s(?:\s[^>]*)?>", 1).alias("_open"),
-                      F.when(F.size(marks) > 0, F.element_at(marks, -1)).alias("_mark"))
-    # a sentence within a comment follows a comment's beginning that has no end
-    cut = cut.withColumn("_is", ((F.col("_tag") != "") & ~F.col("_open").contains("<!--")).cast("bigint"))
-    ends = cut.groupBy("file", "_block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_id"))).alias("_last"),
-                                             F.sum("_is").alias("_n"))
-    line = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("file", "_block", F.last("_last", ignorenulls=True).over(line).alias("_carried"),
-                          F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
-    here = Window.partitionBy("file", "_block").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
-    known = cut.withColumn("_mark", F.last("_mark", ignorenulls=True).over(here)).withColumn("_nr", F.sum("_is").over(here)).join(
-        carried, ["file", "_block"]).where("_is = 1")
-    number = (F.col("_before") + F.col("_nr")).cast("string")
-    return known.select("file", _attribute(F.coalesce("_mark", "_carried"), "id").alias("para_id"),
-                        F.coalesce(_attribute(F.col("_tag"), "id"), number).alias("sent_id"),
-                        _attribute(F.col("_tag"), "lang").alias("lang"), _plain(F.col("_text")).alias("text"))
+    found = corpus_units(spark, path, charsets).where(F.col("tag").isNotNull()).withColumn(
+        "segment", F.floor((F.col("unit_no") - 1) / M.SEGMENT))
+    marks = F.filter("before", lambda t: t.rlike(r"^</?p[\s/>]"))
+    marked = cut_lineage(found.withColumn("mark", F.when(F.size(marks) > 0, F.element_at(marks, -1))))
+    ends = marked.groupBy("file", "segment").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("unit_no"))).alias("last"))
+    line = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "segment", F.last("last", ignorenulls=True).over(line).alias("carried"))
+    here = Window.partitionBy("file", "segment").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
+    para = F.coalesce(F.last("mark", ignorenulls=True).over(here), F.col("carried"))
+    known = marked.join(carried, ["file", "segment"]).withColumn("para", para)
+    # an empty paragraph is over where it begins
+    return known.select("file", F.when(~F.col("para").endswith("/>"), _attribute(F.col("para"), "id")).alias("para_id"),
+                        F.coalesce(F.nullif(F.col("attributes")["id"], F.lit("")), F.col("unit_no").cast("string")).alias("sent_id"),
+                        F.nullif(F.col("attributes")["lang"], F.lit("")).alias("lang"), "text", "attributes", "before")
 
 
 def corpus_dir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -270,9 +269,9 @@ def srt(docs: DataFrame, text: str = "text") -> DataFrame:
                        X.whitespace(X.clean_cue(part[3])).alias("text"))
 
 
-def srt_files(spark: SparkSession, path: str, lang: Column | None = None) -> DataFrame:
+def srt_files(spark: SparkSession, path: str, lang: Column | None = None, charsets: DataFrame | None = None) -> DataFrame:
     """Cues of subtitle files, cut into sentences if ``lang`` says in which language."""
-    cues = srt(whole_files(spark, path))
+    cues = srt(whole_files(spark, path, charsets))
     if lang is None:
         return cues
     return cues.withColumn("lang", lang).select("file", "cue", "t_start", "t_end", F.posexplode(

@@ -16,18 +16,24 @@ from twinscript.functions import text as X
 from twinscript.operators import bitext as B
 from twinscript.operators.numbering import number_rows, plain
 from twinscript.session import spread
+from twinscript.sources import charsets as C
 
 
-def write_framed(rows: DataFrame, path: str, order: list[str], head: Column, foot: Column) -> None:
-    """Write ``rows(file, …order, line)`` as one text file per ``file`` below ``path``."""
+def write_framed(rows: DataFrame, path: str, order: list[str], head: Column, foot: Column, charset: str = "UTF-8") -> None:
+    """Write ``rows(file, …order, line)`` as one text file per ``file`` below ``path``, in any charset."""
     body = rows.select("file", F.lit(1).alias("_part"), F.struct(*order).alias("_order"), "line")
     none = F.lit(None).cast(body.schema["_order"].dataType)
     files = rows.select("file").distinct()
     ends = [files.select("file", F.lit(part).alias("_part"), none.alias("_order"), text.alias("line"))
             for part, text in ((0, head), (2, foot))]
     every = body.unionByName(ends[0]).unionByName(ends[1])
-    (spread(every, "file").sortWithinPartitions("file", "_part", "_order")
-     .select("file", "line").write.partitionBy("file").text(path))
+    lines = spread(every, "file").sortWithinPartitions("file", "_part", "_order").select("file", "line")
+    if charset == "UTF-8":
+        lines.write.partitionBy("file").text(path)
+        return
+    # line ends are written by the charset only where it is one of Spark's own
+    kind = charset if charset in C.UNIVERSAL else "UTF-8"
+    C.encoded(lines, charset).write.partitionBy("file").option("lineSep", "\n").option("encoding", kind).text(path)
 
 
 def bucket(key: str, files: int) -> Column:
@@ -68,6 +74,14 @@ def corpus_xml(sentences: DataFrame, path: str) -> None:
                  F.lit('<?xml version="1.0" encoding="utf-8"?>\n<text>'), F.lit("</text>"))
 
 
+def corpus_units(units: DataFrame, path: str) -> None:
+    """``file, unit_no, tag, attributes, before, text`` as corpus files with all tags and attributes, as ``readers.corpus_units`` gives them."""
+    shown = F.transform(F.map_entries("attributes"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), X.escape_xml(e["value"]), F.lit('"')))
+    s = F.concat(F.lit("<s"), F.array_join(shown, ""), F.lit(">"), X.escape_xml(X.clean_xml(F.col("text"))), F.lit("</s>"))
+    line = F.concat_ws("\n", F.nullif(F.array_join("before", "\n"), F.lit("")), F.when(F.col("tag").isNotNull(), s))
+    write_framed(units.select("file", "unit_no", line.alias("line")), path, ["unit_no"], F.lit('<?xml version="1.0" encoding="utf-8"?>'), F.lit(""))
+
+
 def moses(bitext: DataFrame, path: str, src: str, trg: str, order: list[str],
           lines_per_file: int = 1_000_000, max_length: int | None = None) -> None:
     """Two line-parallel texts from one numbering; unusable records are left out.
