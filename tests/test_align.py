@@ -1,5 +1,6 @@
 """Sentence and word alignment against plain computations on small inputs."""
 
+import collections
 import math
 import random
 
@@ -197,3 +198,58 @@ def test_overlap_through_translations(spark):
     table = spark.createDataFrame([("house", "haus", 0.8), ("book", "buch", 0.05)], "src string, trg string, p double")
     got = {(r["i"], r["j"]): r["overlap"] for r in align.sentence_overlap(words_, pairs, table).collect()}
     assert got == {(1, 1): 0.4}
+
+
+def test_places_tell_repeated_words_apart(spark):
+    rng = random.Random(4)
+    words_ = [f"w{i}" for i in range(40)]
+    rows, truth = [], set()
+    for k in range(150):
+        # function words of both languages occur again and again, the rest is translated word by word, neighbours sometimes swapped
+        src = [rng.choice(["the", "of", rng.choice(words_)]) for _ in range(rng.randint(4, 14))]
+        order = list(range(len(src)))
+        for i in range(len(order) - 1):
+            if rng.random() < 0.15:
+                order[i], order[i + 1] = order[i + 1], order[i]
+        trg = [{"the": "le", "of": "de"}.get(src[i], "f" + src[i]) for i in order]
+        rows.append((str(k), src, trg))
+        truth |= {(str(k), i, j) for j, i in enumerate(order)}
+    bitext = spark.createDataFrame(rows, "pair_id string, src_toks array<string>, trg_toks array<string>")
+    def share(links):
+        found = {(r["pair_id"], r["s"], r["t"]) for r in links.collect()}
+        return 2 * len(found & truth) / (len(found) + len(truth))
+    table, known = words.cells(bitext)
+    model = words.diagonal_lexicon(table, rounds=4)
+    forward, backward = words.diagonal_links(table, model)
+    plain = words.align(bitext, words.lexicon(bitext, rounds=4))
+    assert share(words.symmetrize(forward, backward, "intersection")) > 0.9 > share(plain) + 0.1
+    assert {r["trg"] for r in words.named(model, known).where("src = 'the' and p > 0.5").collect()} == {"le"}
+
+
+def test_one_round_of_the_diagonal_model(spark):
+    rows = [("1", ["a", "b"], ["x", "y", "x"]), ("2", ["a"], ["y"]), ("3", [], ["z"])]
+    table, known = words.cells(spark.createDataFrame(rows, "pair_id string, src_toks array<string>, trg_toks array<string>"))
+    got = {(r["src"], r["trg"]): (r["p"], r["q"]) for r in words.named(words.diagonal_lexicon(table, rounds=1), known).collect()}
+    e, g = collections.Counter(), collections.Counter()
+    for _, src, trg in rows:
+        near = [[math.exp(-4 * abs((i + .5) / len(src) - (j + .5) / len(trg))) for j in range(len(trg))] for i in range(len(src))]
+        for i, a in enumerate(src):
+            for j, b in enumerate(trg):
+                e[a, b] += near[i][j] / sum(row[j] for row in near)
+                g[a, b] += near[i][j] / sum(near[i])
+    want = {k: (e[k] / sum(v for x, v in e.items() if x[0] == k[0]), g[k] / sum(v for x, v in g.items() if x[1] == k[1])) for k in e}
+    assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+
+
+def test_large_tables_are_filled_in_pieces():
+    rng = np.random.default_rng(7)
+    for n, m in ((0, 5), (1, 1), (40, 55), (130, 120)):
+        src, trg = rng.integers(1, 150, n), rng.integers(1, 150, m)
+        shared = (rng.integers(1, n + 1, 30), rng.integers(1, m + 1, 30), rng.random(30)) if n and m else None
+        whole = align.cheapest_path(src, trg, band=0, overlap=shared)
+        before = align.CELLS
+        try:
+            align.CELLS = 1
+            assert align.cheapest_path(src, trg, band=0, overlap=shared) == whole
+        finally:
+            align.CELLS = before

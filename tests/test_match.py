@@ -68,6 +68,50 @@ def test_scores_of_marked_names(spark):
     assert got == {("s/b/xml/en/a_en.xml", "s/b/xml/sv/a_sv.xml"): (0.96, False), ("x", "y"): (1.0, True)}
 
 
+def test_names_that_differ_in_one_stretch(spark):
+    df = docs(spark, [("en", "report-2020_en.xml", 10), ("sv", "report-2021_sv.xml", 9), ("de", "report-1999x_de.xml", 9), ("fi", "quite else_fi.xml", 9),
+                      ("en", "annual accounts 2020 part one_en.xml", 9), ("sv", "annual accounts 2020 part two_sv.xml", 9)])
+    none = spark.createDataFrame([], "src_path string, trg_path string")
+    got = {(r["src_path"].split("/")[-1], r["trg_path"].split("/")[-1]): r["name_match"] for r in match.scored(df, none, key=("slot", "branch")).collect()}
+    # "report-2020_.xml" and "report-2021_.xml" differ in one character each, of 18 + 18
+    want = {("report-2020_en.xml", "report-2021_sv.xml"): 1 - 2 / 36, ("annual accounts 2020 part one_en.xml", "annual accounts 2020 part two_sv.xml"): 1 - 6 / 72}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_a_hot_name_gives_a_pair_for_each_two_languages(spark):
+    rows = [("s", f"b{i}", lang, "index_xx.xml", f"s/b{i:03}/xml/{lang}/index_xx.xml", 5) for i in range(200) for lang in ("en", "sv")]
+    df = spark.createDataFrame(rows, "slot string, branch string, lang string, basename string, path string, size int")
+    none = spark.createDataFrame([], "src_path string, trg_path string")
+    assert [(r["src_path"], r["trg_path"]) for r in match.scored(df, none).collect()] == [("s/b199/xml/en/index_xx.xml", "s/b199/xml/sv/index_xx.xml")]
+    numbered = [("s", "b", lang, f"report-{i + 300 * (lang == 'sv'):04}_{lang}.xml", f"s/b/xml/{lang}/report-{i + 300 * (lang == 'sv'):04}_{lang}.xml", 5)
+                for i in range(300) for lang in ("en", "sv")]
+    many = match.scored(spark.createDataFrame(numbered, "slot string, branch string, lang string, basename string, path string, size int"), none).collect()
+    assert 0 < len(many) <= 600 and all(r["name_match"] >= 0.9 for r in many)
+
+
+def test_many_names_with_one_long_beginning(spark):
+    rng = random.Random(8)
+    head = "proceedings of the annual meeting of the association, volume "  # 61 characters
+    have = sorted({head + "".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(700)})
+    ask = sorted({n[:-3] + "zzz" for n in have[::3]} | {n + "x" for n in have[::50]} | {"q" + n[:20] + n[21:40] + "yy" + n[40:] for n in have[::20]})
+    names = spark.createDataFrame([("s", "de", n, f"p/{n}") for n in have], "slot string, lang string, name string, path string")
+    wanted = spark.createDataFrame([("s", n, "de") for n in ask], "slot string, name string, lang string")
+    got = {r["name"]: (r["distance"], r["match"]) for r in match.similar(wanted, names).collect()}
+    some = rng.sample(ask, 25)
+    assert {n: got[n] for n in some} == {n: min((distance(n, h), h) for h in have) for n in some}
+
+
+def test_families_without_any_of_their_languages(spark):
+    df = docs(spark, [("sv", "guide-swedish-english.xml", 1), ("sv", "tour_sv.xml", 1), ("fi", "guide-finnish.xml", 1), ("fi", "toursx.xml", 1), ("de", "x.xml", 1)])
+    fam = spark.createDataFrame([("s", "guide-english-de.xml", ["en", "de"], "fi"), ("s", "guide-english-de.xml", ["en", "de"], "sv"), ("s", "tour_en.xml", ["en"], "sv"),
+                                 ("s", "my tour_en.xml", ["en"], "sv"), ("s", "tours_en.xml", ["en"], "fi")],
+                                "slot string, family string, langs array<string>, lang string")
+    def found(fuzzy):
+        return {(r["family"], r["lang"]): (r["path"].split("/")[-1], r["distance"]) for r in match.without_languages(fam, df, fuzzy=fuzzy).collect()}
+    assert found(False) == {("guide-english-de.xml", "fi"): ("guide-finnish.xml", 0), ("tour_en.xml", "sv"): ("tour_sv.xml", 0)}
+    assert found(True) == {**found(False), ("tours_en.xml", "fi"): ("toursx.xml", 1)}
+
+
 PAGES = {
     "site/en/a.html": '<link rel="alternate" title="x" hreflang="sv-SE" href="/sv/a">',
     "site/fi/b.html": '<ul class="menu menu--language-switcher"><li><a href="/sv/b">SV</a></li></ul>',

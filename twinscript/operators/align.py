@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions.scores import (MAX_COST, MEAN, PRIORS, TAIL, TAIL_DENSITY, TAIL_SCALE, VARIANCE)
-from twinscript.session import spread
+from twinscript.session import cut_lineage, spread
 from twinscript.sources import markup
 
 # Thresholds of link filtering, size of the first search band, window of shared words.
@@ -86,7 +86,10 @@ def _band(n: int, m: int, band: int, pillow: bool) -> tuple[np.ndarray, np.ndarr
     return np.maximum(0, middle - reach), np.minimum(m, middle + reach)
 
 
-BLOCK = 128
+# rows whose costs are worked out at once, cells of these at most, and cells whose steps are kept without filling twice
+BLOCK, COSTS, CELLS = 128, 1 << 20, 1 << 26
+# cells of a full table that make a task; a larger pair has one of its own
+TASK_CELLS, MOST_TASKS = 1 << 28, 100_000
 
 
 def _gains(overlap: tuple[np.ndarray, np.ndarray, np.ndarray], kinds: list[tuple[int, int]],
@@ -165,53 +168,86 @@ def _path_in_band(src: np.ndarray, trg: np.ndarray, mean: float, variance: float
     """The cheapest path within a band.
 
     A row is filled at once: steps that take a source sentence look one or two rows up; steps that
-    take a target sentence only are a running minimum along the row.
+    take a target sentence only are a running minimum along the row.  Costs are kept for two rows; how a cell was reached,
+    for all rows if that takes at most ``CELLS`` bytes.  Beyond, the two rows before every piece of a table are kept, with about as many rows to a piece as pieces,
+    and the pieces are filled again from the last to the first as the path is followed back: twice the time, and memory that grows
+    with the root of the rows.
     """
     priors = priors or PRIORS
     n, m = len(src), len(trg)
     a = np.concatenate([[0.0], np.cumsum(src, dtype=float)])
     b = np.concatenate([[0.0], np.cumsum(trg, dtype=float)])
     kinds = [k for k in sorted(priors) if k[0] > 0]
+    moves = [*kinds, (0, 1)]
     lo, hi = _band(n, m, band, pillow)
     along = np.concatenate([[0.0], np.cumsum(_cost(np.zeros(m), np.diff(b), mean, variance) - np.log(priors[(0, 1)]))])
-    rows, back, costs, first, left = [], [], [], 0, 0
-    for i in range(n + 1):
-        if i % BLOCK == 0:
-            first, last = i, min(i + BLOCK, n + 1)
-            left, right = lo[first:last].min(), hi[first:last].max() + 1
-            r, c = np.arange(first, last), np.arange(left, right)
-            costs = [_cost((a[r] - a[np.maximum(r - d1, 0)])[:, None], (b[c] - b[np.maximum(c - d2, 0)])[None, :],
-                           mean, variance) - np.log(priors[(d1, d2)]) for d1, d2 in kinds]
-            if overlap is not None:
-                costs = [cost - gain for cost, gain in zip(costs, _gains(overlap, kinds, r, c))]
-        best = np.full(hi[i] - lo[i] + 1, np.inf)
-        step = np.full(len(best), -1, np.int8)
-        if i == 0:
-            best[0] = 0.0
-        for k, (d1, d2) in enumerate(kinds):
-            if d1 > i:
-                continue
-            j0, j1 = max(lo[i], lo[i - d1] + d2), min(hi[i], hi[i - d1] + d2)
-            if j0 > j1:
-                continue
-            total = (rows[i - d1][j0 - d2 - lo[i - d1]:j1 - d2 - lo[i - d1] + 1]
-                     + costs[k][i - first, j0 - left:j1 - left + 1])
-            here, how = best[j0 - lo[i]:j1 - lo[i] + 1], step[j0 - lo[i]:j1 - lo[i] + 1]
-            better = total < here
-            here[better], how[better] = total[better], k
-        run = along[lo[i]:hi[i] + 1]
-        passed = np.minimum.accumulate(best - run) + run
-        skips = passed < best - 1e-9
-        best[skips], step[skips] = passed[skips], len(kinds)
-        rows.append(best)
-        back.append(step)
-    moves = [*kinds, (0, 1)]
-    path, i, j = [], n, m
-    while i or j:
-        d1, d2 = moves[back[i][j - lo[i]]]
-        path.append((i - d1, i, j - d2, j, float(rows[i][j - lo[i]] - rows[i - d1][j - d2 - lo[i - d1]])))
-        i, j = i - d1, j - d2
-    return path[::-1]
+    widest = int((hi - lo).max()) + 1
+
+    def fill(begin: int, end: int, two: np.ndarray | None, one: np.ndarray | None, back: list | None) -> tuple:
+        """Rows ``begin`` to ``end`` from the two before; notes in ``back`` how each cell is reached, and returns the last two."""
+        costs, first, stop, left = [], 0, begin, 0
+        for i in range(begin, end):
+            if i == stop:
+                first, stop = i, min(i + max(1, min(BLOCK, COSTS // widest)), end)
+                left, right = lo[first:stop].min(), hi[first:stop].max() + 1
+                r, c = np.arange(first, stop), np.arange(left, right)
+                costs = [_cost((a[r] - a[np.maximum(r - d1, 0)])[:, None], (b[c] - b[np.maximum(c - d2, 0)])[None, :],
+                               mean, variance) - np.log(priors[(d1, d2)]) for d1, d2 in kinds]
+                if overlap is not None:
+                    costs = [cost - gain for cost, gain in zip(costs, _gains(overlap, kinds, r, c))]
+            best = np.full(hi[i] - lo[i] + 1, np.inf)
+            step = np.full(len(best), -1, np.int8)
+            if i == 0:
+                best[0] = 0.0
+            for k, (d1, d2) in enumerate(kinds):
+                if d1 > i:
+                    continue
+                j0, j1 = max(lo[i], lo[i - d1] + d2), min(hi[i], hi[i - d1] + d2)
+                if j0 > j1:
+                    continue
+                above = one if d1 == 1 else two
+                total = above[j0 - d2 - lo[i - d1]:j1 - d2 - lo[i - d1] + 1] + costs[k][i - first, j0 - left:j1 - left + 1]
+                here, how = best[j0 - lo[i]:j1 - lo[i] + 1], step[j0 - lo[i]:j1 - lo[i] + 1]
+                better = total < here
+                here[better], how[better] = total[better], k
+            run = along[lo[i]:hi[i] + 1]
+            passed = np.minimum.accumulate(best - run) + run
+            skips = passed < best - 1e-9
+            best[skips], step[skips] = passed[skips], len(kinds)
+            two, one = one, best
+            if back is not None:
+                back.append(step)
+        return two, one
+
+    every = n + 1 if int((hi - lo + 1).sum()) <= CELLS else max(2, int(np.sqrt(16 * n)))
+    pieces = [(at, min(at + every, n + 1)) for at in range(0, n + 1, every)]
+    kept: list[tuple] = [(None, None)]
+    for begin, end in pieces[:-1]:
+        kept.append(fill(begin, end, *kept[-1], None))
+    steps, i, j = [], n, m
+    for (begin, end), before in zip(reversed(pieces), reversed(kept), strict=True):
+        back: list[np.ndarray] = []
+        fill(begin, end, *before, back)
+        while (i or j) and i >= begin:
+            d1, d2 = moves[back[i - begin][j - lo[i]]]
+            steps.append((i - d1, i, j - d2, j))
+            i, j = i - d1, j - d2
+    return _priced(steps[::-1], a, b, mean, variance, priors, overlap)
+
+
+def _priced(steps: list[tuple[int, int, int, int]], a: np.ndarray, b: np.ndarray, mean: float, variance: float,
+            priors: dict[tuple[int, int], float], overlap: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> list[tuple[int, int, int, int, float]]:
+    """The steps with the cost of each."""
+    if not steps:
+        return []
+    i0, i1, j0, j1 = np.array(steps).T
+    cost = _cost(a[i1] - a[i0], b[j1] - b[j0], mean, variance) - np.log([priors[d] for d in zip((i1 - i0).tolist(), (j1 - j0).tolist())])
+    if overlap is not None:
+        gain: dict[tuple[int, int], float] = {}
+        for i, j, value in zip(*overlap):
+            gain[int(i), int(j)] = gain.get((int(i), int(j)), 0.0) + float(value)
+        cost = cost - [sum(gain.get((i, j), 0.0) for i in range(s[0] + 1, s[1] + 1) for j in range(s[2] + 1, s[3] + 1)) for s in steps]
+    return [(*step, float(c)) for step, c in zip(steps, cost)]
 
 
 FLUSH = 50000
@@ -259,8 +295,10 @@ def length_based(pairs: DataFrame, mean: float = MEAN, variance: float = VARIANC
                 yield flush()
 
     extra = ["src_from", "trg_from"] if offsets else []
-    rows = pairs.select("pair_id", "src_lens", "trg_lens", *extra, *(["overlap"] if shared else []))
-    return spread(rows, "pair_id", *extra).mapInPandas(run, LINK_SCHEMA)
+    rows = cut_lineage(pairs.select("pair_id", "src_lens", "trg_lens", *extra, *(["overlap"] if shared else [])))
+    cells = F.size("src_lens").cast("double") * F.size("trg_lens")
+    tasks = int(min(MOST_TASKS, (rows.agg(F.sum(cells)).first()[0] or 0) // TASK_CELLS))
+    return spread(rows, "pair_id", *extra, least=tasks).mapInPandas(run, LINK_SCHEMA)
 
 
 def anchors(src: DataFrame, trg: DataFrame, pairs: DataFrame, window: int = ANCHOR_WINDOW,

@@ -6,11 +6,16 @@ yields pairs of languages, never pairs of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions import lang as L
 from twinscript.functions import paths, scores
+from twinscript.session import cut_lineage
 
 # Thresholds and weights of scored matching, and the approximation rate of names.
 MIN_SIZE_RATIO, MIN_NAME_MATCH = 0.7, 0.9
@@ -80,46 +85,104 @@ def _tolerance(name: Column, max_edits: int | None) -> Column:
 DELETED = 2
 
 
-def _piece_length(n: Column) -> Column:
-    """Length of the pieces that a name of ``n`` characters is cut into, one more than its tolerance."""
-    return F.floor(n / (F.ceil(n * NAME_ERRORS) + 1)).cast("int")
-
-
-def _by_pieces(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of names that share a piece of the wanted one, where a name within its tolerance must have it.
-
-    A name is cut into one more piece than it may have edits, so one of them stays whole, at most as
-    many places away.  A partner's length differs by the tolerance at most, which leaves few lengths of pieces.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+# sizes of the stretches by which names with many edits meet
+GRAMS = (2, 3, 4, 5)
+
+
+def _prefixes(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all beginnings of a name, and the powers that put such hashes together."""
+    signs = np.frombuffer(name.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    power = np.ones(len(signs) + 1, dtype=np.uint64)
+    out = np.zeros(len(signs) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i, sign in enumerate(signs):
+            power[i + 1] = power[i] * BASE
+            out[i + 1] = out[i] * BASE + sign
+    return out, power
+
+
+def _cut_out(h: np.ndarray, power: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the name without its signs from ``start`` to ``stop``."""
+    n = len(h) - 1
+    with np.errstate(over="ignore"):
+        return h[start] * power[n - stop] + h[n] - h[stop] * power[n - stop]
+
+
+def deletions(name: str, edits: int) -> np.ndarray:
+    """Hashes of all strings that are left when one or two characters, or fewer, are taken out of a name."""
+    h, power = _prefixes(name)
+    n = len(h) - 1
+    i = np.arange(n)
+    out = [h[n:], _cut_out(h, power, i, i + 1)]
+    if edits > 1 and n > 1:
+        i, j = np.triu_indices(n, 1)
+        with np.errstate(over="ignore"):
+            middle = h[j] - h[i + 1] * power[j - i - 1]
+            tail = h[n] - h[j + 1] * power[n - j - 1]
+            out.append((h[i] * power[j - i - 1] + middle) * power[n - j - 1] + tail)
+    return np.unique(np.concatenate(out))
+
+
+def infixes_out(name: str, longest: int) -> np.ndarray:
+    """Hashes of where a stretch of at most ``longest`` characters, or none, is taken out of a name, and what is left."""
+    h, power = _prefixes(name)
+    n = len(h) - 1
+    start, size = np.meshgrid(np.arange(n + 1), np.arange(min(longest, n) + 1), indexing="ij")
+    some = start + size <= n
+    start, size = start[some], size[some]
+    with np.errstate(over="ignore"):
+        return np.unique(_cut_out(h, power, start, start + size) * BASE + start.astype(np.uint64))
+
+
+def _with_hashes(df: DataFrame, of: Callable[..., np.ndarray], *arguments: str) -> DataFrame:
+    """A row for each hash that ``of`` gives for the columns named, in ``variant``."""
+    columns = df.columns
+    places = [columns.index(a) for a in arguments]
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [of(*row).view(np.int64) for row in zip(*[b.column(p).to_pylist() for p in places], strict=True)]
+            ends = np.cumsum([0, *map(len, found)])
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*columns, "variants"])
+
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in df.dtypes), "variants array<bigint>"])
+    return df.mapInArrow(hashed, schema).withColumn("variant", F.explode("variants")).drop("variants")
+
+
+def _grams(name: str, sizes: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each stretch of each size: its size ``q``, where it starts, and the stretch."""
+    q = sizes.withColumn("q", F.explode(F.array(*[F.lit(x) for x in GRAMS]))).where(F.length(name) >= F.col("q"))
+    at = F.sequence(F.lit(1), F.length(name) - F.col("q") + 1)
+    return q.withColumn("at", F.explode(at)).select(*keep, "q", "at", F.substring(F.col(name), F.col("at"), F.col("q")).alias("gram"))
+
+
+def _by_rare_grams(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of names within the tolerance of the wanted one that share one of its rarest stretches.
+
+    An edit destroys ``q`` stretches of ``q`` characters at most, so of any ``q k + 1`` stretches of a name one stays whole
+    in every name within ``k`` edits, at most ``k`` places away.  Those that the fewest names have are taken, of the size for
+    which they are rarest: what all names of a corpus have in common is left out.
     """
-    n = F.length("name")
-    left = wanted.withColumn("_k", _tolerance(F.col("name"), None)).withColumn("_l", _piece_length(n)).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.col("_k")))).withColumn("_at", F.col("_i") * F.col("_l") + 1).withColumn(
-        "piece", F.substring(F.col("name"), F.col("_at"), F.col("_l")))
-    m = F.length("match")
-    asked = F.sequence(F.greatest(F.floor(m / (1 + NAME_ERRORS)).cast("int") - 1, F.lit(1)), F.ceil(m / (1 - NAME_ERRORS)).cast("int") + 1)
-    right = names.select("slot", "lang", F.col("name").alias("match"), "path").withColumn(
-        "_l", F.explode(F.array_distinct(F.transform(asked, _piece_length)))).where((F.col("_l") > 0) & (F.col("_l") <= m)).withColumn(
-        "_place", F.explode(F.sequence(F.lit(1), m - F.col("_l") + 1))).withColumn("piece", F.substring(F.col("match"), F.col("_place"), F.col("_l")))
-    hits = left.join(right, ["slot", "lang", "piece", "_l"]).where(F.abs(F.col("_at") - F.col("_place")) <= F.col("_k"))
-    return hits.withColumn("distance", F.levenshtein("name", "match")).where(F.col("distance") <= F.col("_k")).select(
+    every = _grams("match", names.select("slot", "lang", F.col("name").alias("match"), "path"), ["slot", "lang", "match", "path"])
+    counts = every.groupBy("slot", "lang", "q", "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = _grams("name", wanted.withColumn("k", _tolerance(F.col("name"), None)), ["slot", "lang", "name", "k"])
+    asked = own.join(counts, ["slot", "lang", "q", "gram"], "left").fillna(0, ["n"])
+    one = ["slot", "lang", "name", "q"]
+    first = asked.withColumn("rank", F.row_number().over(Window.partitionBy(*one).orderBy("n", "at"))).where(F.col("rank") <= F.col("q") * F.col("k") + 1)
+    # sizes that leave too few stretches do not count
+    cost = first.groupBy(*one).agg(F.sum("n").alias("cost"), F.count(F.lit(1)).alias("found"), F.first("k").alias("k")).where(
+        F.col("found") == F.col("q") * F.col("k") + 1)
+    best = cost.groupBy("slot", "lang", "name").agg(F.min(F.struct("cost", "q"))["q"].alias("q"))
+    chosen = first.join(best, one).select(*one, "gram", F.col("at").alias("place"), "k")
+    hits = chosen.join(every, ["slot", "lang", "q", "gram"]).where(F.abs(F.col("at") - F.col("place")) <= F.col("k"))
+    pairs = hits.select("slot", "lang", "name", "k", "match", "path").distinct()
+    return pairs.withColumn("distance", F.levenshtein("name", "match")).where(F.col("distance") <= F.col("k")).select(
         "slot", "name", "lang", "distance", "path", "match")
 
 
-def _one_deleted(c: Column) -> Column:
-    """The string itself and all strings with one character taken out."""
-    return F.array_distinct(F.concat(F.array(c), F.transform(
-        F.sequence(F.lit(1), F.length(c)),
-        lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
-
-
-def _deletions(c: Column, edits: int) -> Column:
-    out = _one_deleted(c)
-    for _ in range(edits - 1):
-        out = F.array_distinct(F.flatten(F.transform(
-            out, lambda s: F.when(F.length(s) > 0, _one_deleted(s)).otherwise(F.array(s)))))
-    return out
-
-
 def similar(wanted: DataFrame, names: DataFrame, max_edits: int | None = None) -> DataFrame:
     """The closest name in a missing language for each ``(slot, name, lang)`` that lacks one.
 
@@ -138,11 +201,11 @@ def similar(wanted: DataFrame, names: DataFrame, max_edits: int | None = None) -
                      F.col("name").alias("match")))
     rest = wanted.join(found, ["slot", "name", "lang"], "left_anti")
     for k in range(1, min(DELETED, DELETED if max_edits is None else max_edits) + 1):
-        left = rest.where(_tolerance(F.col("name"), max_edits) >= k).select(
-            "slot", "lang", "name", F.explode(_deletions(F.col("name"), k)).alias("variant"))
-        right = names.select("slot", "lang", F.col("name").alias("match"), "path",
-                             F.explode(_deletions(F.col("name"), k)).alias("variant"))
-        hits = (left.join(right, ["slot", "lang", "variant"])
+        edits = F.lit(k).alias("edits")
+        left = _with_hashes(rest.where(_tolerance(F.col("name"), max_edits) >= k).select("slot", "lang", "name", edits),
+                            deletions, "name", "edits").drop("edits")
+        right = _with_hashes(names.select("slot", "lang", F.col("name").alias("match"), "path", edits), deletions, "match", "edits").drop("edits")
+        hits = (left.join(right, ["slot", "lang", "variant"]).drop("variant").distinct()
                 .withColumn("distance", F.levenshtein("name", "match", k)).where("distance >= 0"))
         best = (hits.groupBy("slot", "name", "lang")
                 .agg(F.min(F.struct("distance", "path", "match")).alias("b"))
@@ -150,7 +213,7 @@ def similar(wanted: DataFrame, names: DataFrame, max_edits: int | None = None) -
         found = found.unionByName(best)
         rest = rest.join(best, ["slot", "name", "lang"], "left_anti")
     if max_edits is None or max_edits > DELETED:
-        far = _by_pieces(rest.where(_tolerance(F.col("name"), max_edits) > DELETED), names)
+        far = _by_rare_grams(rest.where(_tolerance(F.col("name"), max_edits) > DELETED), names)
         if max_edits is not None:
             far = far.where(F.col("distance") <= max_edits)
         found = found.unionByName(far.groupBy("slot", "name", "lang").agg(
@@ -204,34 +267,74 @@ def cascade(stages: list[DataFrame]) -> DataFrame:
             .select("slot", "family", "lang", "m.path", "m.stage"))
 
 
+def _one_of_each(docs: DataFrame, by: list[str]) -> DataFrame:
+    """One document for all of a language that are the same in ``by``: that of the last path."""
+    rest = [c for c in docs.columns if c not in by and c != "lang"]
+    return docs.groupBy(*by, "lang").agg(F.max_by(F.struct(*rest), "path").alias("r")).select(*by, "lang", "r.*")
+
+
+def _infix_pairs(docs: DataFrame, key: list[str], found: DataFrame, least: float) -> DataFrame:
+    """Pairs of documents whose ``bare`` names differ in one stretch, for those that ``found`` gives no partner in a language of their key.
+
+    Both names without the differing stretch are the same string, cut at the same place.  One document stands for all of a
+    language that are the same without it, so a document has at most as many partners as its name has stretches, and its
+    best one in each language is kept.  Stretches may be as long as ``least`` of the name match allows.
+    """
+    langs = docs.select(*key, F.col("lang").alias("other")).distinct()
+    have = found.select(F.col("src_path").alias("path"), F.col("trg_lang").alias("other")).unionByName(
+        found.select(F.col("trg_path").alias("path"), F.col("src_lang").alias("other")))
+    lacking = docs.join(langs, key).where("lang <> other").join(have, ["path", "other"], "left_anti")
+    # the stretches of both names together
+    longest = F.floor((1 - least) * 2 * (F.length("name") + 8)).cast("int")
+    asked = _with_hashes(lacking.withColumn("longest", longest), infixes_out, "bare", "longest").drop("longest")
+    there = _with_hashes(_one_of_each(docs, [*key, "name"]).withColumn("longest", longest), infixes_out, "bare", "longest").drop("longest")
+    one = there.groupBy(*key, "variant", F.col("lang").alias("other")).agg(F.min_by(
+        F.struct("path", "size", "name", "bare"), F.struct(F.length("bare"), "path")).alias("o"))
+    hits = asked.join(one, [*key, "variant", "other"])
+    sides = hits.select(*key, "other", F.struct("path", "lang", "size", "name", "bare").alias("mine"),
+                        F.struct("o.path", F.col("other").alias("lang"), "o.size", "o.name", "o.bare").alias("theirs"))
+    ins, inf = scores.infixes(F.col("mine.bare"), F.col("theirs.bare"))
+    paths_ = [F.length("mine.path"), F.length("theirs.path")]
+    name_match = (1 - (F.length(ins) + F.length(inf)) / (F.length("mine.name") + F.length("theirs.name"))) * (F.least(*paths_) / F.greatest(*paths_))
+    best = sides.withColumn("m", name_match).where(F.col("m") >= least).groupBy("mine", "other").agg(
+        F.max(F.struct("m", "theirs"))["theirs"].alias("theirs"))
+    swap = F.col("mine.lang") > F.col("theirs.lang")
+    a, b = F.when(swap, F.col("theirs")).otherwise(F.col("mine")), F.when(swap, F.col("mine")).otherwise(F.col("theirs"))
+    return best.select(a.alias("a"), b.alias("b")).distinct().select(
+        *[F.col(f"{x}.{c}").alias(f"{side}_{c}") for x, side in (("a", "src"), ("b", "trg")) for c in ("path", "lang", "size", "name", "bare")])
+
+
 def scored(resources: DataFrame, known: DataFrame, name: str = "basename",
            key: tuple[str, ...] = ("slot",), min_size: float = MIN_SIZE_RATIO,
            min_name: float = MIN_NAME_MATCH) -> DataFrame:
     """Candidate pairs with a score from name and size; known alignments score 1.
 
-    Names are either equal, or both carry their language and are equal without it; in the second
-    case the name score is the share of the full names' characters outside the differing infixes.
+    Names are equal; or both carry their language and are equal without it; or, for documents without such a partner in a
+    language, both carry it and differ in one more stretch.  Then the name score is the share of the full names' characters outside the
+    differing infixes.  Of documents with one name and language the last path counts.
     """
-    codes = F.broadcast(L.codes(resources.sparkSession)).select("two", "three", F.col("name").alias("name_en"))
+    codes = F.broadcast(L.codes(resources.sparkSession)).select(F.col("two").alias("lang"), "three", F.col("name").alias("name_en"))
     docs = resources.select(*key, "path", "lang", "size", F.col(name).alias("name"))
-    same = _pair(docs.withColumn("stripped", F.col("name")), [*key, "stripped"]).withColumn("kind", F.lit(0))
+    marks = [F.col("name"), F.col("lang"), F.col("three"), F.col("name_en")]
+    marked = docs.join(codes, "lang", "left").withColumn("bare", L.without_last_marker(*marks)).withColumn(
+        "has", F.coalesce(L.names_language(*marks), F.lit(False))).drop("three", "name_en")
+    same = _pair(_one_of_each(docs, [*key, "name"]).withColumn("stripped", F.col("name")), [*key, "stripped"]).withColumn("kind", F.lit(0))
     cross = no_lang(docs, "name", key).withColumn("kind", F.lit(1))
     fields = ["kind", "src_lang", "trg_lang", "src_size", "trg_size", "src_name", "trg_name"]
-    both = same.unionByName(cross).groupBy("src_path", "trg_path").agg(
-        F.min_by(F.struct(*fields), "kind").alias("p")).select("src_path", "trg_path", "p.*")
+    found = cut_lineage(same.unionByName(cross).groupBy("src_path", "trg_path").agg(
+        F.min_by(F.struct(*fields), "kind").alias("p")).select("src_path", "trg_path", "p.*"))
+    own = marked.select("path", "has", "bare")
     for side in ("src", "trg"):
-        both = (both.join(codes.select(F.col("two").alias(f"{side}_lang"), F.col("three").alias(f"{side}_three"),
-                                       F.col("name_en").alias(f"{side}_en")), f"{side}_lang", "left"))
-    has = [L.names_language(F.col(f"{s}_name"), F.col(f"{s}_lang"), F.col(f"{s}_three"), F.col(f"{s}_en"))
-           for s in ("src", "trg")]
-    bare = [L.without_last_marker(F.col(f"{s}_name"), F.col(f"{s}_lang"), F.col(f"{s}_three"), F.col(f"{s}_en"))
-            for s in ("src", "trg")]
-    ins, inf = scores.infixes(*bare)
+        found = found.join(own.select(F.col("path").alias(f"{side}_path"), F.col("has").alias(f"{side}_has"), F.col("bare").alias(f"{side}_bare")), f"{side}_path")
+    loose = _infix_pairs(marked.where("has").drop("has"), list(key), found, min_name).withColumns(
+        {"kind": F.lit(2), "src_has": F.lit(True), "trg_has": F.lit(True)})
+    both = found.unionByName(loose)
+    ins, inf = scores.infixes(F.col("src_bare"), F.col("trg_bare"))
     total = F.length("src_name") + F.length("trg_name")
     lengths = [F.length("src_path"), F.length("trg_path")]
     path_ratio = F.least(*lengths) / F.greatest(*lengths)
     name_match = F.when(F.col("kind") == 0, path_ratio).when(
-        has[0] & has[1], (1 - (F.length(ins) + F.length(inf)) / total) * path_ratio)
+        F.col("src_has") & F.col("trg_has"), (1 - (F.length(ins) + F.length(inf)) / total) * path_ratio)
     size_match = F.least("src_size", "trg_size") / F.greatest("src_size", "trg_size")
     out = (both.withColumn("size_match", F.coalesce(size_match, F.lit(0.0)))
            .where(F.col("size_match") >= min_size)
@@ -246,6 +349,30 @@ def scored(resources: DataFrame, known: DataFrame, name: str = "basename",
         F.lit(1.0).alias("match"), F.lit(True).alias("aligned")))
 
 
+def without_languages(families: DataFrame, resources: DataFrame, column: str = "basename", fuzzy: bool = False,
+                      key: tuple[str, ...] = ("slot",)) -> DataFrame:
+    """``*key, family, lang, path, distance``: for each language that a family lacks, the document whose name without its language is the
+    family's without all languages that the family has.
+
+    ``families`` has ``*key, family, langs, lang``: its name, the languages it has, and one it lacks.  Of several documents the last path
+    counts.  With ``fuzzy``, families that find none get the closest name, as ``similar`` does.
+    """
+    codes = F.broadcast(L.codes(resources.sparkSession))
+    each = families.select(*key, "family", F.explode("langs").alias("two")).distinct().join(codes, "two").groupBy(*key, "family").agg(
+        F.array_sort(F.collect_list(F.struct("two", "three", "name"))).alias("had"))
+    bare = F.aggregate("had", paths.strip_suffix(F.col("family")), lambda text, x: L.strip_language(text, x["two"], x["three"], x["name"]))
+    asked = families.select(*key, "family", "lang").distinct().join(each.select(*key, "family", bare.alias("name")), [*key, "family"])
+    names = stripped_names(resources, column).groupBy(*key, "lang", F.col("stripped").alias("name")).agg(F.max("path").alias("path"))
+    equal = asked.join(names, [*key, "lang", "name"]).select(*key, "family", "lang", "path", F.lit(0).alias("distance"))
+    if not fuzzy:
+        return equal
+    rest = asked.join(equal, [*key, "family", "lang"], "left_anti")
+    slot = F.to_json(F.struct(*key))
+    near = similar(rest.select(slot.alias("slot"), "name", "lang"), names.select(slot.alias("slot"), "lang", "name", "path"))
+    closest = near.select(F.col("slot").alias("_slot"), "name", "lang", "distance", "path")
+    return equal.unionByName(rest.withColumn("_slot", slot).join(closest, ["_slot", "name", "lang"]).select(*key, "family", "lang", "path", "distance"))
+
+
 # Forms in which web pages link to their translations.
 ALTERNATE = r'(?s)<link\s+rel="alternate".*?hreflang="(..)(?:-..)?"\s+href="(.*?)"'
 SWITCHER = r'(?s)<ul class="menu menu--language-switcher">(.*?)</ul>'

@@ -70,6 +70,38 @@ def _(t):
     return table.select("src", "trg", F.abs(F.round(F.log("p"), 5)).alias("cost"))
 
 
+DIAGONAL = TOKENS + r""",
+sizes AS (SELECT a.pair_id, a.n, b.m FROM (SELECT pair_id, count(*) AS n FROM src GROUP BY 1) a JOIN (SELECT pair_id, count(*) AS m FROM trg GROUP BY 1) b USING (pair_id)),
+weights AS (SELECT pair_id, s, t, src, trg, exp(-4.0::DOUBLE * abs((s + 0.5::DOUBLE) / n - (t + 0.5::DOUBLE) / m)) AS w FROM src JOIN trg USING (pair_id) JOIN sizes USING (pair_id)),
+dcells AS MATERIALIZED (SELECT *, w / sum(w) OVER (PARTITION BY pair_id, t) AS f, w / sum(w) OVER (PARTITION BY pair_id, s) AS b FROM weights),
+counts1 AS (SELECT src, trg, sum(f) AS e, sum(b) AS g FROM dcells GROUP BY ALL),
+model1 AS MATERIALIZED (SELECT src, trg, e / sum(e) OVER (PARTITION BY src) AS p, g / sum(g) OVER (PARTITION BY trg) AS q FROM counts1),
+shared2 AS (SELECT src, trg, f * p / sum(f * p) OVER (PARTITION BY pair_id, t) AS e, b * q / sum(b * q) OVER (PARTITION BY pair_id, s) AS g
+  FROM dcells JOIN model1 USING (src, trg)),
+counts2 AS (SELECT src, trg, sum(e) AS e, sum(g) AS g FROM shared2 GROUP BY ALL),
+model2 AS MATERIALIZED (SELECT src, trg, e / sum(e) OVER (PARTITION BY src) AS p, g / sum(g) OVER (PARTITION BY trg) AS q FROM counts2)"""
+
+
+@query("diagonal_lexicon", "WITH " + DIAGONAL + """
+SELECT src, trg, abs(round(ln(p), 5)) AS cost, abs(round(ln(q), 5)) AS reverse_cost FROM model2""")
+def _(t):
+    """Both directions of a lexicon that prefers links near the diagonal, after two rounds."""
+    table, known = words.cells(_tokens(t))
+    found = words.named(words.diagonal_lexicon(table, rounds=2), known)
+    return found.select("src", "trg", F.abs(F.round(F.log("p"), 5)).alias("cost"), F.abs(F.round(F.log("q"), 5)).alias("reverse_cost"))
+
+
+@query("diagonal_links", "WITH " + DIAGONAL + """,
+ranked AS (SELECT pair_id, s, t, row_number() OVER (PARTITION BY pair_id, t ORDER BY round(f * p * 1e9) DESC, s) AS forward,
+  row_number() OVER (PARTITION BY pair_id, s ORDER BY round(b * q * 1e9) DESC, t) AS backward FROM dcells JOIN model1 USING (src, trg))
+SELECT pair_id, CAST(s AS INTEGER) AS s, CAST(t AS INTEGER) AS t, forward = 1 AS forward, backward = 1 AS backward FROM ranked WHERE forward = 1 OR backward = 1""")
+def _(t):
+    table, _ = words.cells(_tokens(t))
+    forward, backward = words.diagonal_links(table, words.diagonal_lexicon(table, rounds=1))
+    both = forward.withColumn("forward", F.lit(True)).join(backward.withColumn("backward", F.lit(True)), ["pair_id", "s", "t"], "full_outer")
+    return both.fillna(False, ["forward", "backward"])
+
+
 FORWARD = TOKENS + "," + em_sql("lex", "src", "trg", 1) + r""",
 fwd AS (SELECT pair_id, s, t FROM (SELECT pair_id, s, t, row_number() OVER (PARTITION BY pair_id, t ORDER BY round(p * 1e9) DESC, s) AS rn
   FROM src JOIN trg USING (pair_id) JOIN lex USING (src, trg)) WHERE rn = 1)"""

@@ -67,10 +67,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute by key ahead of work that is heavy for its bytes.
+def spread(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """Distribute by key ahead of work that is heavy for its bytes, over ``least`` tasks at least.
 
     With the number of tasks given, AQE does not merge them for being small.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *keys)
+    return df.repartition(max(tasks, least), *keys)
