@@ -293,7 +293,7 @@ class Pairs:
         out, where = np.zeros(len(distinct), dtype=bool), _shard(common.mix(distinct), len(self.parts))
         order = np.argsort(where, kind="stable")
         shard, starts = np.unique(where[order], return_index=True)
-        for s, here in zip(shard, np.split(order, starts[1:]), strict=True):
+        for s, here in zip(shard, np.split(order, starts[1:]) if len(shard) else (), strict=True):
             if len(known := self.parts[s]):
                 at = np.minimum(np.searchsorted(known, distinct[here]), len(known) - 1)
                 out[here] = known[at] == distinct[here]
