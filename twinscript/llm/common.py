@@ -24,6 +24,17 @@ def texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to be none of the columns', in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """``crc32(doc_id as text) mod folds``; a missing id counts as the empty text."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

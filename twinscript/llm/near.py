@@ -280,17 +280,18 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 def without_copies(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest ``doc_id`` (a missing one counts last); all columns are kept."""
     found = classes(docs, **parameters)
+    own, a, b, ka, kb, stays = common.free(docs.columns, "_id", "_a", "_b", "_ka", "_kb", "_stays")
     keys = with_keys(docs).drop("text").join(found.select("a", "b", "component"), ["a", "b"])
     rows = keys.groupBy("component", "doc_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("k"))
     marked = cut_lineage(rows.join(best, "component").withColumn(
         "first", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b").eqNullSafe(F.col("k"))).where(
-        "not first or n > 1").select(F.col("doc_id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"), "first"))
+        "not first or n > 1").select(F.col("doc_id").alias(own), F.col("a").alias(a), F.col("b").alias(b), F.col("first").alias(stays)))
     sent = F.broadcast(marked) if marked.limit(SENT_ROWS + 1).count() <= SENT_ROWS else marked
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_ka", F.xxhash64(text)).withColumn("_kb", F.xxhash64(F.lit(1), text))
-    same = (F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))) & (F.col("_ka") == F.col("_a")) & (F.col("_kb") == F.col("_b"))
+    keyed = docs.withColumn(ka, F.xxhash64(text)).withColumn(kb, F.xxhash64(F.lit(1), text))
+    same = (F.col("doc_id").cast("bigint").eqNullSafe(F.col(own))) & (F.col(ka) == F.col(a)) & (F.col(kb) == F.col(b))
     once = keyed.join(sent, same, "left_anti")
     # equal rows of the document that stays
-    again = keyed.join(sent.where("first"), same, "left_semi").dropDuplicates(["doc_id", "_ka", "_kb"])
-    return once.unionByName(again).drop("_ka", "_kb")
+    again = keyed.join(sent.where(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id", ka, kb])
+    return once.unionByName(again).drop(ka, kb)

@@ -198,12 +198,13 @@ def sanitised(docs: DataFrame, window: int = 8, support: int = 2, disclosure: fl
     found = find_values(docs, window)
     extra = disclosing_spans(docs, found, support, disclosure).groupBy("doc_id", "a", "b").agg(
         F.array_sort(F.collect_list(F.struct("begin", "finish"))).alias("_terms"))
-    extra = cut_lineage(extra.select(F.col("doc_id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"), "_terms"))
+    own, ta, tb, ka, kb, terms = common.free(docs.columns, "_id", "_a", "_b", "_ka", "_kb", "_terms")
+    extra = cut_lineage(extra.select(F.col("doc_id").alias(own), F.col("a").alias(ta), F.col("b").alias(tb), F.col("_terms").alias(terms)))
     sent = F.broadcast(extra) if extra.limit(SENT_ROWS // 10 + 1).count() <= SENT_ROWS // 10 else extra
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_ka", F.xxhash64(text)).withColumn("_kb", F.xxhash64(F.lit(1), text))
-    joined = keyed.join(sent, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_ka") == F.col("_a")) & (F.col("_kb") == F.col("_b")), "left")
-    table = joined.select(*docs.columns, "_terms")
+    keyed = docs.withColumn(ka, F.xxhash64(text)).withColumn(kb, F.xxhash64(F.lit(1), text))
+    joined = keyed.join(sent, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)) & (F.col(ka) == F.col(ta)) & (F.col(kb) == F.col(tb)), "left")
+    table = joined.select(*docs.columns, terms)
     names, schema = docs.columns, docs.schema
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 

@@ -269,16 +269,17 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``evidence`` (ids of the nearest examples); other columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted", "evidence", "_text")]
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted", "evidence")]
     # a name that the schema may hold only once
-    table = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    schema = table.drop("_text").schema
+    given, = common.free(names, "_text")
+    table = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).alias(given))
+    schema = table.drop(given).schema
     for name, kind in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("evidence", T.ArrayType(T.LongType()))):
         schema = schema.add(name, kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in common.pieces(batches, "_text"):
+        for b in common.pieces(batches, given):
             found = m.vectors.counts(b.column(len(names)))
             out = [m.score(found.get(i)) for i in range(b.num_rows)]
             p = np.clip([o[0] for o in out], 0.0, 1.0)
