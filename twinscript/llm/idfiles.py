@@ -151,7 +151,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> Data
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.shared(tokenizer)
         seen = {"docs": 0, "tokens": 0, "first": None, "last": None}
 
         def records():

@@ -61,7 +61,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, waste:
     lengths = list(classes(capacity, waste))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), common.partition_id()
+        encoder, task = Encoder.shared(tokenizer), common.partition_id()
         of = {n: cuts(n, lengths) for n in range(capacity)}
         numbers = dict.fromkeys(lengths, 0)
         for b in common.pieces(batches):

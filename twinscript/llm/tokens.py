@@ -8,8 +8,11 @@ library in one call per batch.  Texts with any other white space go to the libra
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,12 @@ SPACES = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2
 OTHER_SPACE = re.compile(f"[{SPACES}]")
 #: Texts that are not plain words with one blank or line feed between them.
 ODD = f"[{SPACES}{FIRST}{MARK}]|  |\n\n| \n|\n |^[ \n]|[ \n]\\z"
-KEPT = 200_000
+#: Pieces that the tokenizer takes as one word: a blank and letters.
+WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+TRIED = (" the", " Strasse", " stra\u00dfe", " \u00e9t\u00e9", " Na\u00efvet\u00e9", " x", " QZXKJWV", " antidisestablishmentarianism")
+KEPT = 300_000
 PER_CALL = 64
+_SHARED: dict[str, Encoder] = {}
 
 
 def default_path() -> str:
@@ -40,6 +47,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_signs() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as themselves, the others by signs from 256 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Encoder:
     """``encode(texts)`` gives one array of unsigned 32-bit ids per text, as the library's own ``encode``."""
 
@@ -50,17 +63,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = kept
         self.known: dict[str, bytes] = {}
+        self.last: set[str] = set()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.blank[[i for t, i in vocabulary.items() if t[0] == BLANK]] = True
+        self.signs = byte_signs()
+        self.direct = [ids for _, ids in self._words(list(TRIED))] == self._library(list(TRIED))
         self.mark = next((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\n")
 
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """The encoder of this worker, which later tasks find with the words of earlier ones."""
+        if path not in _SHARED:
+            # a table of words is no garbage that would be worth looking through so often
+            gc.set_threshold(100_000)
+            _SHARED[path] = cls(path)
+        return _SHARED[path]
+
+    def _make_room(self, needed: set[str], new: int) -> None:
+        """Most words are met once; when the table is full, those of this batch and the one before stay, if that leaves enough room."""
+        if len(self.known) + new > self.kept:
+            stay = self.last | needed
+            if len(stay) > self.kept // 2:
+                stay = needed
+            self.known = {p: ids for p, ids in self.known.items() if p in stay}
+        self.last = needed
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _words(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces that are one word each, with their ids by the library's model alone."""
+        tokenize, signs = self.tokenizer.model.tokenize, self.signs
+        for p in pieces:
+            sign = BLANK + p[1:] if p.isascii() else "".join([signs[b] for b in p.encode()])
+            yield p, array("I", [t.id for t in tokenize(sign)]).tobytes()
+
     def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces, many pieces in one text of the library's."""
+        """Ids of new pieces: words by the model, if it agrees with the whole library on such, other pieces many in one text of the library's."""
+        if self.direct:
+            self.known.update(self._words([p for p in new if WORD.fullmatch(p)]))
+            new = [p for p in new if p not in self.known]
         spaced = [p for p in new if p[:1] == " " and p.rfind(" ") == 0 and "\n" not in p and self.mark not in p]
         at_once = set(spaced)
         rest = [p for p in new if p not in at_once]
@@ -96,8 +140,7 @@ class Encoder:
         for ps in rest:
             needed.update(ps or ())
         new = needed.difference(self.known)
-        if len(self.known) + len(new) > self.kept:
-            self.known = {p: self.known[p] for p in needed if p in self.known}
+        self._make_room(needed, len(new))
         self._learn(list(new))
         get = self.known.__getitem__
         found = [get(k) for k in keys]
