@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions import paths
@@ -91,6 +91,43 @@ def search(df: DataFrame, conditions: dict[str, str] | None = None, order: str |
     return out if full else out.select("path")
 
 
+class Pages:
+    """Records kept in order, so that a page reads only the ranges it lies in, however many records come before it.
+
+    ``path`` gets the records in folders, one per range of the order, and ``sizes`` is a row per range.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, order: str | None = None, descending: bool = False) -> Pages:
+        """Sort the records by a key and path once, and write them with their places."""
+        ordered = df if order is None else df.withColumn("_key", field(df, order))
+        keys = ["path"] if order is None else [F.col("_key").desc() if descending else F.col("_key"), "path"]
+        placed = ordered.orderBy(*keys).drop("_key").withColumn("_id", F.monotonically_increasing_id())
+        (placed.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+         .write.partitionBy("_range").parquet(f"{path}/rows"))
+        pages = cls(df.sparkSession, path)
+        rows = pages._rows()
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+        sizes.select("_range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).coalesce(1).write.parquet(f"{path}/sizes")
+        return pages
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def page(self, skip: int, limit: int) -> DataFrame:
+        """Records ``skip`` to ``skip + limit`` in order, read from the ranges that hold them."""
+        sizes = self.spark.read.parquet(f"{self.path}/sizes")
+        held = sizes.where((F.col("before") < skip + limit) & (F.col("before") + F.col("n") > skip)).collect()  # as many rows as the page spans
+        rows = self._rows().where(F.col("_range").isin([r["_range"] for r in held]))
+        starts = F.create_map(*[F.lit(x) for r in held for x in (r["_range"], r["before"])]) if held else F.create_map().cast("map<int,bigint>")
+        at = F.col("_place") + F.element_at(starts, F.col("_range").cast("int"))
+        return rows.withColumn("_at", at).where(F.col("_at").between(skip, skip + limit - 1)).orderBy("_at").drop("_at", "_place", "_range")
+
+
 def find(df: DataFrame, kind: str | None = None, below: str | None = None) -> DataFrame:
     """Resources of a type, optionally below a path."""
     out = under(df, below) if below else df

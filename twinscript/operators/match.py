@@ -195,28 +195,31 @@ def similar(wanted: DataFrame, names: DataFrame, max_edits: int | None = None) -
     """
     wanted = wanted.where(F.col("name").rlike(r"\p{L}")).distinct()
     # one file stands for a name, the smallest path
-    names = names.groupBy("slot", "lang", "name").agg(F.min("path").alias("path"))
+    names = cut_lineage(names.groupBy("slot", "lang", "name").agg(F.min("path").alias("path")))
     found = (wanted.join(names, ["slot", "lang", "name"])
              .select("slot", "name", "lang", F.lit(0).alias("distance"), "path",
                      F.col("name").alias("match")))
-    rest = wanted.join(found, ["slot", "name", "lang"], "left_anti")
+    rest = cut_lineage(wanted.join(found, ["slot", "name", "lang"], "left_anti"))
     for k in range(1, min(DELETED, DELETED if max_edits is None else max_edits) + 1):
+        asked = rest.where(_tolerance(F.col("name"), max_edits) >= k)
+        if asked.isEmpty():
+            break
         edits = F.lit(k).alias("edits")
-        left = _with_hashes(rest.where(_tolerance(F.col("name"), max_edits) >= k).select("slot", "lang", "name", edits),
-                            deletions, "name", "edits").drop("edits")
+        left = _with_hashes(asked.select("slot", "lang", "name", edits), deletions, "name", "edits").drop("edits")
         right = _with_hashes(names.select("slot", "lang", F.col("name").alias("match"), "path", edits), deletions, "match", "edits").drop("edits")
         hits = (left.join(right, ["slot", "lang", "variant"]).drop("variant").distinct()
                 .withColumn("distance", F.levenshtein("name", "match", k)).where("distance >= 0"))
-        best = (hits.groupBy("slot", "name", "lang")
-                .agg(F.min(F.struct("distance", "path", "match")).alias("b"))
-                .select("slot", "name", "lang", "b.*"))
+        best = cut_lineage(hits.groupBy("slot", "name", "lang")
+                           .agg(F.min(F.struct("distance", "path", "match")).alias("b"))
+                           .select("slot", "name", "lang", "b.*"))
         found = found.unionByName(best)
-        rest = rest.join(best, ["slot", "name", "lang"], "left_anti")
-    if max_edits is None or max_edits > DELETED:
-        far = _by_rare_grams(rest.where(_tolerance(F.col("name"), max_edits) > DELETED), names)
+        rest = cut_lineage(rest.join(best, ["slot", "name", "lang"], "left_anti"))
+    far = rest.where(_tolerance(F.col("name"), max_edits) > DELETED)
+    if (max_edits is None or max_edits > DELETED) and not far.isEmpty():
+        near = _by_rare_grams(far, names)
         if max_edits is not None:
-            far = far.where(F.col("distance") <= max_edits)
-        found = found.unionByName(far.groupBy("slot", "name", "lang").agg(
+            near = near.where(F.col("distance") <= max_edits)
+        found = found.unionByName(near.groupBy("slot", "name", "lang").agg(
             F.min(F.struct("distance", "path", "match")).alias("b")).select("slot", "name", "lang", "b.*"))
     return found
 
@@ -306,11 +309,11 @@ def _infix_pairs(docs: DataFrame, key: list[str], found: DataFrame, least: float
 
 def scored(resources: DataFrame, known: DataFrame, name: str = "basename",
            key: tuple[str, ...] = ("slot",), min_size: float = MIN_SIZE_RATIO,
-           min_name: float = MIN_NAME_MATCH) -> DataFrame:
+           min_name: float = MIN_NAME_MATCH, stretches: bool = True) -> DataFrame:
     """Candidate pairs with a score from name and size; known alignments score 1.
 
-    Names are equal; or both carry their language and are equal without it; or, for documents without such a partner in a
-    language, both carry it and differ in one more stretch.  Then the name score is the share of the full names' characters outside the
+    Names are equal; or both carry their language and are equal without it; or, with ``stretches`` and for documents without such a
+    partner in a language, both carry it and differ in one more stretch.  Then the name score is the share of the full names' characters outside the
     differing infixes.  Of documents with one name and language the last path counts.
     """
     codes = F.broadcast(L.codes(resources.sparkSession)).select(F.col("two").alias("lang"), "three", F.col("name").alias("name_en"))
@@ -326,9 +329,10 @@ def scored(resources: DataFrame, known: DataFrame, name: str = "basename",
     own = marked.select("path", "has", "bare")
     for side in ("src", "trg"):
         found = found.join(own.select(F.col("path").alias(f"{side}_path"), F.col("has").alias(f"{side}_has"), F.col("bare").alias(f"{side}_bare")), f"{side}_path")
-    loose = _infix_pairs(marked.where("has").drop("has"), list(key), found, min_name).withColumns(
-        {"kind": F.lit(2), "src_has": F.lit(True), "trg_has": F.lit(True)})
-    both = found.unionByName(loose)
+    both = found
+    if stretches:
+        both = found.unionByName(_infix_pairs(marked.where("has").drop("has"), list(key), found, min_name).withColumns(
+            {"kind": F.lit(2), "src_has": F.lit(True), "trg_has": F.lit(True)}))
     ins, inf = scores.infixes(F.col("src_bare"), F.col("trg_bare"))
     total = F.length("src_name") + F.length("trg_name")
     lengths = [F.length("src_path"), F.length("trg_path")]

@@ -293,6 +293,20 @@ def _(t):
     return updates.select("path", m["aligned_with"].alias("aligned_with"), m["status"].alias("status"))
 
 
+@query("alignment_records", S.with_tables(ONE_TO_ONE, r"""
+kinds AS (SELECT pair_id, CASE WHEN link_pos > src_size THEN '0:1' WHEN link_pos > trg_size THEN '1:0' ELSE '1:1' END AS kind, count(*) AS n FROM steps GROUP BY ALL),
+listed AS (SELECT pair_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS types FROM kinds GROUP BY pair_id)""", select="""
+SELECT split_part(src_path, '/', 1) || '/' || split_part(src_path, '/', 2) || '/xml/' || src_lang || '-' || trg_lang || '/' || basename AS path,
+  greatest(src_size, trg_size) AS size, src_path AS source, trg_path AS target, src_size AS src_sents, trg_size AS trg_sents, types
+FROM doc_pairs JOIN listed USING (pair_id)"""))
+def _(t):
+    """What the catalog records of each alignment."""
+    job = jobs.align_corpus(t.resources, t.documents, key=["slot", "basename"], method="one-to-one")
+    m = F.col("meta")
+    return job["records"].select("path", m["size"].cast("bigint").alias("size"), m["source-document"].alias("source"), m["target-document"].alias("target"),
+                                 m["nr-source-sents"].cast("bigint").alias("src_sents"), m["nr-target-sents"].cast("bigint").alias("trg_sents"), m["link-types"].alias("types"))
+
+
 @query("realign_unaligned_only", S.with_tables(S.PAIRS, select="""
 SELECT pair_id FROM doc_pairs d WHERE NOT EXISTS (
   SELECT 1 FROM doc_pairs x WHERE x.src_doc % 2 = 0 AND x.src_path = d.src_path AND x.trg_lang = d.trg_lang)"""))

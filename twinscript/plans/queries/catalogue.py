@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinscript.functions import lang as L
@@ -9,6 +10,7 @@ from twinscript.functions import paths
 from twinscript.operators import acl, bitext, catalog
 from twinscript.plans import sqltables as S
 from twinscript.plans.registry import query
+from twinscript.session import scratch
 
 USER = "user3"
 
@@ -61,6 +63,18 @@ def _(t):
                           full=True).select("path", "size")
 
 
+@query("deep_pages", S.with_tables(S.METADATA, select="""
+SELECT path, size, row_number() OVER (ORDER BY size DESC NULLS LAST, path) - 1 AS place FROM metadata QUALIFY place BETWEEN 60 AND 84 OR place BETWEEN 150 AND 160"""))
+def _(t):
+    """Two pages far from the start, each read from the ranges that hold it."""
+    typed = t.metadata.withColumn("size", F.col("meta")["size"].cast("bigint")).select("path", "size", "meta").repartition(8)
+    pages = catalog.Pages.build(typed, scratch(t.spark, "pages"), order="size", descending=True)
+    def numbered(skip, limit):
+        return pages.page(skip, limit).select("path", "size").withColumn("place", F.lit(skip) + F.row_number().over(
+            Window.orderBy(F.col("size").desc(), "path")) - 1)
+    return numbered(60, 25).unionByName(numbered(150, 11)).withColumn("place", F.col("place").cast("bigint"))
+
+
 @query("list_full_records", S.with_tables(S.METADATA, select="""
 SELECT path, gid, owner, keywords FROM metadata WHERE lang = 'de'"""))
 def _(t):

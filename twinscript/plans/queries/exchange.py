@@ -569,3 +569,68 @@ def _(t):
     cut = align.within_boundaries(units, pairs.join(best, "pair_id"))
     return cut.select("pair_id", F.col("src_from").cast("bigint").alias("src_from"), F.col("trg_from").cast("bigint").alias("trg_from"),
                       F.size("src_lens").cast("bigint").alias("src_n"), F.size("trg_lens").cast("bigint").alias("trg_n"))
+
+
+# Whole jobs on folders of mixed files.
+
+def _name():
+    """The name a file was written under: Spark encodes it for the folder, and the folder for its URI."""
+    return F.url_decode(F.url_decode(F.regexp_extract("file", r"file=([^/]+)/", 1)))
+
+
+@query("intake_of_mixed_folder", S.with_tables(S.BITEXT, S.LINES, select="""
+SELECT 'm' || conv_id % 3 || '.tmx' AS path, 'tmx' AS format, CAST(2 * count(*) AS BIGINT) AS records, 'ok' AS outcome FROM bitext GROUP BY conv_id % 3
+UNION ALL SELECT 'corpus' || doc_id % 4 || '.xml', 'xml', count(*), 'ok' FROM lines GROUP BY doc_id % 4
+UNION ALL SELECT 'memory.xml', 'tmx', CAST(2 * count(*) AS BIGINT), 'ok' FROM bitext
+UNION ALL SELECT 'moses/lines.en', 'moses', count(*), 'ok' FROM bitext
+UNION ALL SELECT 'broken.tmx', NULL, 0, 'failed' UNION ALL SELECT 'empty.xlf', NULL, 0, 'empty'"""))
+def _(t):
+    """Memories in UTF-16, corpus files, a memory under another suffix, line files, a broken and an empty file, each read by what fits."""
+    path = scratch(t.spark, "mixed")
+    def seg(lang, c):
+        return F.concat(F.lit(f'<tuv xml:lang="{lang}"><seg>'), _shown(F.col(c)), F.lit("</seg></tuv>"))
+    unit = F.concat(F.lit('<tu tuid="'), "pair_id", F.lit('">'), seg("en", "src_text"), seg("fr", "trg_text"), F.lit("</tu>"))
+    def memory(file, charset):
+        writers.write_framed(t.bitext.select(file.alias("file"), "pair_id", unit.alias("line")), f"{path}/{charset}", ["pair_id"],
+                             F.lit("\ufeff<tmx><body>"), F.lit("</body></tmx>"), charset)
+    memory(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string"), F.lit(".tmx")), "UTF-16LE")
+    memory(F.lit("memory.xml"), "UTF-8")
+    corpus = t.sentences.select(F.concat(F.lit("corpus"), (F.col("doc_id") % 4).cast("string"), F.lit(".xml")).alias("file"),
+                                F.col("doc_id").cast("string").alias("para_id"), "sent_pos", "lang", "text")
+    writers.corpus_xml(corpus, f"{path}/corpus")
+    lines = t.bitext.select(F.lit("moses/lines.en").alias("file"), "pair_id", writers.plain_line(F.col("src_text")).alias("line"))
+    lines.select("file", "line").write.partitionBy("file").text(f"{path}/lines")
+    one = t.spark.createDataFrame([("broken.tmx", "<tmx><tu><tuv><seg>x</tuv></tu></tmx>"), ("empty.xlf", "<xliff></xliff>")], "file string, line string")
+    one.write.partitionBy("file").text(f"{path}/bad")
+    out = jobs.intake(t.spark, path, lang=F.lit("en"), name=_name())["outcomes"]
+    # lines were written in several files of one name
+    return out.groupBy("path", "format", "outcome").agg(F.sum("records").alias("records"))
+
+
+TREE = S.PAIRS + r""",
+named AS (SELECT d.*, src_lang || '-' || trg_lang || '/' || slot || '.' || basename AS alg FROM doc_pairs d),
+algs AS (SELECT alg, src_lang || ',' || trg_lang AS language, CAST(sum(least(src_size, trg_size)) AS BIGINT) AS size FROM named WHERE src_size > 0 AND trg_size > 0 GROUP BY ALL),
+declared AS (SELECT src_doc AS doc FROM named WHERE src_size > 0 AND trg_size > 0 UNION SELECT trg_doc FROM named WHERE src_size > 0 AND trg_size > 0)"""
+
+
+@query("load_tree_from_files", S.with_tables(TREE, select="""
+SELECT 'r/u/xml/' || alg AS path, 'sentalign' AS kind, language, size FROM algs
+UNION ALL SELECT 'r/u/xml/' || lang || '/' || doc_id || '.xml', 'corpusfile', lang, size FROM resources JOIN declared ON doc = doc_id WHERE doc_id % 9 <> 0"""))
+def _(t):
+    """Alignment files and the documents they declare, written as a tree and loaded; every ninth document is in the catalog already."""
+    path = scratch(t.spark, "tree")
+    def doc(lang, number):
+        return F.concat_ws("/", lang, F.concat(F.col(number).cast("string"), F.lit(".xml")))
+    named = t.doc_pairs.select("pair_id", F.concat(F.concat_ws("-", "src_lang", "trg_lang"), F.lit("/"), "slot", F.lit("."), "basename").alias("file"),
+                         doc("src_lang", "src_doc").alias("src_path"), doc("trg_lang", "trg_doc").alias("trg_path"))
+    links = align.one_to_one(t.doc_pairs).where((F.size("src_ids") > 0) & (F.size("trg_ids") > 0)).join(named, "pair_id").select(
+        "file", "src_path", "trg_path", "link_pos", F.transform("src_ids", lambda x: x.cast("string")).alias("src_ids"),
+        F.transform("trg_ids", lambda x: x.cast("string")).alias("trg_ids"), "score")
+    writers.xces(links, f"{path}/a")
+    text = t.sentences.select(F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".xml"))).alias("file"), F.lit("1").alias("para_id"),
+                              "sent_pos", "lang", "text")
+    writers.corpus_xml(text, f"{path}/d")
+    known = t.resources.where("doc_id % 9 = 0").select(F.concat(F.lit("r/u/xml/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("path"))
+    m = F.col("meta")
+    return jobs.load_tree(t.spark, path, known, "r/u", _name())["records"].select(
+        "path", m["resource-type"].alias("kind"), m["language"].alias("language"), m["size"].cast("bigint").alias("size"))

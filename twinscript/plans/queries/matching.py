@@ -149,10 +149,33 @@ FROM rated WHERE size_match >= 0.7 AND name_match >= 0.9
 UNION ALL SELECT src_path, trg_path, NULL, NULL, 1.0::DOUBLE, TRUE FROM known"""))
 def _(t):
     known = t.doc_pairs.where("src_doc % 4 = 0")
-    out = match.scored(t.resources, known, "name")
+    out = match.scored(t.resources, known, "name", stretches=False)
     return out.select("src_path", "trg_path", *[F.round(c, 9).alias(c) for c in ("name_match", "size_match", "match")], "aligned")
 
 
+@query("scored_candidates_by_stretch")
+def _(t):
+    """With names that differ in one more stretch; which of several equally near documents stands for them has no SQL, tests compare small sets."""
+    out = match.scored(t.resources, t.doc_pairs.where("src_doc % 4 = 0"), "name")
+    return out.select("src_path", "trg_path", *[F.round(c, 9).alias(c) for c in ("name_match", "size_match", "match")], "aligned")
+
+
+@query("families_without_languages", S.with_tables(S.RESOURCES + STRIPPED, r"""
+langs AS (SELECT DISTINCT lang FROM resources),
+asked AS (SELECT DISTINCT r.slot, 'Part ' || r.nr || ' English-fra' AS family, l.lang FROM resources r JOIN langs l ON l.lang NOT IN ('en', 'fr')),
+one AS (SELECT slot, lang, lower(stripped) AS name, max(path) AS path FROM (SELECT slot, lang, path, stripped FROM stripped) GROUP BY ALL)""", select="""
+SELECT a.slot, a.family, a.lang, o.path FROM asked a JOIN one o ON o.slot = a.slot AND o.lang = a.lang AND o.name = lower(replace(a.family, ' English-fra', ''))"""))
+def _(t):
+    """Families named after two of their languages, and the documents of the others whose names are the same without any."""
+    family = F.concat(F.lit("Part "), F.col("nr").cast("string"), F.lit(" English-fra"))
+    lower = t.resources.withColumn("name", F.lower("name"))
+    asked = t.resources.select("slot", family.alias("family"), F.array(F.lit("en"), F.lit("fr")).alias("langs")).distinct().join(
+        t.resources.select("lang").distinct().where("lang not in ('en', 'fr')"))
+    named = asked.withColumn("family", F.lower("family"))
+    found = match.without_languages(named, lower, "name")
+    return found.select("slot", F.concat(F.lit("Part "), F.regexp_extract("family", r"(\d+)", 1), F.lit(" English-fra")).alias("family"), "lang", "path")
+
+
 # -- links between pages --------------------------------------------------------------------
 
 def _pages(t):
