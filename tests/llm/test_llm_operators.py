@@ -465,4 +465,4 @@ def test_pipeline_on_given_tables(spark):
 
 
 def test_contracts_on_given_tables(spark):
-    assert set(queries.SQL) <= set(queries.QUERIES) and {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == {str(n) for n in range(1, 11)}
+    assert set(queries.SQL) <= set(queries.QUERIES) and {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == {str(n) for n in range(1, 14)}
