@@ -42,6 +42,8 @@ def test_sentences(spark):
         "The U.S. Army came. 12 men left.": ["The U.S. Army came.", "12 men left."],
         'He said "Stop!" Then he ran.': ['He said "Stop!"', "Then he ran."],
         "Wait... What? (Really.) Yes": ["Wait...", "What?", "(Really.)", "Yes"],
+        "Really? ' Yes\" (No.) 'Maybe' ... No.. Well": ["Really? '", "Yes\" (No.)", "'Maybe' ...", "No..", "Well"],
+        "Stop! ¿Qué? \" Sí. «Ya» no! no": ["Stop!", "¿Qué? \"", "Sí.", "«Ya» no! no"],
         "end of line\nnext line. small letter": ["end of line", "next line. small letter"],
         "": [],
     }

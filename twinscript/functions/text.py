@@ -145,13 +145,18 @@ def _by_language(lang: Column, fn: Callable[[str], Column]) -> Column:
     return fn("en") if out is None else out.otherwise(fn("en"))
 
 
+# A sentence is over at blanks between an ending mark and a capital.  Closing marks after the ending mark make it sure, whatever opens the next
+# sentence; so does a mark that can only end a sentence, or more than one period; a single period needs an opening mark before the capital.
+CAPITAL = r"\p{Lu}"
+BOUNDARY = "|".join([
+    rf"([?!.] *{CLOSING}+) +(?={OPENING}* *{CAPITAL})",
+    rf"([?!]|\.\.) +(?={OPENING}*{CAPITAL})",
+    rf"([?!.]) +(?={OPENING}+ *{CAPITAL})"])
+
+
 def _rules_splitter(text: Column, lang: Column) -> Column:
     c = _tidy(F.regexp_replace(text, r"(?U)^\s+", ""))
-    start = rf"{OPENING}*\p{{Lu}}"
-    c = F.regexp_replace(c, rf"([?!]) +({start})", "$1\n$2")
-    c = F.regexp_replace(c, rf"(\.\.+) +({start})", "$1\n$2")
-    c = F.regexp_replace(c, rf"([?!.] *{CLOSING}+) +({OPENING}* *\p{{Lu}})", "$1\n$2")
-    c = F.regexp_replace(c, rf"([?!.]) +({OPENING}+ *\p{{Lu}})", "$1\n$2")
+    c = F.regexp_replace(c, BOUNDARY, "$1$2$3\n")
     # the blank after an acronym of any length ends nothing
     c = F.regexp_replace(c, r"(\.[\p{Lu}\-]+\.+) ", f"$1{HELD}")
     c = _by_language(lang, lambda code: F.regexp_replace(c, _period_rule(code), "\n"))

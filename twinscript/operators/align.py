@@ -334,12 +334,12 @@ OVERLAP_GAIN, MIN_TRANSLATION = 5.0, 0.1
 
 
 def sentence_overlap(words: DataFrame, pairs: DataFrame, table: DataFrame | None = None,
-                     band: int = BAND) -> DataFrame:
+                     band: int = BAND, least: float = MIN_TRANSLATION) -> DataFrame:
     """``pair_id, i, j, overlap``: share of words two sentences near the diagonal have in common.
 
     ``words`` holds ``(doc, sent_pos, word)`` once each; ``pairs`` the sizes of both documents.  With
-    a lexicon ``table(src, trg, p)`` words meet through their translations, each counting as much
-    as it is probable.  Like ``anchors`` a band join: positions are bucketed by the band.
+    a lexicon ``table(src, trg, p)`` words meet through their translations of probability ``least`` or more, each counting as much
+    as it is probable; 0 takes all of them.  Like ``anchors`` a band join: positions are bucketed by the band.
     """
     width = 2 * band + 1
     count = words.groupBy("doc", "sent_pos").agg(F.count(F.lit(1)).alias("n"))
@@ -349,7 +349,7 @@ def sentence_overlap(words: DataFrame, pairs: DataFrame, table: DataFrame | None
             .select("pair_id", F.col("sent_pos").alias("i"), F.col("n").alias("src_n"), "word",
                     (F.col("sent_pos") * F.col("slope")).alias("middle")))
     if table is not None:
-        strong = table.where(F.col("p") >= MIN_TRANSLATION).select(F.col("src").alias("word"), "trg", "p")
+        strong = table.where(F.col("p") >= least).select(F.col("src").alias("word"), "trg", "p")
         left = left.join(strong, "word").drop("word").withColumnRenamed("trg", "word")
     else:
         left = left.withColumn("p", F.lit(1.0))
