@@ -149,8 +149,9 @@ def disclosing_spans(docs: DataFrame, found: DataFrame, support: int = 2, disclo
     if terms.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         terms = F.broadcast(terms)
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    of_term = docs.select(F.explode(F.array_distinct(F.split(lowered, BETWEEN))).alias("term")).join(terms, "term", "left_semi").groupBy(
-        "term").agg(F.count(F.lit(1)).alias("n_term"))
+    # words are counted before they are looked up: the terms asked for grow with the corpus, and so would the rows of a look-up
+    of_term = docs.select(F.explode(F.array_distinct(F.split(lowered, BETWEEN))).alias("term")).groupBy(
+        "term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
     rated = (joint.join(of_entity, "entity").join(of_term, "term").withColumn("n_docs", F.lit(found.count()))
              .withColumn("pmi", F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity"))))
              .withColumn("ic", F.log2(F.col("n_docs") / F.col("n_entity"))))
