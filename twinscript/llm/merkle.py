@@ -170,11 +170,10 @@ def proofs(leaves: DataFrame, group: str, order: list[str], leaf: str, arity: in
     tops = tiers[-1].select(F.lit(0).cast("bigint").alias("g"), (F.col("g") - 1).alias("i"), "digest", F.lit(groups).cast("bigint").alias("n"))
     upper = build(tops, arity, levels)
     start = spark.createDataFrame([(0, [])], f"g bigint, steps {STEPS}")
-    roots = upper[-1].select(F.col("digest").alias("root"))
+    root = upper[-1].select("digest").first()  # one row, or none
     asked = descend(upper, start, tops.select("g", "i", "n"), arity, levels)
-    # one root row
-    above = cut_lineage(asked.crossJoin(F.broadcast(roots)).select(
-        (F.col("i") + 1).alias("g"), "steps", F.col("digest").alias("subroot"), "root"))
+    above = cut_lineage(asked.select((F.col("i") + 1).alias("g"), "steps", F.col("digest").alias("subroot"),
+                                     F.lit(root and root[0]).cast("string").alias("root")))
     return descend(tiers, above, placed, arity, levels).drop("g", "i", "n", "digest")
 
 
