@@ -169,8 +169,8 @@ def _(t):
     """Families named after two of their languages, and the documents of the others whose names are the same without any."""
     family = F.concat(F.lit("Part "), F.col("nr").cast("string"), F.lit(" English-fra"))
     lower = t.resources.withColumn("name", F.lower("name"))
-    asked = t.resources.select("slot", family.alias("family"), F.array(F.lit("en"), F.lit("fr")).alias("langs")).distinct().join(
-        t.resources.select("lang").distinct().where("lang not in ('en', 'fr')"))
+    asked = t.resources.select("slot", family.alias("family"), F.array(F.lit("en"), F.lit("fr")).alias("langs"),
+                               F.explode(F.array(F.lit("de"), F.lit("es"))).alias("lang")).distinct()
     named = asked.withColumn("family", F.lower("family"))
     found = match.without_languages(named, lower, "name")
     return found.select("slot", F.concat(F.lit("Part "), F.regexp_extract("family", r"(\d+)", 1), F.lit(" English-fra")).alias("family"), "lang", "path")
