@@ -24,6 +24,54 @@ def test_piecewise_ids_equal_the_library():
             x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+class Counting:
+    """A tokenizer that notes the texts it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_words_go_to_the_model_alone_wherever_they_stand():
+    e = tokens.Encoder(tokens.default_path())
+    e.tokenizer = Counting(e.tokenizer)
+    library = Tokenizer.from_file(tokens.default_path())
+    texts = ["Erste w\u00f6rter%%% stehen*** hier.%%%\nZeilen beginnen, \"enden\" (so)\nund", "Andere### ja&&&\nDritte"]
+    ids, bounds = e.encode(pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [x.ids for x in library.encode_batch(texts)]
+    # a mark before a word makes it no plain one
+    assert {c for t in e.tokenizer.asked for c in t if c.isalpha()} == set("enden" "so")
+
+
+def test_frequent_words_stay_in_a_full_table():
+    e = tokens.Encoder(tokens.default_path(), kept=100)
+    library = Tokenizer.from_file(tokens.default_path())
+    often, rare = " of the and", (f" {a}{b}" for a in "bcdfghjklmnp" for b in "aeioubcdfghjklmnpqrstvwxyz")
+    for at in range(12):
+        text = "x" + "".join(next(rare) for _ in range(25)) + often * (at < 4)
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text).ids and len(e.known) <= 100
+        assert at < 3 or at > 6 or {p.strip() for p in often.split()} <= {p.strip() for p in e.known}
+
+
+@pytest.mark.parametrize("kept", [40, 300_000])
+def test_marks_lines_and_added_tokens_beside_words(kept):
+    e, r = tokens.Encoder(tokens.default_path(), kept=kept), random.Random(5)
+    library = Tokenizer.from_file(tokens.default_path())
+    alphabet = ["word", "Stra\u00dfe", " ", " ", "\n", "'", "'s", "''", "%%%", ".%%%", "***", "<|endoftext|>", "<|", "|>", "12", "_", "\u00e9", "\u4e2d", "\u0301", "\u0120", "\u010a"]
+    for _ in range(20):
+        texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(200)]
+        ids, bounds = e.encode(pa.array(texts))
+        assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [
+            x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pieces_fill_their_classes():
     of = packing.classes(1024)
     assert list(of)[0] == 1024 and list(of)[-1] == 1 and all(1024 - n * j <= 4 for n, j in of.items())
