@@ -12,10 +12,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions.scores import (MAX_COST, MEAN, PRIORS, TAIL, TAIL_DENSITY, TAIL_SCALE, VARIANCE)
+from twinscript.operators import meeting
 from twinscript.session import cut_lineage, spread
 from twinscript.sources import markup
 
@@ -305,27 +307,39 @@ def anchors(src: DataFrame, trg: DataFrame, pairs: DataFrame, window: int = ANCH
             letters: int = ANCHOR_LETTERS) -> DataFrame:
     """Sentence pairs at most ``window`` positions apart that share a long word.
 
-    ``src``/``trg`` hold ``(doc, sent_pos, word)`` once each.  The band join buckets positions by
-    the window, so a word that fills a document meets its neighbours only, never all of them.
+    ``src``/``trg`` hold ``(doc, sent_pos, word)`` once each.  Words travel by document; a word that
+    fills a document meets its neighbours only, never all of them.
     Of the hits of a source sentence the nearest target counts, and of those the first.
     """
-    width = 2 * window - 1
-    left = (pairs.select("pair_id", F.col("src_doc").alias("doc"))
-            .join(src.where(F.length("word") >= letters), "doc")
-            .select("pair_id", "word", F.col("sent_pos").alias("src_pos"),
-                    F.explode(F.array(*[(F.floor(F.col("sent_pos") / width) + d) for d in (-1, 0, 1)])).alias("bucket")))
-    right = (pairs.select("pair_id", F.col("trg_doc").alias("doc"))
-             .join(trg.where(F.length("word") >= letters), "doc")
-             .select("pair_id", "word", F.col("sent_pos").alias("trg_pos"),
-                     F.floor(F.col("sent_pos") / width).alias("bucket")))
-    apart = F.abs(F.col("src_pos") - F.col("trg_pos"))
-    hits = left.join(right, ["pair_id", "word", "bucket"]).where(apart < window)
-    near = hits.groupBy("pair_id", "src_pos").agg(F.min(F.struct(apart.alias("apart"), "trg_pos", "word")).alias("m"))
-    # keep the order: a sentence may anchor only behind all anchors before it
-    before = Window.partitionBy("pair_id").orderBy("src_pos").rowsBetween(Window.unboundedPreceding, -1)
-    nearest = near.select("pair_id", "src_pos", "m.trg_pos", "m.word")
-    return (nearest.withColumn("_last", F.max("trg_pos").over(before))
-            .where(F.col("_last").isNull() | (F.col("trg_pos") > F.col("_last"))).drop("_last"))
+    kinds = dict(pairs.dtypes)["pair_id"], dict(src.dtypes)["sent_pos"], dict(trg.dtypes)["sent_pos"]
+
+    def nearest(met: meeting.Met) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros((4, 0), np.int64)]
+        for a, b in met.hits(window, met.pos.astype(float)):
+            apart = np.abs(met.pos[a] - met.pos[b])
+            near = apart < window
+            a, b, apart = a[near], b[near], apart[near]
+            by = np.lexsort((met.word[a], met.pos[b], apart, met.pos[a], met.pair[a]))
+            rows = np.stack([met.pair[a], met.pos[a], met.pos[b], met.word[a]])[:, by]
+            found.append(rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])] if len(by) else rows)
+        rows = np.concatenate(found, axis=1)
+        by = np.lexsort((rows[3], rows[2], np.abs(rows[1] - rows[2]), rows[1], rows[0]))
+        rows = rows[:, by]
+        if not len(by):
+            return
+        pair, i, j, word = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])]
+        # keep the order: a sentence may anchor only behind all anchors before it
+        low, high = int(j.min()), int(j.max()) + 2
+        ahead = pair * (high - low) + j - low + 1
+        last = np.maximum(np.concatenate([[-1], np.maximum.accumulate(ahead)[:-1]]), pair * (high - low))
+        kept = ahead > last
+        yield pa.RecordBatch.from_pydict({"pair_id": met.ids.take(pa.array(pair[kept])), "src_pos": pa.array(i[kept]), "trg_pos": pa.array(j[kept]),
+                                          "word": met.words.take(pa.array(word[kept])).cast(pa.string())})
+
+    long = src.where(F.length("word") >= letters)
+    hits = meeting.meet(long, long if src is trg else trg.where(F.length("word") >= letters), pairs, nearest,
+                        f"pair_id {kinds[0]}, src_pos bigint, trg_pos bigint, word string")
+    return hits.select("pair_id", F.col("src_pos").cast(kinds[1]).alias("src_pos"), F.col("trg_pos").cast(kinds[2]).alias("trg_pos"), "word")
 
 
 # what a full overlap of words takes off the cost of a link, and the weakest translation that counts:
@@ -339,20 +353,43 @@ def sentence_overlap(words: DataFrame, pairs: DataFrame, table: DataFrame | None
 
     ``words`` holds ``(doc, sent_pos, word)`` once each; ``pairs`` the sizes of both documents.  With
     a lexicon ``table(src, trg, p)`` words meet through their translations of probability ``least`` or more, each counting as much
-    as it is probable; 0 takes all of them.  Like ``anchors`` a band join: positions are bucketed by the band.
+    as it is probable; 0 takes all of them, in a band join on buckets of positions.  Without one, words travel by document as in ``anchors``.
     """
+    slope = F.col("trg_size") / F.greatest("src_size", F.lit(1))
+    if table is None:
+        kinds = dict(pairs.dtypes)["pair_id"], dict(words.dtypes)["sent_pos"]
+
+        def shared(met: meeting.Met) -> Iterator[pa.RecordBatch]:
+            middle = met.pos * met.slope
+            found = []
+            for a, b in met.hits(band, middle):
+                near = np.abs(middle[a] - met.pos[b]) <= band
+                a, b = a[near], b[near]
+                if not len(a):
+                    continue
+                by, starts = met.order(met.pair[a], met.pos[a], met.pos[b])
+                one = by[starts]
+                found.append((met.pair[a[one]], met.pos[a[one]], met.pos[b[one]], np.diff(np.append(starts, len(by))), np.maximum.reduceat(np.maximum(met.n[a], met.n[b])[by], starts)))
+            if not found:
+                return
+            pair, i, j, hits, most = (np.concatenate(c) for c in zip(*found))
+            by, starts = met.order(pair, i, j)
+            pair, i, j = (c[by[starts]] for c in (pair, i, j))
+            share = np.add.reduceat(hits[by].astype(float), starts) / np.maximum.reduceat(most[by], starts)
+            for at in range(0, len(starts), FLUSH):
+                some = slice(at, at + FLUSH)
+                yield pa.RecordBatch.from_pydict({"pair_id": met.ids.take(pa.array(pair[some])), "i": pa.array(i[some]), "j": pa.array(j[some]), "overlap": pa.array(share[some])})
+
+        met = meeting.meet(words, words, pairs, shared, f"pair_id {kinds[0]}, i bigint, j bigint, overlap double", slope)
+        return met.select("pair_id", F.col("i").cast(kinds[1]).alias("i"), F.col("j").cast(kinds[1]).alias("j"), "overlap")
     width = 2 * band + 1
     count = words.groupBy("doc", "sent_pos").agg(F.count(F.lit(1)).alias("n"))
-    slope = F.col("trg_size") / F.greatest("src_size", F.lit(1))
     named = words.join(count, ["doc", "sent_pos"])
     left = (pairs.select("pair_id", F.col("src_doc").alias("doc"), slope.alias("slope")).join(named, "doc")
             .select("pair_id", F.col("sent_pos").alias("i"), F.col("n").alias("src_n"), "word",
                     (F.col("sent_pos") * F.col("slope")).alias("middle")))
-    if table is not None:
-        strong = table.where(F.col("p") >= least).select(F.col("src").alias("word"), "trg", "p")
-        left = left.join(strong, "word").drop("word").withColumnRenamed("trg", "word")
-    else:
-        left = left.withColumn("p", F.lit(1.0))
+    strong = table.where(F.col("p") >= least).select(F.col("src").alias("word"), "trg", "p")
+    left = left.join(strong, "word").drop("word").withColumnRenamed("trg", "word")
     middle = F.floor(F.col("middle") / width)
     left = left.withColumn("bucket", F.explode(F.array(middle - 1, middle, middle + 1)))
     right = (pairs.select("pair_id", F.col("trg_doc").alias("doc")).join(named, "doc")
