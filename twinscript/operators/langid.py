@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -77,6 +77,9 @@ def _model_table(models: DataFrame) -> tuple[list[str], dict[str, int], np.ndarr
     return langs, grams, ranks
 
 
+_SPLIT = re.compile(r"[0-9\s]+", re.ASCII)
+
+
 @lru_cache(maxsize=50_000)
 def word_ngrams(word: str) -> tuple[str, ...]:
     w = f"_{word}_"
@@ -85,12 +88,100 @@ def word_ngrams(word: str) -> tuple[str, ...]:
 
 def top_ngrams(text: str) -> list[str]:
     """The ranked n-grams of one text, as ``rank`` orders them."""
-    words = filter(None, re.split(r"[0-9\s]+", text, flags=re.ASCII))
+    words = filter(None, _SPLIT.split(text))
     counts = Counter(chain.from_iterable(map(word_ngrams, words)))
     least = sorted(counts.values(), reverse=True)[TOP - 1] if len(counts) > TOP else 0
     return [g for _, g in sorted([(-n, g) for g, n in counts.items() if n >= least])[:TOP]]
 
 
+# words whose n-grams are counted together, a text at least
+TOGETHER = 1 << 17
+
+
+def _together(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts in order, some at a time: their words, and how many each has."""
+    words, sizes = [], []
+    for text in texts:
+        own = [w for w in _SPLIT.split(text) if w]
+        if sizes and len(words) + len(own) > TOGETHER:
+            yield words, np.array(sizes)
+            words, sizes = [], []
+        words += own
+        sizes.append(len(own))
+    if sizes:
+        yield words, np.array(sizes)
+
+
+def _cut(words: list[str], grams: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all words as places in alphabetical order, how many each word has, and which of ``grams`` each is (-1 if none)."""
+    padded = [f"_{w}_" for w in words]
+    signs, code = np.unique(np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+    base = len(signs) + 1
+    if base ** LONGEST >= 1 << 63:
+        cut = [word_ngrams(w) for w in words]
+        names = sorted(set(chain.from_iterable(cut)))
+        place = {g: i for i, g in enumerate(names)}
+        return (np.array([place[g] for own in cut for g in own], np.int64), np.array([len(own) for own in cut], np.int64),
+                np.array([grams.get(g, -1) for g in names], np.int64))
+    # an n-gram is a number with a digit per sign, and zeros behind, so numbers have the order of n-grams
+    size = np.array([len(w) for w in padded], np.int64)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))
+    digits = np.concatenate([code + 1, np.zeros(LONGEST, np.int64)])
+    found, total = np.zeros((len(code), LONGEST), np.int64), np.zeros(len(code), np.int64)
+    for k in range(LONGEST):
+        total = total + digits[k:k + len(code)] * base ** (LONGEST - 1 - k)
+        found[:, k] = total
+    names, flat = np.unique(found[np.arange(LONGEST) < left[:, None]], return_inverse=True)
+    ends = np.cumsum(np.minimum(left, LONGEST))[np.cumsum(size) - 1] if len(size) else np.zeros(0, np.int64)
+    model = np.full(len(names), -1, np.int64)
+    known = {int(c): d + 1 for d, c in enumerate(signs)}
+    for gram, number in grams.items():
+        own = [known.get(ord(c), 0) for c in gram]
+        if all(own) and 0 < len(own) <= LONGEST:
+            want = sum(d * base ** (LONGEST - 1 - k) for k, d in enumerate(own))
+            at = int(np.searchsorted(names, want))
+            if at < len(names) and names[at] == want:
+                model[at] = number
+    return flat, np.diff(ends, prepend=0), model
+
+
+def _rated(words: list[str], sizes: np.ndarray, grams: dict[str, int], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each text to each model, and whether they share an n-gram.
+
+    The n-grams of a text are ranked as by ``top_ngrams``; those of all texts are counted by sorting one array of numbers.
+    """
+    numbers: dict[str, int] = {}
+    code = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    flat, n, model = _cut(list(numbers), grams)
+    total, n_names = len(sizes), max(1, len(model))
+
+    def split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted numbers once each, and how often."""
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+        return keys[starts], np.diff(np.append(starts, len(keys)))
+
+    text = np.repeat(np.arange(total), sizes)
+    each = n[code] if len(code) else np.zeros(0, np.int64)
+    first = (np.cumsum(n) - n)[code] if len(code) else np.zeros(0, np.int64)
+    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - first, each)
+    keys, count = split(np.sort(np.repeat(text, each) * n_names + flat[at]))
+    text, gram = keys // n_names, keys % n_names
+    most = int(count.max(initial=0)) + 1
+    # by text, then the most frequent first, equal ones by n-gram
+    order = np.sort((text * most + (most - 1 - count)) * n_names + gram)
+    text, gram = order // (most * n_names), order % n_names
+    have = np.bincount(text, minlength=total)
+    rank = np.arange(len(order)) - (np.cumsum(have) - have)[text] + 1
+    known = np.flatnonzero((rank <= TOP) & (model[gram] >= 0)) if len(order) else np.zeros(0, int)
+    theirs, text = ranks[model[gram[known]]], text[known]
+    saved, seen = np.zeros((total, ranks.shape[1]), np.int64), np.zeros((total, ranks.shape[1]), bool)
+    if len(known):
+        starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        saved[text[starts]] = np.add.reduceat(np.where(theirs > 0, TOP - np.abs(theirs - rank[known][:, None]), 0), starts, axis=0)
+        seen[text[starts]] = np.maximum.reduceat(theirs, starts, axis=0) > 0
+    return np.minimum(have, TOP)[:, None] * TOP - saved, seen
+
+
 _DISTANCES = T.ArrayType(T.StructType([T.StructField("distance", T.LongType()), T.StructField("model", T.StringType())]))
 
 
@@ -106,19 +197,10 @@ def _measured(texts: DataFrame, models: DataFrame, text: str) -> Column:
     def measure(column: pd.Series) -> pd.Series:
         langs, grams, ranks = shared.value
         out = []
-        for value in column:
-            mine = top_ngrams(value or "")
-            known = [(grams[g], r) for r, g in enumerate(mine, 1) if g in grams]
-            if not known:
-                out.append([])
-                continue
-            at, place = (np.array(x) for x in zip(*known))
-            theirs = ranks[at]
-            saved = np.where(theirs > 0, TOP - np.abs(theirs - place[:, None]), 0).sum(axis=0)
-            seen = (theirs > 0).any(axis=0)
-            total = len(mine) * TOP - saved
-            out.append(sorted(({"distance": int(total[i]), "model": langs[i]} for i in np.flatnonzero(seen)),
-                              key=lambda d: (d["distance"], d["model"])))
+        for words, sizes in _together([value or "" for value in column]):
+            for far, seen in zip(*_rated(words, sizes, grams, ranks), strict=True):
+                out.append(sorted(({"distance": int(far[i]), "model": langs[i]} for i in np.flatnonzero(seen)),
+                                  key=lambda d: (d["distance"], d["model"])))
         return pd.Series(out)
 
     # so marked, the plan keeps one call per text instead of one per use of its result
